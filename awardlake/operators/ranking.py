@@ -70,7 +70,9 @@ def provider_ranking(providers: DataFrame, ledger: DataFrame = None) -> DataFram
         ranked = ranked.join(used, "name", "left").withColumn("used", F.coalesce("used", F.lit(0)))
     else:
         ranked = ranked.withColumn("used", F.lit(0))
-    left = F.greatest(F.lit(0), F.col("monthly_quota") - F.col("used")).cast("bigint")
+    left = F.when(
+        F.col("monthly_quota").isNotNull(), F.greatest(F.lit(0), F.col("monthly_quota") - F.col("used"))
+    ).cast("bigint")
     return ranked.select(
         "layer", "position", "name", "effective_trust", "health", "monthly_quota", "used",
         left.alias("remaining"),
