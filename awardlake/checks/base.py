@@ -67,7 +67,8 @@ def joined(flags):
 
 
 def r6(value):
-    return F.round(value.cast("double"), 6)
+    """Six decimals the way both engines can agree on: scale, round, unscale (values >= 0)."""
+    return F.floor(value.cast("double") * 1e6 + 0.5) / 1e6
 
 
 def sql_values(rows, columns):
