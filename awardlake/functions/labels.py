@@ -1,23 +1,26 @@
 """Column expressions that turn free-text labels into canonical values."""
 
+import json
+
 from pyspark.sql import Column, functions as F
 
 from awardlake import vocab
 
 
 def literal_map(values):
-    """A constant map column from a Python dict."""
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    """A constant map column from a Python dict; one JSON text, so expressions stay small."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
 
 
 def lookup(values, key):
-    """Value of ``key`` in a small constant dict, NULL when absent."""
+    """Text value of ``key`` in a small constant dict, NULL when absent."""
     return F.try_element_at(literal_map(values), key)
 
 
 def first_containing(text, pairs):
-    """Id of the first (phrase, id) pair whose phrase occurs in ``text``."""
-    return F.coalesce(*[F.when(F.contains(text, F.lit(p)), F.lit(v)) for p, v in pairs])
+    """Id of the first (phrase, id) pair whose phrase occurs in ``text``; bind ``text`` first."""
+    table = F.from_json(F.lit(json.dumps([{"p": p, "v": v} for p, v in pairs])), "array<struct<p:string,v:string>>")
+    return F.try_element_at(F.filter(table, lambda x: F.contains(text, x["p"])), F.lit(1))["v"]
 
 
 def normalise_label(label):
@@ -38,9 +41,8 @@ def canonicalize_region(label: Column) -> Column:
     with text in round or square brackets left out.
     """
     bare = F.regexp_replace(label, r"[\(\[][^\)\]]*[\)\]]", " ")
-    return F.coalesce(
-        _known_region(normalise_label(label)), _known_region(normalise_label(bare))
-    )
+    norms = F.array(normalise_label(label), normalise_label(bare))
+    return F.try_element_at(F.array_compact(F.transform(norms, _known_region)), F.lit(1))
 
 
 def canonicalize_zone_pair(label: Column) -> Column:
@@ -48,23 +50,23 @@ def canonicalize_zone_pair(label: Column) -> Column:
 
     ``within X`` is (X, X); otherwise exactly two different regions joined by and/to/vs/or.
     """
-    norm = normalise_label(label)
-    within = canonicalize_region(F.regexp_replace(norm, "^within ", ""))
-    sides = F.split(F.regexp_replace(norm, "^between ", ""), r"\b(?:and|to|vs|or)\b")
-    regions = F.array_distinct(
-        F.array_compact(F.transform(sides, lambda s: canonicalize_region(F.trim(s))))
-    )
-    pair = F.when(
-        F.size(regions) == 2,
-        F.struct(
-            F.try_element_at(regions, F.lit(1)).alias("a"),
-            F.try_element_at(regions, F.lit(2)).alias("b"),
-        ),
-    )
-    return F.when(
-        norm.startswith("within "),
-        F.when(within.isNotNull(), F.struct(within.alias("a"), within.alias("b"))),
-    ).otherwise(pair)
+    def sides(norm):
+        within = norm.startswith("within ")
+        parts = F.when(within, F.array(F.regexp_replace(norm, "^within ", ""))).otherwise(
+            F.split(F.regexp_replace(norm, "^between ", ""), r"\b(?:and|to|vs|or)\b")
+        )
+        known = F.array_distinct(F.array_compact(F.transform(parts, lambda p: canonicalize_region(F.trim(p)))))
+        return F.struct(within.alias("within"), known.alias("known"))
+
+    def pair(s):
+        at = lambda i: F.try_element_at(s["known"], F.lit(i))
+        return F.when(
+            F.size(s["known"]) == F.when(s["within"], 1).otherwise(2),
+            F.struct(at(1).alias("a"), at(-1).alias("b")),
+        )
+
+    read = F.transform(F.transform(F.array(normalise_label(label)), sides), pair)
+    return F.try_element_at(read, F.lit(1))
 
 
 def parse_distance_band(label: Column) -> Column:

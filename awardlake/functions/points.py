@@ -117,7 +117,7 @@ def fare_within_bounds(cents: Column) -> Column:
 
 def portal_cpp_of(card: Column) -> Column:
     """Portal rate of a card product."""
-    return F.coalesce(lookup(vocab.PORTAL_CPP, card), F.lit(vocab.DEFAULT_PORTAL_CPP))
+    return F.coalesce(lookup(vocab.PORTAL_CPP, card).cast("double"), F.lit(vocab.DEFAULT_PORTAL_CPP))
 
 
 def has_flag(flags: Column, *names: str) -> Column:
