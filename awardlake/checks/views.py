@@ -152,20 +152,20 @@ FROM @lineitem
 """)
 
 view("targets", """
-SELECT 'src' || cast(n_nationkey AS varchar(20)) AS name,
-       'https://site' || cast(n_nationkey AS varchar(20)) || '.example/chart' AS url,
-       CASE n_nationkey % 9 WHEN 0 THEN 'html_table' WHEN 1 THEN 'html_table_wide'
+SELECT 'src' || cast(s_suppkey AS varchar(20)) AS name,
+       'https://site' || cast(s_suppkey AS varchar(20)) || '.example/chart' AS url,
+       CASE s_suppkey % 9 WHEN 0 THEN 'html_table' WHEN 1 THEN 'html_table_wide'
             WHEN 2 THEN 'html_table_destination' WHEN 3 THEN 'html_table_zone_matrix'
             WHEN 4 THEN 'html_table_seasonal_zones' WHEN 5 THEN 'json' WHEN 6 THEN 'rss'
             WHEN 7 THEN 'pdf' ELSE 'docx' END AS format,
-       CASE n_nationkey % 5 WHEN 3 THEN 'award' WHEN 4 THEN 'seat' ELSE 'chart' END AS provides,
-       CASE n_nationkey % 4 WHEN 0 THEN ' Fallback ' WHEN 1 THEN 'mirror' WHEN 2 THEN 'primary' END AS role,
-       CASE WHEN n_nationkey % 6 <> 5 THEN ' P' || cast(n_nationkey % 3 AS varchar(20)) || ' ' END AS program,
-       CASE WHEN n_nationkey % 2 = 0 THEN 'ist' END AS hub,
-       (10 - n_nationkey % 10) / 10.0E0 AS trust,
-       CASE WHEN n_nationkey % 3 = 0 THEN '1999-09-01' END AS updated_at,
-       n_nationkey AS ord
-FROM @nation
+       CASE s_suppkey % 5 WHEN 3 THEN 'award' WHEN 4 THEN 'seat' ELSE 'chart' END AS provides,
+       CASE s_suppkey % 4 WHEN 0 THEN ' Fallback ' WHEN 1 THEN 'mirror' WHEN 2 THEN 'primary' END AS role,
+       CASE WHEN s_suppkey % 6 <> 5 THEN ' P' || cast(s_suppkey % 3 AS varchar(20)) || ' ' END AS program,
+       CASE WHEN s_suppkey % 2 = 0 THEN 'ist' END AS hub,
+       (10 - s_suppkey % 10) / 10.0E0 AS trust,
+       CASE WHEN s_suppkey % 3 = 0 THEN '1999-09-01' END AS updated_at,
+       s_suppkey AS ord
+FROM @supplier
 """)
 
 view("fetch_events", """

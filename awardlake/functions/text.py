@@ -33,7 +33,7 @@ def looks_undecoded(text: Column) -> Column:
     """True when under 85 % of the first 2000 characters are printable."""
     sample = F.substring(text, 1, 2000)
     printable = F.length(
-        F.regexp_replace(sample, r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}&&[^\r\n\t]]", "")
+        F.regexp_replace(sample, r"[\p{C}\p{Z}&&[^\r\n\t ]]", "")
     )
     return F.coalesce(
         (F.length(sample) > 0) & (printable / F.length(sample) < 0.85), F.lit(False)

@@ -86,8 +86,9 @@ def walk_transfers(edges: DataFrame, key, max_transfer_hops) -> DataFrame:
         *[F.col(k).alias(f"_k_{k}") for k in key], F.col("src").alias("_src"), "dst", "ratio",
         "confidence", "flags", "hop_label", "ord",
     )
+    named = list(dict.fromkeys([*key, "start"]))
     first = edges.where(F.col("src") == F.col("start")).select(
-        *key, "start", F.col("dst").alias("program"),
+        *named, F.col("dst").alias("program"),
         F.array("start", "dst").alias("visited"), "ratio", "confidence",
         "flags", F.col("hop_label").alias("hops"), F.array("ord").alias("path_ord"),
         F.lit(1).alias("transfers"),
@@ -99,7 +100,7 @@ def walk_transfers(edges: DataFrame, key, max_transfer_hops) -> DataFrame:
                       F.col("p.program") == F.col("e._src"))
         found.append(
             p.join(e, same).where(~F.array_contains("p.visited", F.col("e.dst"))).select(
-                *[F.col(f"p.{k}") for k in key], "p.start", F.col("e.dst").alias("program"),
+                *[F.col(f"p.{k}") for k in named], F.col("e.dst").alias("program"),
                 F.concat("p.visited", F.array("e.dst")).alias("visited"),
                 (F.col("p.ratio") * F.col("e.ratio")).alias("ratio"),
                 (F.col("p.confidence") * F.col("e.confidence")).alias("confidence"),
