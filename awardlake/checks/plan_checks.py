@@ -151,7 +151,7 @@ OPTION_COLUMNS = [
 
 
 def market(d):
-    return quotes.build_market(award_quotes(d), fare_quotes(d), ratios(d), NOW, HALF, STALE)
+    return quotes.build_market(award_quotes(d), fare_quotes(d), ratios(d), NOW, HALF, STALE, requests=d.view("requests"))
 
 
 def request_quotes(d):

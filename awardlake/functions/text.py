@@ -41,5 +41,5 @@ def looks_undecoded(text: Column) -> Column:
 
 
 def collapse_space(text: Column) -> Column:
-    """Every run of white space one blank, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
+    """Every run of white space one blank, none at the ends; single blanks are not even matched."""
+    return F.trim(F.regexp_replace(text, r"[\s\p{Z}]{2,}|[\s\p{Z}&&[^ ]]", " "))

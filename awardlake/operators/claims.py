@@ -59,7 +59,7 @@ def prepared_text(docs: DataFrame, text_col="text", keep=("doc_id",)) -> DataFra
 
 def find_price_mentions(docs: DataFrame, text_col="text", id_col="doc_id") -> DataFrame:
     """Numbers with a unit word; only where a document has none, any price-like number."""
-    text = prepared_text(docs, text_col, [id_col])
+    text = prepared_text(docs.where(F.col(text_col).rlike(r"\d")), text_col, [id_col])
     near = text.withColumn("near", _mentions(F.col("prose"), NEAR_KEYWORD))
     any_number = F.when(F.size("near") == 0, _mentions(F.col("prose"), ANY_NUMBER))
     return near.select(id_col, F.inline(F.coalesce(any_number, F.col("near"))))
@@ -97,38 +97,56 @@ def extract_price_claims(docs: DataFrame, text_col="text", id_col="doc_id", word
     places = f"({_any_of(p for p, _ in vocab.phrase_pairs(vocab.PROSE_REGIONS))})"
     program_of = dict(vocab.phrase_pairs(vocab.PROGRAM_ALIASES))
     region_of = dict(vocab.phrase_pairs(vocab.PROSE_REGIONS))
-    text = prepared_text(docs, text_col, [id_col]).where(F.col("prose").rlike(r"\d"))
+    # Digits are looked for in the raw text: the test then runs before the parser, not after it.
+    text = prepared_text(docs.where(F.col(text_col).rlike(r"\d")), text_col, [id_col])
     near = text.withColumn("near", _mentions(F.col("prose"), NEAR_KEYWORD))
     any_number = F.when(F.size("near") == 0, _mentions(F.col("prose"), ANY_NUMBER))
     around = _windows(F.col("prose"), F.coalesce(any_number, F.col("near")))
-    mentions = near.select(id_col, F.posexplode(around).alias("claim_ord", "m")).select(id_col, "claim_ord", "m.*")
-    nearby = F.concat(F.substring("before", -40, 40), F.substring("tail", 1, 20))
-    before, tail = F.lower("before"), F.lower("tail")
-    last_name = F.when(before.rlike(names), F.length(F.regexp_extract(before, f"^(.*){names}", 1)))
-    next_name = F.nullif(F.regexp_instr(tail, F.lit(names)), F.lit(0)) - 1
-    anchored = mentions.where(~nearby.rlike(BONUS)).select(
-        id_col, "claim_ord", "miles",
-        F.when(
-            last_name.isNotNull(),
-            F.concat(F.substring("before", last_name + 1, F.lit(BEFORE)), F.substring("tail", 1, CLAUSE)),
-        ).when(next_name <= 40, F.substring("tail", next_name + 1, F.greatest(F.lit(CLAUSE) - next_name, F.lit(0)))).alias("clause"),
-        F.when(last_name.isNotNull(), F.length("before") - last_name).otherwise(-next_name).alias("local"),
-    ).where(F.col("clause").isNotNull())
-    low = F.lower("clause")
-    regions = F.array_distinct(
-        F.transform(F.regexp_extract_all(low, F.lit(places), F.lit(1)), lambda p: labels.lookup(region_of, p))
+
+    # Each step binds its result as a lambda variable, so no regular expression runs twice.
+    def located(m, i):
+        before, tail = F.lower(m["before"]), F.lower(m["tail"])
+        nearby = F.concat(F.substring(m["before"], -40, 40), F.substring(m["tail"], 1, 20))
+        last_name = F.when(before.rlike(names), F.length(F.regexp_extract(before, f"^(.*){names}", 1)))
+        next_name = F.nullif(F.regexp_instr(tail, F.lit(names)), F.lit(0)) - 1
+        return F.struct(
+            i.alias("claim_ord"), m["miles"].alias("miles"), m["before"].alias("before"), m["tail"].alias("tail"),
+            nearby.rlike(BONUS).alias("reward"), last_name.alias("last_name"),
+            F.when(last_name.isNull() & (next_name <= 40), next_name).alias("next_name"),
+        )
+
+    def clause_of(m):
+        ahead = F.concat(F.substring(m["before"], m["last_name"] + 1, F.lit(BEFORE)), F.substring(m["tail"], 1, CLAUSE))
+        behind = F.substring(m["tail"], m["next_name"] + 1, F.greatest(F.lit(CLAUSE) - m["next_name"], F.lit(0)))
+        clause = F.coalesce(ahead, behind)
+        return F.struct(
+            m["claim_ord"].alias("claim_ord"), m["miles"].alias("miles"), clause.alias("clause"), F.lower(clause).alias("low"),
+            F.coalesce(F.length(m["before"]) - m["last_name"], -m["next_name"]).alias("local"),
+        )
+
+    def read(c):
+        regions = F.array_distinct(
+            F.transform(F.regexp_extract_all(c["low"], F.lit(places), F.lit(1)), lambda p: labels.lookup(region_of, p))
+        )
+        return F.struct(
+            c["claim_ord"].alias("claim_ord"), c["miles"].alias("miles"), c["clause"].alias("clause"),
+            labels.lookup(program_of, F.regexp_extract(c["low"], names, 1)).alias("program"),
+            _cabin_near(c["low"], c["local"]).alias("cabin"), regions.alias("regions"),
+            c["clause"].rlike(ROUND_TRIP).alias("roundtrip"),
+        )
+
+    anchored = F.filter(
+        F.transform(around, located),
+        lambda m: ~m["reward"] & (m["last_name"].isNotNull() | m["next_name"].isNotNull()),
     )
-    read = anchored.select(
-        id_col, "claim_ord", "miles", "clause",
-        labels.lookup(program_of, F.regexp_extract(low, names, 1)).alias("program"),
-        _cabin_near(low, F.col("local")).alias("cabin"), regions.alias("regions"),
-        F.col("clause").rlike(ROUND_TRIP).alias("roundtrip"),
+    whole = F.filter(
+        F.transform(F.transform(anchored, clause_of), read),
+        lambda r: r["program"].isNotNull() & r["cabin"].isNotNull() & (F.size(r["regions"]) > 0)
+        & number_is_grounded(r["miles"], r["clause"]),
     )
+    rows = near.select(id_col, F.inline(whole))
     first, second = F.try_element_at("regions", F.lit(1)), F.try_element_at("regions", F.lit(2))
-    claims = read.where(
-        F.col("program").isNotNull() & F.col("cabin").isNotNull() & (F.size("regions") > 0)
-        & number_is_grounded(F.col("miles"), F.col("clause"))
-    ).select(
+    claims = rows.select(
         id_col, "claim_ord", "program",
         F.when(second.isNotNull(), first).otherwise("north_america").alias("region_a"),
         F.coalesce(second, first).alias("region_b"), "cabin", "miles", "roundtrip",

@@ -7,6 +7,7 @@ refills the bucket.
 """
 
 import sys
+from functools import reduce
 from typing import Iterator
 
 import pandas as pd
@@ -44,17 +45,21 @@ def cache_misses(requests: DataFrame, key, ts, ttl_days=CACHE_TTL_DAYS) -> DataF
     ttl = int(ttl_days * DAY_US)
     rows = requests.select(F.col(key).alias("_key"), _us(ts).alias("_us"))
     span = rows.agg(F.min("_us").alias("lo"), F.max("_us").alias("hi")).first()
-    found = rows.select("_key", F.col("_us").alias("miss_us")).limit(0)
+    state = rows.select("_key", F.col("_us").alias("miss_us"), F.lit(True).alias("fresh")).limit(0)
+    found = [state]
     if span["lo"] is not None:
-        state = found
         for start in range(span["lo"], span["hi"] + 1, ttl):
             part = rows.where((F.col("_us") >= start) & (F.col("_us") < start + ttl))
             expiry = state.select("_key", (F.col("miss_us") + ttl).alias("_free"))
             late = part.join(expiry, "_key", "left").where(F.col("_free").isNull() | (F.col("_us") >= F.col("_free")))
-            new = materialize(late.groupBy("_key").agg(F.min("_us").alias("miss_us")), "misses")
-            found = found.unionByName(new)
-            state = materialize(state.unionByName(new).groupBy("_key").agg(F.max("miss_us").alias("miss_us")), "entries")
-    return found.select(F.col("_key").alias(key), "miss_us")
+            new = late.groupBy("_key").agg(F.min("_us").alias("_new"))
+            entries = state.drop("fresh").join(new, "_key", "full").select(
+                "_key", F.coalesce("_new", "miss_us").alias("miss_us"), F.col("_new").isNotNull().alias("fresh")
+            )
+            state = materialize(entries, "entries")
+            found.append(state.where("fresh"))
+    misses = reduce(DataFrame.unionByName, found)
+    return misses.select(F.col("_key").alias(key), "miss_us")
 
 
 def classify_cache_hits(requests: DataFrame, key, ts, order, ttl_days=CACHE_TTL_DAYS) -> DataFrame:
