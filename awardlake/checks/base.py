@@ -34,16 +34,26 @@ def expand(sql, table):
 class Data:
     """Driver tables and views of one scale-factor directory as DataFrames."""
 
+    _named = {}
+
     def __init__(self, spark, sf_dir):
         if spark.conf.get("spark.sql.session.timeZone") != "UTC":
             spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.dir = spark, str(sf_dir).rstrip("/")
 
+    def _table_name(self, name):
+        """Name of a temporary view over one table; its schema is read once per session."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in self._named:
+            self._named[key] = f"awardlake_{name}_{len(self._named)}"
+            self.spark.read.parquet(f"{self.dir}/{name}.parquet").createOrReplaceTempView(self._named[key])
+        return self._named[key]
+
     def table(self, name):
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self.spark.table(self._table_name(name))
 
     def sql(self, text):
-        return self.spark.sql(expand(text, lambda t: f"parquet.`{self.dir}/{t}.parquet`"))
+        return self.spark.sql(expand(text, self._table_name))
 
     def view(self, name):
         return self.sql(f"SELECT * FROM @@{name} v")

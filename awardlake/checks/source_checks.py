@@ -29,17 +29,15 @@ SELECT 'airport' AS dim, code AS k, region AS v, round(lat, 3) AS lat, round(lon
 UNION ALL SELECT 'zone', program || ':' || code, cast(zone AS varchar), NULL, NULL FROM @@zones z
 """)
 def _dims(d):
-    places, zones = d.view("airports"), d.view("zones")
-    spec = places.agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("region").isNotNull(), F.struct(F.lower("code"), F.col("region"))))).alias("region_map"),
-        F.map_from_entries(
-            F.collect_list(F.struct(F.col("code"), F.array(F.coalesce(F.col("lat").cast("string"), F.lit("n/a")), F.coalesce(F.col("lon").cast("string"), F.lit("?")))))
-        ).alias("coords"),
-    ).withColumn("k", F.lit(1))
-    zone_map = zones.groupBy("program").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.lower("code"), F.col("zone").cast("string")))).alias("z")
-    ).agg(F.map_from_entries(F.collect_list(F.struct(F.upper("program"), "z"))).alias("program_zones")).withColumn("k", F.lit(1))
-    airport, zone = catalogue.build_dimensions(spec.join(zone_map, "k"))
+    places = d.view("airports")
+    near = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("n/a"))
+    regions = places.where("region IS NOT NULL").select(F.create_map(F.lower("code"), "region").alias("region_map"))
+    coords = places.select(F.create_map("code", F.array(near("lat"), near("lon"))).alias("coords"))
+    zones = d.view("zones").select(
+        F.create_map(F.upper("program"), F.create_map(F.lower("code"), F.col("zone").cast("string"))).alias("program_zones")
+    )
+    spec = regions.unionByName(coords, allowMissingColumns=True).unionByName(zones, allowMissingColumns=True)
+    airport, zone = catalogue.build_dimensions(spec)
     return airport.select(
         F.lit("airport").alias("dim"), F.col("code").alias("k"), F.col("region").alias("v"),
         F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"),
@@ -53,17 +51,12 @@ def _dims(d):
 
 @query("validate_targets_catalog", """
 SELECT name, format, provides, CASE WHEN lower(trim(role)) IN ('primary', 'fallback') THEN lower(trim(role)) ELSE 'primary' END AS role,
-       lower(trim(program)) AS program, upper(hub) AS hub, trust, row_number() OVER (ORDER BY trust DESC, ord) AS position
+       lower(trim(program)) AS program, upper(hub) AS hub, trust
 FROM @@targets t WHERE format <> 'docx' AND provides <> 'seat'
 """)
 def _targets(d):
-    from pyspark.sql import Window
-
     out = catalogue.validate_targets_catalog(d.view("targets"))
-    w = Window.orderBy(F.desc("trust"), "ord")
-    return out.withColumn("position", F.row_number().over(w)).select(
-        "name", "format", "provides", "role", "program", "hub", "trust", F.col("position").cast("bigint").alias("position")
-    )
+    return out.select("name", "format", "provides", "role", "program", "hub", "trust")
 
 
 CREATORS = """(SELECT 'creator ' || cast(s_suppkey AS varchar(20)) AS name,
@@ -213,9 +206,9 @@ def _write_discovered(d):
     path = sinks.new_table_path(d.spark, "discovered")
     sinks.write_discovered(rows, d.view("chart_rows").where("roundtrip").select("program"), path, "1999-12-31")
     back, stale = sinks.read_discovered(d.spark, path)
-    at = d.spark.read.parquet(f"{path}/current").select(F.col("updated_at").alias("updated"))
+    at = d.spark.read.parquet(f"{path}/current").first()["updated_at"]
     none = lambda t: F.lit(None).cast(t)
-    return back.join(at.withColumn("k", F.lit(1)), F.lit(1) == F.col("k")).drop("k").unionByName(
+    return back.withColumn("updated", F.lit(at)).unionByName(
         stale.select("program", F.lit("stale").alias("source_name"), none("string").alias("cabin"), none("bigint").alias("miles"), none("string").alias("updated"))
     )
 

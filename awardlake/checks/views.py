@@ -97,11 +97,11 @@ FROM @supplier WHERE s_suppkey < 100
 """)
 
 view("zones", """
-SELECT 'p' || cast(k.n_nationkey AS varchar(20)) AS program,
-       'A' || lpad(cast(s_suppkey AS varchar(20)), 3, '0') AS code,
-       cast((s_suppkey + k.n_nationkey) % 4 AS int) AS zone
-FROM @supplier CROSS JOIN @nation k
-WHERE s_suppkey < 100 AND k.n_nationkey < 2 AND s_suppkey % 3 <> 2
+SELECT 'p0' AS program, 'A' || lpad(cast(s_suppkey AS varchar(20)), 3, '0') AS code, cast(s_suppkey % 4 AS int) AS zone
+FROM @supplier WHERE s_suppkey < 100 AND s_suppkey % 3 <> 2
+UNION ALL
+SELECT 'p1', 'A' || lpad(cast(s_suppkey AS varchar(20)), 3, '0'), cast((s_suppkey + 1) % 4 AS int)
+FROM @supplier WHERE s_suppkey < 100 AND s_suppkey % 3 <> 2
 """)
 
 view("routes", f"""

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from awardlake import vocab
 from awardlake.functions import labels
+from awardlake.functions.rows import inline_rows
 
 ROW_TYPE = (
     "struct<band_ord:bigint,program:string,region_a:string,region_b:string,cabin:string,miles:bigint,"
@@ -525,7 +526,7 @@ def distance_grid_rows(grids, program):
 
 def _emit(docs, rows, parser, id_col):
     meta = [c for c in ("source_name", "updated_at") if c in docs.columns]
-    flat = docs.select(id_col, *meta, F.inline(rows.cast(f"array<{ROW_TYPE}>")))
+    flat = inline_rows(docs, [id_col, *meta], rows.cast(f"array<{ROW_TYPE}>"), "band_ord")
     kept = flat.where(~F.col("dropped")).drop("dropped")
     return ParsedCharts(kept, flat.where("dropped").select(id_col, F.lit(parser).alias("parser"), "band_ord"))
 
@@ -625,7 +626,9 @@ def route_grid_parsers(docs: DataFrame, text_programs=("lifemiles",), id_col="do
         offer("distance", distance_grid_rows(grids, program)),
         offer("zone_matrix", matrix_block_rows(grids, program)),
     )
-    grid = docs.select(id_col, choice.alias("c")).select(id_col, "c.route", F.inline("c.rows")).drop("dropped")
+    grid = inline_rows(
+        docs.select(id_col, choice.alias("c")), [id_col, "c.route"], F.col("c.rows"), "band_ord"
+    ).drop("dropped")
     rest = docs.where(program.isin(*text_programs)).where(choice.isNull())
     text = parse_triangular_text(rest.select(id_col, "program", "page_text"), id_col=id_col)
     return grid.unionByName(text.withColumn("route", F.lit("text")), allowMissingColumns=True)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from awardlake import vocab
 from awardlake.functions import labels
+from awardlake.functions.rows import inline_rows
 from awardlake.functions.text import collapse_space, digit_runs, number_is_grounded
 from awardlake.operators.documents import html_to_text
 
@@ -62,7 +63,7 @@ def find_price_mentions(docs: DataFrame, text_col="text", id_col="doc_id") -> Da
     text = prepared_text(docs.where(F.col(text_col).rlike(r"\d")), text_col, [id_col])
     near = text.withColumn("near", _mentions(F.col("prose"), NEAR_KEYWORD))
     any_number = F.when(F.size("near") == 0, _mentions(F.col("prose"), ANY_NUMBER))
-    return near.select(id_col, F.inline(F.coalesce(any_number, F.col("near"))))
+    return inline_rows(near, [id_col], F.coalesce(any_number, F.col("near")), "pos")
 
 
 def _windows(text, mentions):
@@ -144,7 +145,7 @@ def extract_price_claims(docs: DataFrame, text_col="text", id_col="doc_id", word
         lambda r: r["program"].isNotNull() & r["cabin"].isNotNull() & (F.size(r["regions"]) > 0)
         & number_is_grounded(r["miles"], r["clause"]),
     )
-    rows = near.select(id_col, F.inline(whole))
+    rows = inline_rows(near, [id_col], whole, "claim_ord")
     first, second = F.try_element_at("regions", F.lit(1)), F.try_element_at("regions", F.lit(2))
     claims = rows.select(
         id_col, "claim_ord", "program",

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from awardlake import vocab
 from awardlake.functions import points
+from awardlake.functions.rows import inline_rows
 from awardlake.functions.text import digit_runs
 from awardlake.operators import verify
 
@@ -111,7 +112,7 @@ def validate_fixtures(fixtures: DataFrame, id_col="doc_id") -> DataFrame:
     whole = F.array_compact(F.array(lone(blank, "document", "empty"), lone(F.col("expected_rows").isNull(), "expected_rows", "missing")))
     prepared = fixtures.select(id_col, "document", "expected_rows", runs.alias("_runs"))
     rows = F.flatten(F.transform(F.coalesce("expected_rows", F.array().cast(fixtures.schema["expected_rows"].dataType)), of_row))
-    return prepared.select(id_col, F.inline(F.concat(whole, rows)))
+    return inline_rows(prepared, [id_col], F.concat(whole, rows), "field")
 
 
 def audit_verdicts(verdicts: DataFrame, options: DataFrame, awards: DataFrame, provenance: DataFrame, ratios: DataFrame, requests: DataFrame, fares: DataFrame) -> DataFrame:

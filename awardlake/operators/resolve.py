@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from awardlake import vocab
 from awardlake.functions import points
 from awardlake.functions.labels import parse_source_date
+from awardlake.functions.rows import inline_rows
 from awardlake.operators.ranking import dedupe_freshest
 
 CHART = ["program", "source_name"]
@@ -293,7 +294,7 @@ def place_search(queries: DataFrame, places: DataFrame, k=6) -> DataFrame:
         F.transform(F.array_distinct(parts(city)), lambda p: F.struct(p.alias("q"), F.lit(700).alias("score"))),
         F.transform(F.array_distinct(parts(name)), lambda p: F.struct(p.alias("q"), F.lit(600).alias("score"))),
     )
-    index = places.select("code", F.explode(found).alias("e")).select("code", "e.q", "e.score")
+    index = inline_rows(places, ["code"], found, "q")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "code")
     hits = index.join(asked, "q").groupBy("q", "code").agg(F.max("score").alias("score"))
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -244,11 +244,12 @@ def scrape_summary(results: DataFrame, programs: DataFrame) -> DataFrame:
     count = lambda role, status: F.count_if((F.col("role") == role) & (F.col("status") == status)).alias(f"{role}_{status}")
     left = results.agg(
         F.count(F.lit(1)).alias("total"), *[count("primary", s) for s in ("ok", "warn", "fail")], *[count("fallback", s) for s in ("ok", "warn")]
-    ).withColumn("_k", F.lit(1))
+    )
     right = programs.agg(
         F.count(F.lit(1)).alias("programs"), F.coalesce(F.min("has_working_primary"), F.lit(True)).alias("all_primaries_ok")
-    ).withColumn("_k", F.lit(1))
-    return left.join(right, "_k").drop("_k")
+    )
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def select_replacement_urls(health: DataFrame, candidates: DataFrame, search_log: DataFrame, as_of, min_rotted=1, ttl_days=7, trust=0.30):
@@ -258,10 +259,10 @@ def select_replacement_urls(health: DataFrame, candidates: DataFrame, search_log
     adopted; those before it are rejected. Below ``min_rotted`` rotted targets nothing is done.
     """
     rotted = health.where("rotted").select("name")
-    gate = rotted.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rotted).select(F.lit(1).alias("_k"))
+    enough = rotted.agg(F.count(F.lit(1))).scalar() >= min_rotted
     since = points.instant(as_of) - F.make_dt_interval(days=F.lit(ttl_days))
     recent = search_log.where(F.col("searched_at") > since).select("name")
-    due = rotted.join(recent, "name", "left_anti").withColumn("_k", F.lit(1)).join(gate, "_k").drop("_k")
+    due = rotted.join(recent, "name", "left_anti").where(enough)
     tried = candidates.join(due, "name", "left_semi")
     valid = F.col("ok") & ~F.col("status").isin(404, 410) & (F.col("rows") > 0)
     first = tried.where(valid).groupBy("name").agg(F.min("ord").alias("_first"), F.min_by("url", "ord").alias("url"))

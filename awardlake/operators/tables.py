@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from awardlake.functions.rows import inline_rows
 from awardlake.operators import charts
 
 TABLE_TYPE = (
@@ -111,7 +112,7 @@ def with_tables(pages: DataFrame, html_col="html") -> DataFrame:
 def extract_html_tables(pages: DataFrame, html_col="html", id_col="page_id") -> DataFrame:
     """One row per outermost table of each page."""
     hit = pages.where(F.contains(F.lower(html_col), F.lit("<table"))).select(id_col, html_col)
-    return with_tables(hit, html_col).select(id_col, F.inline("tables"))
+    return inline_rows(with_tables(hit, html_col), [id_col], F.col("tables"), "table_ord")
 
 
 def profile_table_shapes(pages: DataFrame, id_col="page_id") -> DataFrame:

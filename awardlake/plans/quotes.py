@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from awardlake import vocab
 from awardlake.functions import points
+from awardlake.functions.rows import explode_rows
 from awardlake.operators import verify
 from awardlake.plans import paths
 
@@ -131,9 +132,9 @@ def quote_requests(
     merged = F.array_sort(F.when(F.col("offers").isNull(), F.array(floor)).otherwise(
         F.array_append(F.col("offers"), floor)
     ))
+    offered = priced.where(F.col("cash_cents").isNotNull())
     options = (
-        priced.where(F.col("cash_cents").isNotNull())
-        .select("request_id", "balance", F.posexplode(merged).alias("pos", "o"))
+        explode_rows(offered, ["request_id", "balance"], merged, "pos", "o")
         .select(
             "request_id", (F.col("pos") + 1).alias("rank"), "o.label", "o.kind", "o.program", "o.cpp",
             "o.source_points", "o.cash_cents",

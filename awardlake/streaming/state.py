@@ -15,6 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from awardlake.functions.rows import inline_rows
 from awardlake.sources.sinks import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -130,7 +131,7 @@ def adaptive_delay(responses: DataFrame, domain="domain", ts="ts", order="seq",
         folded.groupBy("_d").agg(F.array_sort(F.collect_list(F.struct("_s", "f"))).alias("all"))
         .select(
             "_d",
-            F.explode(
+            F.explode_outer(
                 F.aggregate(
                     "all", grown,
                     lambda a, x: F.struct(
@@ -158,7 +159,8 @@ def adaptive_delay(responses: DataFrame, domain="domain", ts="ts", order="seq",
     played = F.aggregate(
         "items", F.struct(F.col("_delay").alias("delay"), F.col("_streak").alias("streak"), empty.alias("out")), replay, lambda a: a["out"]
     )
-    return slices.join(starts, ["_d", "_s"]).select(F.col("_d").alias(domain), F.inline(played)).withColumnRenamed("seq", order)
+    begun = slices.join(starts, ["_d", "_s"]).withColumnRenamed("_d", domain)
+    return inline_rows(begun, [domain], played, "seq").withColumnRenamed("seq", order)
 
 
 # --- token bucket ------------------------------------------------------------------------------
