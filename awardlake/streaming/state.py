@@ -100,12 +100,12 @@ def _step(low, high, factor, streak, bad):
     )
 
 
-def adaptive_delay(responses: DataFrame, domain="domain", ts="ts", order="seq", status="status", slice_hours=24) -> DataFrame:
+def adaptive_delay(responses: DataFrame, domain="domain", ts="ts", order="seq", status="status", slice_hours=1) -> DataFrame:
     """Delay and error streak of each domain after each response.
 
     Responses are folded per (domain, time slice); the slices of a domain, few and of fixed size,
     are chained; the fold is then replayed inside each slice from its known start. What one task
-    holds is one slice of one domain, which the pacing itself keeps short.
+    holds at a time is one slice of one domain; a busier log takes a shorter slice.
     """
     slot = F.floor(_us(ts) / (slice_hours * 3600 * 1_000_000))
     item = F.struct(_us(ts).alias("us"), F.col(order).alias("seq"), _bad(F.col(status)).alias("bad"))
@@ -166,7 +166,7 @@ def adaptive_delay(responses: DataFrame, domain="domain", ts="ts", order="seq",
 # --- token bucket ------------------------------------------------------------------------------
 
 
-def bucket_segments(requests: DataFrame, key, ts, order, rate=RATE, capacity=CAPACITY, slice_seconds=3600) -> DataFrame:
+def bucket_segments(requests: DataFrame, key, ts, order, rate=RATE, capacity=CAPACITY, slice_seconds=2) -> DataFrame:
     """Add ``segment``: a new one starts after a pause long enough to refill any bucket.
 
     The previous request is looked up inside (key, time slice) and, for a slice's first request, in
@@ -202,7 +202,8 @@ def token_bucket(requests: DataFrame, key, ts, order, rate=RATE, capacity=CAPACI
     """Requests with ``allowed``: at least one token left after refill.
 
     Segments start with a full bucket, so they are independent; they are sorted by Spark and read as
-    a stream of batches that carries only the bucket, never as a whole group.
+    a stream of batches that carries only the bucket, never as a whole group. Within one segment,
+    that is while a key never pauses, each decision needs the one before it.
     """
     segments = bucket_segments(requests, key, ts, order, rate, capacity).select(key, order, "segment", "_us")
 
