@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from awardlake.checks.base import query
 from awardlake.checks.label_checks import pick
-from awardlake.operators import charts, tables
+from awardlake.operators import charts, intake, tables
 
 # label, region; two labels no rule knows.
 ZONES = [
@@ -86,11 +86,14 @@ def long_docs(d):
     return tables.with_tables(pages(d, LONG_CELLS, ["Program", "From", "To", "Cabin", "Miles", "RoundTrip"], before=NAV))
 
 
-@query("parse_chart_long", f"""
+LONG_SQL = f"""
 SELECT {PAGE} AS page_id, 'p' || p_partkey % 3 AS program, {region(FROM_I)} AS region_a, {region(TO_I)} AS region_b,
        (['economy', 'business', 'premium_economy', 'first'])[p_size % 5 + 1] AS cabin, cast(p_size * 1000 + 500 AS bigint) AS miles, p_size % 2 = 0 AS roundtrip
 FROM @part WHERE {LONG_OK} AND {region(FROM_I)} IS NOT NULL AND {region(TO_I)} IS NOT NULL
-""")
+"""
+
+
+@query("parse_chart_long", LONG_SQL)
 def _long(d):
     return charts.parse_chart_long(long_docs(d)).rows.select(CHART)
 
@@ -311,3 +314,25 @@ def _route(d):
     grid_type = docs.schema["grids"].dataType
     docs = docs.unionByName(text.withColumn("grids", F.array().cast(grid_type)))
     return charts.route_grid_parsers(docs).groupBy("doc_id", "route").agg(F.count(F.lit(1)).alias("n"), F.sum("miles").alias("miles"))
+
+
+@query("parse_chart_documents", f"""
+SELECT page_id AS doc_id, program, region_a, region_b, cabin, miles FROM ({LONG_SQL})
+UNION ALL SELECT 1000000 + page_id, program, region_a, region_b, cabin, miles FROM ({WIDE_SQL})
+UNION ALL SELECT 2000000 + doc_id, program, region_a, region_b, cabin, miles FROM (SELECT {PAGE} AS doc_id, 'p' || p_partkey % 3 AS program, {region(FROM_I)} AS region_a, {region(TO_I)} AS region_b, 'first' AS cabin, cast(p_size * 1000 AS bigint) AS miles FROM @part)
+  WHERE region_a IS NOT NULL AND region_b IS NOT NULL
+""")
+def _by_format(d):
+    """Long, wide and JSON documents in one table, each read by its own format."""
+    none = F.lit(None).cast("string")
+    html = lambda df, shift, fmt, program: df.select(
+        (F.col("page_id") + shift).alias("doc_id"), F.lit(fmt).alias("format"), program.alias("program"), none.alias("hub"), F.col("html").alias("text")
+    )
+    record = f"""concat('{{"program":"P', cast(p_partkey % 3 AS string), '","from":"', {label(FROM_I)}, '","to":"', {label(TO_I)}, '","cabin":"First","miles":"', cast(p_size AS string), ' 000"}}')"""
+    rows = d.sql(f"SELECT {PAGE} + 2000000 AS doc_id, {record} AS r FROM @part").groupBy("doc_id").agg(F.array_join(F.collect_list("r"), ",").alias("r"))
+    docs = (
+        html(pages(d, LONG_CELLS, ["Program", "From", "To", "Cabin", "Miles", "RoundTrip"], before=NAV), 0, "html_table", none)
+        .unionByName(html(pages(d, WIDE_CELLS, ["From", "To", "Economy", "Business", "Note"], before=NAV), 1_000_000, "html_table_wide", F.lit("aero")))
+        .unionByName(rows.select("doc_id", F.lit("json").alias("format"), none.alias("program"), none.alias("hub"), F.concat(F.lit("["), "r", F.lit("]")).alias("text")))
+    )
+    return intake.parse_chart_documents(docs).rows.select("doc_id", "program", "region_a", "region_b", "cabin", "miles")

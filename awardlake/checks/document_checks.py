@@ -189,19 +189,15 @@ def link_docs(d):
     return d.sql(f"SELECT p_partkey AS doc_id, regexp_replace({body}, 'https://hidden.example/', 'x') AS body FROM @part")
 
 
+# An escaped link (``&amp;``) is read twice: once as an anchor, once as plain text in the markup.
 LINK_ROWS = f"""
-l AS (SELECT p_partkey AS doc_id, 0 AS k, {link_sql(L1, LINKS)} AS url, {link_sql(L1, KINDS)} AS kind, {link_sql(L1, IDS)} AS video_id FROM @part
+l AS (SELECT p_partkey AS doc_id, 0.0 AS k, {link_sql(L1, LINKS)} AS url, {link_sql(L1, KINDS)} AS kind, {link_sql(L1, IDS)} AS video_id FROM @part
       UNION ALL SELECT p_partkey, 1, 'https://go.example/' || p_partkey, 'article', NULL FROM @part
+      UNION ALL SELECT p_partkey, 1.5, replace({link_sql(L1, LINKS)}, '&', '&amp;'), 'video', 'w' || p_partkey FROM @part WHERE {L1} = 2
       UNION ALL SELECT p_partkey, 2, {link_sql(L2, LINKS)}, {link_sql(L2, KINDS)}, {link_sql(L2, IDS)} FROM @part),
 u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, url ORDER BY k) AS rn FROM l WHERE NOT starts_with(url, 'mailto')),
-links AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN url LIKE '%&x=1' AND k = 0 THEN k ELSE k END) - 1 AS ord, url, kind, video_id FROM u WHERE rn = 1)
+links AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ord, url, kind, video_id FROM u WHERE rn = 1)
 """
-# The escaped form of a link with "&" is itself a plain-text match in the markup.
-ESCAPED = """ UNION ALL SELECT p_partkey, 1.5, replace({0}, '&', '&amp;'), 'video', 'w' || p_partkey FROM @part WHERE {1} = 2
-      UNION ALL SELECT p_partkey, 1.6, 'https://www.google.com/url?q=https%3A%2F%2Fgo.example%2F' || p_partkey || '&amp;s=1', 'x', NULL FROM @part WHERE false),"""
-LINK_ROWS = LINK_ROWS.replace(f"{{}} FROM @part),\nu AS", "").replace(
-    "FROM @part),\nu AS", "FROM @part" + ESCAPED.format(link_sql(L1, LINKS), L1) + "\nu AS"
-)
 
 
 @query("extract_links", f"WITH {LINK_ROWS} SELECT doc_id, ord, url FROM links")
@@ -368,3 +364,21 @@ def _new(d):
     entries = o.select((F.col("o_custkey") % 40).alias("feed"), F.col("o_orderkey").alias("url"), (-F.col("o_orderkey")).alias("entry_ord"))
     seen = o.where("o_orderkey % 3 = 0").select((F.col("o_custkey") % 40).alias("feed"), F.col("o_orderkey").alias("url"), F.col("o_orderdate").cast("timestamp").alias("seen_at"))
     return claims.new_items_only(entries, seen, "1999-01-01 00:00:00").select("feed", "url")
+
+
+@query("run_extractor", f"""
+SELECT doc_id, miles, outcome FROM (SELECT p_partkey AS doc_id, {MILES} AS miles, 'kept' AS outcome FROM @part
+UNION ALL SELECT p_partkey, {MILES} + 1, 'ungrounded' FROM @part)
+""")
+def _extractor(d):
+    """A backend that reads the number and also invents one; the guard drops the invention."""
+    def backend(batches):
+        for pdf in batches:
+            read = pdf["text"].str.extract(r"for ([0-9,]+)")[0].str.replace(",", "").astype(int)
+            fields = {"program": "ana", "from": "Japan", "to": "Europe", "cabin": "first", "roundtrip": False}
+            for shift in (0, 1):
+                yield pdf[["doc_id"]].assign(miles=(read + shift).astype(str), **fields)
+
+    docs = d.sql(f"SELECT p_partkey AS doc_id, {SENTENCE} AS text FROM @part")
+    kept, rejected = claims.run_extractor(docs, backend)
+    return kept.select("doc_id", "miles", F.lit("kept").alias("outcome")).unionByName(rejected.select("doc_id", "miles", F.col("reason").alias("outcome")))

@@ -524,7 +524,8 @@ def distance_grid_rows(grids, program):
 # --- DataFrame operators -----------------------------------------------------------------------
 
 
-def _emit(docs, rows, parser, id_col):
+def emit(docs: DataFrame, rows, parser, id_col) -> ParsedCharts:
+    """Rows and drops of a builder's array over ``docs``."""
     meta = [c for c in ("source_name", "updated_at") if c in docs.columns]
     flat = inline_rows(docs, [id_col, *meta], rows.cast(f"array<{ROW_TYPE}>"), "band_ord")
     kept = flat.where(~F.col("dropped")).drop("dropped")
@@ -533,37 +534,37 @@ def _emit(docs, rows, parser, id_col):
 
 def parse_chart_long(docs: DataFrame, id_col="page_id") -> ParsedCharts:
     """program/from/to/cabin/miles tables; the first per page."""
-    return _emit(docs, long_rows(F.col("tables")), "long", id_col)
+    return emit(docs, long_rows(F.col("tables")), "long", id_col)
 
 
 def parse_chart_wide(docs: DataFrame, id_col="page_id") -> ParsedCharts:
     """from/(to|distance)/cabin tables of the page's ``program``; the first per page."""
-    return _emit(docs, wide_rows(F.col("tables"), F.col("program")), "wide", id_col)
+    return emit(docs, wide_rows(F.col("tables"), F.col("program")), "wide", id_col)
 
 
 def parse_chart_destination(docs: DataFrame, id_col="page_id") -> ParsedCharts:
     """All destination tables of the page's ``program`` and ``hub``."""
-    return _emit(docs, destination_rows(F.col("tables"), F.col("program"), F.col("hub")), "destination", id_col)
+    return emit(docs, destination_rows(F.col("tables"), F.col("program"), F.col("hub")), "destination", id_col)
 
 
 def parse_zone_matrix(docs: DataFrame, id_col="page_id") -> ParsedCharts:
     """Zone x zone tables under an exact cabin heading."""
-    return _emit(docs, zone_matrix_rows(F.col("tables"), F.col("program")), "zone_matrix", id_col)
+    return emit(docs, zone_matrix_rows(F.col("tables"), F.col("program")), "zone_matrix", id_col)
 
 
 def parse_seasonal_zones(docs: DataFrame, id_col="page_id") -> ParsedCharts:
     """Season x cabin tables with a zone legend."""
-    return _emit(docs, seasonal_rows(F.col("tables"), F.col("program")), "seasonal", id_col)
+    return emit(docs, seasonal_rows(F.col("tables"), F.col("program")), "seasonal", id_col)
 
 
 def parse_matrix_blocks(docs: DataFrame, id_col="doc_id") -> ParsedCharts:
     """Matrices of grid documents, several cabin rows under one label."""
-    return _emit(docs, matrix_block_rows(F.col("grids"), F.col("program")), "zone_matrix", id_col)
+    return emit(docs, matrix_block_rows(F.col("grids"), F.col("program")), "zone_matrix", id_col)
 
 
 def parse_distance_grid(docs: DataFrame, id_col="doc_id") -> ParsedCharts:
     """Distance-band grids of grid documents."""
-    return _emit(docs, distance_grid_rows(F.col("grids"), F.col("program")), "distance", id_col)
+    return emit(docs, distance_grid_rows(F.col("grids"), F.col("program")), "distance", id_col)
 
 
 def parse_triangular_text(docs: DataFrame, text_col="page_text", id_col="doc_id") -> DataFrame:

@@ -16,6 +16,7 @@ from awardlake.functions import labels
 from awardlake.functions.rows import inline_rows
 from awardlake.functions.text import collapse_space, digit_runs, number_is_grounded
 from awardlake.operators.documents import html_to_text
+from awardlake.schemas import PROPOSED_ROWS
 
 NUMBER = r"\d{1,3}(?:[,\s]\d{3})+|\d{4,6}"
 NEAR_KEYWORD = rf"(?i)({NUMBER})\s*(?:miles|points|pts)\b"
@@ -187,6 +188,17 @@ def ground_rows(raw_rows: DataFrame, docs: DataFrame, text_col="text", id_col="d
     return judged.where("reason IS NULL").drop("reason", "raw_program"), judged.where("reason IS NOT NULL")
 
 
+def run_extractor(docs: DataFrame, extractor, text_col="text", id_col="doc_id"):
+    """(kept, rejected) rows of any extractor backend; its output always passes :func:`ground_rows`.
+
+    ``extractor`` maps an iterator of pandas batches (id, text) to one of proposed rows: the id and the
+    columns of ``schemas.PROPOSED_ROWS``.
+    """
+    given = docs.select(id_col, F.col(text_col).alias("text"))
+    proposed = given.mapInPandas(extractor, f"`{id_col}` {dict(given.dtypes)[id_col]}, {PROPOSED_ROWS}")
+    return ground_rows(proposed, docs, text_col, id_col)
+
+
 def devaluation_program(title):
     """Programme an announcement of changed prices names, or NULL (Column -> Column)."""
     low = F.lower(title)
