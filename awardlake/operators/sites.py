@@ -28,7 +28,7 @@ def classify_fetch_blocks(fetch_log: DataFrame, min_shell_chars=vocab.MIN_BODY_C
     )
     read = fetch_log.withColumns(
         {
-            "_b": F.lower(F.substring(whole, 1, 8000)), "_len": F.length(whole), "_raw": looks_undecoded(whole),
+            "_b": F.lower(F.substring(whole, 1, 8000)), "_len": F.length(whole),
             "_server": F.lower(header("server")), "_ray": header("cf-ray"), "_cookie": F.lower(header("set-cookie")),
         }
     ).withColumns({"_chal": _any(F.col("_b"), vocab.CHALLENGE_MARKS)})
@@ -60,7 +60,7 @@ def classify_fetch_blocks(fetch_log: DataFrame, min_shell_chars=vocab.MIN_BODY_C
         .when(F.col("_chal"), _outcome("waf_cloudflare", "body:cloudflare_challenge"))
         .when(_any(b, vocab.CAPTCHA_MARKS), _outcome("captcha", "body:captcha"))
         .when(F.contains(b, F.lit("cdn-cgi")) & F.contains(b, F.lit("challenge")), _outcome("js_challenge", "body:js_challenge"))
-        .when(F.col("_raw"), _outcome("undecoded", "body:undecoded"))
+        .when(looks_undecoded(whole), _outcome("undecoded", "body:undecoded"))
         .when((status == 403) & _any(b, vocab.SOFT_DENY_MARKS), _outcome("waf_akamai", "status:403", "body:akamai_ish"))
         .when(status == 403, _outcome("http_403", "status:403"))
         .when(status.isin(500, 502, 503, 504), _outcome("unknown", status_sig))
