@@ -9,7 +9,7 @@ from awardlake.checks.verify_checks import (
 )
 from awardlake.operators import ranking
 from awardlake.plans import paths, quotes
-from awardlake.sources import catalogue
+from awardlake.sources import catalogue, sinks
 
 
 def ratios(d):
@@ -113,7 +113,7 @@ FROM walk w JOIN va ON va.route_key = w.route_key AND va.program = w.dst
 
 @query("enumerate_paths", PATHS_SQL)
 def _paths(d):
-    edges = paths.build_edges(d.view("requests"), all_ratios(d), verified_awards(d), True)
+    edges = sinks.materialize(paths.build_edges(d.view("requests"), all_ratios(d), verified_awards(d), True), "edges")
     return paths.enumerate_paths(edges).select(
         "request_id", "program", "hops", "transfers", r6(F.col("ratio")).alias("ratio"), "miles", "seats",
         r6(F.col("confidence")).alias("confidence"), joined(F.col("flags")).alias("flags"),
@@ -204,7 +204,7 @@ def _options(d):
 def plain_options(d):
     """Options built by the stepwise operators P1-P4 and W5 instead of the batch plan."""
     asked, fares = d.view("requests"), verified_fares(d)
-    edges = paths.build_edges(asked, ratios(d), verified_awards(d))
+    edges = sinks.materialize(paths.build_edges(asked, ratios(d), verified_awards(d)), "edges")
     moved = paths.transfer_options(paths.enumerate_paths(edges), fares, asked)
     floor = paths.portal_option(asked, fares).withColumn("path_ord", F.array().cast("array<bigint>"))
     return paths.rank_options(moved.unionByName(floor))
@@ -218,7 +218,7 @@ def _plain_options(d):
 @query("transfer_options", f"WITH {OPTIONS_CTE} SELECT {', '.join(OPTION_COLUMNS[:-1])} FROM opts WHERE kind = 'transfer'")
 def _transfer_options(d):
     asked, fares = d.view("requests"), verified_fares(d)
-    edges = paths.build_edges(asked, ratios(d), verified_awards(d))
+    edges = sinks.materialize(paths.build_edges(asked, ratios(d), verified_awards(d)), "edges")
     out = paths.transfer_options(paths.enumerate_paths(edges), fares, asked)
     return out.withColumn("flags", joined(F.col("flags"))).select(OPTION_COLUMNS[:-1])
 

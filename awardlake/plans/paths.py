@@ -126,7 +126,12 @@ def _with_seat(chains, confidence, flags, seats):
 
 
 def enumerate_paths(edges: DataFrame, max_transfer_hops=vocab.MAX_TRANSFER_HOPS) -> DataFrame:
-    """All simple paths from the request's currency to the seat, at most hops + 2 edges long."""
+    """All simple paths from the request's currency to the seat, at most hops + 2 edges long.
+
+    The edges are read once per transfer; where they are costly to build, pass them as a written table
+    (``sinks.materialize``). Where all requests share one catalogue, :func:`transfer_paths` walks the
+    catalogue instead of every request's copy of it.
+    """
     hops = edges.where(F.col("dst") != SEAT)
     seats = edges.where(F.col("dst") == SEAT).select(
         "request_id", F.col("src").alias("program"), "miles", "seats",
