@@ -67,8 +67,19 @@ def chunks(batches, column="text", limit=CHUNK_BYTES):
             start = stop
 
 
+_POWERS = {}
+
+
 def powers(n, base=_BASE):
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)]))[:n]
+    """The first ``n`` powers of ``base``; the longest table up to two chunks is kept."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1), base, np.uint64)
+        known[0] = 1
+        np.cumprod(known, out=known)
+        if n <= 2 * CHUNK_BYTES:
+            _POWERS[base] = known
+    return known[:n]
 
 
 class Rolling:

@@ -52,3 +52,28 @@ def minhash(spark, sf_dir):
     from awardlake.llm.minhash import near_duplicates
 
     return near_duplicates(documents(spark, sf_dir), words=4, percent=80)
+
+
+REPEATS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, sha256(h[2 * p + 1:2 * p + 200]) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d)),
+again AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+edges AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new FROM again),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM edges),
+spans AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, s, e, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS next FROM spans),
+tails AS (
+  SELECT g.doc_id, min(s) AS s, CAST(sum(e - s) AS BIGINT) AS n_removed, count(*) AS n_spans,
+    string_agg(d.h[2 * e + 1:2 * coalesce(next, n)], '' ORDER BY s) AS tail
+  FROM gaps g JOIN d USING (doc_id) GROUP BY g.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN s IS NULL THEN h ELSE h[1:2 * s] || tail END)) AS kept_sha256
+FROM d LEFT JOIN tails USING (doc_id)
+"""
+
+
+@query("op10_suffix_dedup", REPEATS_SQL)
+def suffix_dedup(spark, sf_dir):
+    from awardlake.llm import suffixes
+
+    return suffixes.digests(documents(spark, sf_dir), length=100)
