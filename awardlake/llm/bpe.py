@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, functions as F
 from awardlake.llm.common import texts
 
 #: Pieces up to this many bytes are leaves of the tree.
-LEAF = 8
-#: Entries of the cache from piece to ids and of the cache of stable pairs; a full cache starts anew.
-CACHE = 1 << 17
+LEAF = 6
+#: Entries of the cache from piece to ids (a full one starts anew), and of those of leaves and stable pairs.
+CACHE, SHORT = 1 << 19, 1 << 17
 #: Documents handed back to Spark at once.
 ROWS = 256
 
@@ -38,12 +38,14 @@ class Merges:
     def __init__(self, raw: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.stable = functools.lru_cache(CACHE)(lambda left, right: self.merge(left + right) == [left, right])
+        self.short = functools.lru_cache(SHORT)(self._merge_short)
+        self.stable = functools.lru_cache(SHORT)(lambda left, right: self.merge(left + right) == [left, right])
 
     def merge(self, piece: bytes) -> list[bytes]:
         """Merge neighbours by lowest rank, leftmost first, until none is in the table."""
-        if len(piece) > 4 * LEAF:
-            return self._merge_long(piece)
+        return self.short(piece) if len(piece) <= 16 else self._merge_long(piece)
+
+    def _merge_short(self, piece: bytes) -> list[bytes]:
         ranks, parts = self.ranks, [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
             best, at = None, -1

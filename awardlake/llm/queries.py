@@ -77,3 +77,36 @@ def suffix_dedup(spark, sf_dir):
     from awardlake.llm import suffixes
 
     return suffixes.digests(documents(spark, sf_dir), length=100)
+
+
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    len(regexp_extract_all(coalesce(text, ''), '[!#$%&*|]+')) AS runs,
+    (CAST('0x' || substr(md5('5:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM documents),
+k AS (SELECT *, -ln(u) / (1 - least(0.9::DOUBLE, runs::DOUBLE / greatest(size, 1))) AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
+r AS (SELECT *, ([3, 1, 2])[1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3] AS weight FROM s),
+o AS (SELECT *, 2 * source_size::DOUBLE / weight AS ratio FROM r),
+l AS (
+  SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS BIGINT) - 2 * CAST(sum(source_size) OVER up - source_size AS BIGINT))
+    / CAST(sum(weight) OVER () - sum(weight) OVER up + weight AS BIGINT) AS level
+  FROM o WINDOW up AS (ORDER BY ratio, source ASC NULLS LAST ROWS UNBOUNDED PRECEDING)),
+t AS (
+  SELECT source, source_size, coalesce(least((max(level) FILTER (WHERE level <= ratio) OVER ()) * weight, 2 * source_size::DOUBLE), 2 * source_size::DOUBLE) AS target
+  FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+f AS (
+  SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, CAST(round(e.target - e.epochs * e.source_size) AS BIGINT) AS rest,
+    CAST(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - k.size AS ahead
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - ahead)) AS BIGINT) AS taken FROM f
+"""
+
+
+@query("op5_mixing", MIX_SQL)
+def mixing(spark, sf_dir):
+    from awardlake.llm.mixing import allotment
+
+    return allotment(documents(spark, sf_dir))
