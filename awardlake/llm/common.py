@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: UTF-8 bytes handled at once inside a task; bounds numpy's temporary arrays whatever the batch.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 #: White space of the word definitions: space and tab to carriage return.
 SPACE = np.zeros(256, bool)
@@ -94,6 +94,10 @@ class Rolling:
     def hash(self, starts, ends):
         return mix((self.sums[ends] - self.sums[starts]) * self.unshift[starts])
 
+    def windows(self, size):
+        """Hashes of all substrings of ``size`` bytes."""
+        return mix((self.sums[size:] - self.sums[:-size]) * self.unshift[: len(self.sums) - size])
+
 
 def mix(x):
     """Bijective scrambling of 64-bit values."""

@@ -21,7 +21,7 @@ from awardlake.llm.common import Rolling, bytes_of, chunks
 
 GRAM = 32
 #: Windows looked at in one pass of numpy.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Anchors or distinct keys that a task holds before it sends a sorted run.
 HELD_ANCHORS, HELD_KEYS = 1 << 21, 1 << 17
 #: Bytes of text whose anchors meet in one task.
@@ -37,10 +37,8 @@ def anchors(data, ends, length, gram=GRAM):
     width = length - gram + 1
     for start in range(0, len(data) - length + 1, BLOCK):
         stop = min(start + BLOCK, len(data) - length + 1)
-        rolling = Rolling(data[start : stop + length - 1])
-        grams = np.arange(stop - start + width - 1)
-        hashes = rolling.hash(grams, grams + gram)
-        least, span = (hashes & ~_POSITION) | grams.astype(np.uint64), 1
+        hashes = Rolling(data[start : stop + length - 1]).windows(gram)
+        least, span = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64), 1
         while 2 * span <= width:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
@@ -161,6 +159,13 @@ def _shared_prefix(a: bytes, b: bytes, known: int) -> int:
     return size - (differs.bit_length() + 7) // 8 if differs else size
 
 
+def _with_anchors(batch):
+    """Rows that have anchors to look at, with the text of their document."""
+    batch = batch.filter(batch.column("offsets").is_valid())
+    columns = [*(batch.column(c) for c in ("id", "tie", "offsets")), batch.column("document").field("text")]
+    return pa.RecordBatch.from_arrays(columns, ["id", "tie", "offsets", "text"])
+
+
 def _send_runs(length, parts):
     """Front-coded sorted runs of distinct keys by part, and what the task itself already knows to be repeated."""
 
@@ -189,7 +194,7 @@ def _send_runs(length, parts):
 
     def run(batches):
         held, spans = {}, []
-        for batch in chunks(b.filter(b.column("offsets").is_valid()) for b in batches):
+        for batch in chunks(map(_with_anchors, batches)):
             data, bounds = bytes_of(batch.column("text"))
             rows, offset, first, last, hashes = anchors(data, bounds, length)
             cuts, wanted = _lists(batch.column("offsets"))
@@ -206,7 +211,7 @@ def _send_runs(length, parts):
                 else:
                     held[key] = min(old, place)
                     spans.append(max(old, place))
-            if len(held) >= HELD_KEYS or len(spans) >= 4 * HELD_KEYS:
+            if len(held) >= HELD_KEYS or len(spans) >= HELD_KEYS:
                 yield from packed(held, spans)
                 held, spans = {}, []
         yield from packed(held, spans)
@@ -358,14 +363,15 @@ def repeated_spans(docs: DataFrame, length=100) -> DataFrame:
     wanted = sent.mapInArrow(_repeated_anchors, "id long, tie long, offsets array<int>")
     wanted = wanted.groupBy("id", "tie").agg(F.flatten(F.collect_list("offsets")).alias("offsets"))
     wanted = wanted.select(F.col("id").alias("wid"), F.col("tie").alias("wtie"), "offsets")
-    # both joins are outer ones over the same columns, so that the texts are shuffled once
-    chosen = plain.join(wanted, (F.col("id") == F.col("wid")) & (F.col("tie") == F.col("wtie")), "left")
-    runs = chosen.select("id", "tie", "text", "offsets").mapInArrow(_send_runs(length, parts), _RUNS).repartition(parts, "part")
+    # both joins are outer ones that need the same columns, so that one shuffle of the texts serves both
+    chosen = keyed.join(wanted, (F.col(tag + "id") == F.col("wid")) & (F.col(tag + "tie") == F.col("wtie")), "left")
+    document = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")
+    chosen = chosen.select(document, F.col(tag + "id").alias("id"), F.col(tag + "tie").alias("tie"), "offsets")
+    runs = chosen.mapInArrow(_send_runs(length, parts), _RUNS).repartition(parts, "part")
     spans = runs.mapInArrow(_merge_part(length), "id long, tie long, starts array<int>, ends array<int>")
     spans = spans.groupBy("id", "tie").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     spans = spans.select(F.col("id").alias(tag + "sid"), F.col("tie").alias(tag + "stie"), F.col("starts").alias(tag + "starts"), F.col("ends").alias(tag + "ends"))
     found = keyed.join(spans, (F.col(tag + "id") == F.col(tag + "sid")) & (F.col(tag + "tie") == F.col(tag + "stie")), "left")
-    document = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")
     return found.select(document, F.col(tag + "starts").alias("starts"), F.col(tag + "ends").alias("ends"))
 
 
@@ -392,7 +398,7 @@ def digests(docs: DataFrame, length=100) -> DataFrame:
                 batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest),
             ], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = repeated_spans(docs, length)
+    found = repeated_spans(docs.select("doc_id", "text"), length)
     text = F.coalesce(F.col("document.text"), F.lit("")).cast("binary").alias("text")
     flat = found.select(F.col("document.doc_id").cast("long").alias("doc_id"), text, "starts", "ends")
     return flat.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
