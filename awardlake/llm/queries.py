@@ -110,3 +110,10 @@ def mixing(spark, sf_dir):
     from awardlake.llm.mixing import allotment
 
     return allotment(documents(spark, sf_dir))
+
+
+@query("op4_imatch")
+def imatch(spark, sf_dir):
+    from awardlake.llm.imatch import fingerprints
+
+    return fingerprints(documents(spark, sf_dir))
