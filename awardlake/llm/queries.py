@@ -117,3 +117,10 @@ def imatch(spark, sf_dir):
     from awardlake.llm.imatch import fingerprints
 
     return fingerprints(documents(spark, sf_dir))
+
+
+@query("op7_license_scan")
+def license_scan(spark, sf_dir):
+    from awardlake.llm.licenses import scan
+
+    return scan(documents(spark, sf_dir))
