@@ -53,8 +53,8 @@ def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets.astype(np.int64) - offsets[0]
 
 
-def chunks(batches, column="text", limit=CHUNK_BYTES):
-    """Split Arrow batches into slices whose texts hold about ``limit`` bytes; a longer text is a slice of its own."""
+def chunks(batches, column="text", limit=CHUNK_BYTES, rows=1 << 14):
+    """Split Arrow batches into slices of at most ``rows`` rows and about ``limit`` bytes of text; a longer text is a slice of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -62,7 +62,7 @@ def chunks(batches, column="text", limit=CHUNK_BYTES):
         start = 0
         while start < batch.num_rows:
             stop = int(np.searchsorted(ends, ends[start] + limit, "right")) - 1
-            stop = min(max(stop, start + 1), batch.num_rows)
+            stop = min(max(stop, start + 1), start + rows, batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -118,3 +118,20 @@ def words_of(data, ends, space=SPACE):
     first = np.flatnonzero(is_word & (~before | edge[:-1]))
     last = np.flatnonzero(is_word & (~after | edge[1:])) + 1
     return first, last, np.searchsorted(ends, first, "right") - 1
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label, per_class, classes=(0, 1), seed=1) -> DataFrame:
+    """Bounded sample of labelled rows to learn from: ``text``, ``label``; at most ``per_class`` of each class.
+
+    Ids are drawn from all labels by the order of a hash, held-out ids never; they are few, so they
+    are broadcast and the texts do not move. Null or other labels are left out; of repeated labels of
+    an id the largest counts.
+    """
+    known = labels.where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("label"))
+    parts = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(per_class) for c in classes]
+    ids = parts[0]
+    for part in parts[1:]:
+        ids = ids.unionAll(part)
+    ids = ids.select(F.col("doc_id").alias("of"), F.col("label").cast("int").alias("label"))
+    plain = texts(docs)
+    return plain.join(F.broadcast(ids), plain["doc_id"] == ids["of"]).select("text", "label")

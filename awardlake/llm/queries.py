@@ -124,3 +124,21 @@ def license_scan(spark, sf_dir):
     from awardlake.llm.licenses import scan
 
     return scan(documents(spark, sf_dir))
+
+
+def labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@query("op3_toxicity")
+def toxicity(spark, sf_dir):
+    from awardlake.llm.toxicity import severity
+
+    return severity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query("op1_quality")
+def quality(spark, sf_dir):
+    from awardlake.llm.quality import score
+
+    return score(documents(spark, sf_dir), labels(spark, sf_dir))
