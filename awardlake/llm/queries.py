@@ -142,3 +142,10 @@ def quality(spark, sf_dir):
     from awardlake.llm.quality import score
 
     return score(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query("op2_language")
+def language(spark, sf_dir):
+    from awardlake.llm.language import identify
+
+    return identify(documents(spark, sf_dir))
