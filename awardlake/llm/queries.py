@@ -149,3 +149,10 @@ def language(spark, sf_dir):
     from awardlake.llm.language import identify
 
     return identify(documents(spark, sf_dir))
+
+
+@query("op8_cross_polytope")
+def cross_polytope(spark, sf_dir):
+    from awardlake.llm.ann import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "id % 20 = 0")
