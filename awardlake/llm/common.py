@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: UTF-8 bytes handled at once inside a task; bounds numpy's temporary arrays whatever the batch.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1024
 
 #: White space of the word definitions: space and tab to carriage return.
 SPACE = np.zeros(256, bool)
@@ -32,8 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark):
+    """Whole texts can be long: hand at most ``BATCH_ROWS`` of them at once to Python (a session setting)."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone (null text: empty), so that no other column can clash."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

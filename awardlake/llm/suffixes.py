@@ -17,15 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from awardlake.llm.common import Rolling, bytes_of, chunks
+from awardlake.llm.common import Rolling, bytes_of, chunks, small_batches
 
 GRAM = 32
 #: Windows looked at in one pass of numpy.
 BLOCK = 1 << 18
 #: Anchors or distinct keys that a task holds before it sends a sorted run.
-HELD_ANCHORS, HELD_KEYS = 1 << 21, 1 << 17
+HELD_ANCHORS, HELD_KEYS = 1 << 20, 1 << 16
 #: Bytes of text whose anchors meet in one task.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 LAST_ID = (1 << 63) - 1
 
 _POSITION = np.uint64((1 << 24) - 1)
@@ -211,7 +211,7 @@ def _send_runs(length, parts):
                 else:
                     held[key] = min(old, place)
                     spans.append(max(old, place))
-            if len(held) >= HELD_KEYS or len(spans) >= HELD_KEYS:
+            if len(held) >= HELD_KEYS or len(spans) >= 2 * HELD_KEYS:
                 yield from packed(held, spans)
                 held, spans = {}, []
         yield from packed(held, spans)
@@ -351,6 +351,7 @@ def repeated_spans(docs: DataFrame, length=100) -> DataFrame:
     spans. One row per input row; column names of the input cannot clash.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     if length < GRAM + 1:
         raise ValueError(f"length must exceed {GRAM}")
     tag = "_" * (1 + max((len(c) for c in docs.columns), default=0))
