@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from awardlake.llm.common import LOWER, Rolling, bytes_of, chunks, cut, mix, texts, words_of
+from awardlake.llm.common import LOWER, Rolling, bytes_of, chunks, cut, mix, small_batches, texts, words_of
 from awardlake.llm.components import stars
 
 #: Hashes per band and bands. A pair at similarity 0.8 shares no band with probability 3e-7.
@@ -43,6 +43,10 @@ def shingle_sets(data, ends, words):
     return out
 
 
+def _digest(shingles):
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def minima(sets, size, seed):
     """Low 16 bits of ``size`` universal-hash minima of each non-empty set."""
     rng = np.random.default_rng(seed)
@@ -72,7 +76,7 @@ def sketches(docs: DataFrame, words, band_rows=BAND_ROWS, bands=BANDS, seed=1) -
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                pa.array([_digest(s) for s in sets], pa.binary()),
                 pa.array(signatures, pa.binary()),
             ], ["doc_id", "n_shingles", "digest", "signature"])
 
@@ -121,7 +125,7 @@ def _confirmed(pairs, docs, reps, words, percent):
         for batch in chunks(batches):
             found = shingle_sets(*bytes_of(batch.column("text")), words)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()),
+                batch.column("doc_id"), pa.array([_digest(s) for s in found], pa.binary()),
                 pa.array([s.tobytes() for s in found], pa.binary()),
             ], ["node", "digest", "shingles"])
 
@@ -141,8 +145,8 @@ def _confirmed(pairs, docs, reps, words, percent):
     return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, words=5, percent=80, band_rows=BAND_ROWS, bands=BANDS, seed=1) -> DataFrame:
-    """Components of documents whose word-shingle sets are similar: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
+def components_of(docs: DataFrame, words=5, percent=80, band_rows=BAND_ROWS, bands=BANDS, seed=1) -> DataFrame:
+    """Components of documents whose word-shingle sets are similar: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``digest``.
 
     Equal shingle sets form a class first, so copies never meet each other. Within a band's bucket
     every class is compared with the bucket's smallest one (linear in the bucket); after joining
@@ -184,10 +188,34 @@ def near_duplicates(docs: DataFrame, words=5, percent=80, band_rows=BAND_ROWS, b
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return placed.select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "digest",
     )
 
 
+def near_duplicates(docs: DataFrame, words=5, percent=80, **how) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every document; see ``components_of``."""
+    return components_of(docs, words, percent, **how).drop("digest")
+
+
+def one_of_each(docs: DataFrame, words=5, percent=80, **how) -> DataFrame:
+    """The documents, all columns, without those that are not the first of their component.
+
+    Rows that repeat an id and its words are one document: they stay or go together.
+    """
+    gone = cut(components_of(docs, words, percent, **how).where("not kept").select(F.col("doc_id").alias("gone"), F.col("digest").alias("of")).distinct())
+    tag = "_" * (1 + max((len(c) for c in docs.columns), default=0))
+
+    def run(batches):
+        for batch in chunks(batches):
+            digests = pa.array([_digest(s) for s in shingle_sets(*bytes_of(batch.column("text")), words)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, digests], [*batch.schema.names, tag])
+
+    small_batches(docs.sparkSession)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    marked = docs.mapInArrow(run, f"{schema}, `{tag}` binary")
+    return marked.join(gone, (F.col("doc_id").cast("long") == F.col("gone")) & (F.col(tag) == F.col("of")), "left_anti").drop(tag)
+
+
 def _with_root(df, roots, node, name):
     """Adds the root of a node; a node without one is its own."""
     known = roots.select(F.col("node").alias(node), F.col("root").alias("_root"))

@@ -10,10 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from awardlake.llm.common import LOWER, Rolling, bytes_of, chunks, held_out, labelled_sample, mix, texts, words_of
+from awardlake.llm.common import LOWER, Rolling, bytes_of, chunks, held_out, labelled_sample, mix, small_batches, texts, words_of
 
 #: Labelled documents per class that are learned from at most; features kept; grades above clean.
 SAMPLE, FEATURES, GRADES = 3000, 4096, 3
+#: Probability of any toxicity from which a filter rejects a document.
+REJECT = 0.3
 #: Bytes of word beginnings that are features besides whole words.
 BEGINNINGS = (4, 5, 6)
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
@@ -62,7 +64,10 @@ def _sampled_features(docs, labels, label, sample):
 
 
 def select(features, labels, keep=FEATURES, least=3):
-    """The features that tell the classes apart best (likelihood ratio), with their log-odds."""
+    """The features that tell the classes apart best (likelihood ratio) in ``least`` documents or more, their log-odds, and a scale.
+
+    The scale (root of the relative gain) keeps the many features that tell little from fitting chance.
+    """
     known, index = np.unique(np.concatenate(features), return_inverse=True)
     label = np.repeat(labels, [len(f) for f in features])
     totals = np.array([(labels == c).sum() for c in (0, 1)], float)
@@ -71,9 +76,10 @@ def select(features, labels, keep=FEATURES, least=3):
     pooled = (seen.sum(0) + 0.5) / (totals.sum() + 1)
     gain = sum(seen[c] * np.log(share[c] / pooled) + (totals[c] - seen[c]) * np.log((1 - share[c]) / (1 - pooled)) for c in (0, 1))
     gain[seen.sum(0) < least] = -1
-    best = np.sort(np.argsort(-gain, kind="stable")[:keep])
+    best = np.argsort(-gain, kind="stable")[:keep]
+    best = np.sort(best[gain[best] >= 0])
     odds = np.log(share[1] / (1 - share[1])) - np.log(share[0] / (1 - share[0]))
-    return known[best], odds[best]
+    return known[best], odds[best], np.sqrt(gain[best] / max(gain.max(), 1e-9))
 
 
 def _sigmoid(x):
@@ -121,20 +127,44 @@ def fit(docs: DataFrame, labels: DataFrame, label="toxic", sample=SAMPLE, grades
     features, counts, known = _sampled_features(docs, labels, label, sample)
     if len(set(known.tolist())) < 2:
         return None
-    chosen, odds = select(features, known)
+    chosen, odds, scale = select(features, known)
     index, values, starts, telling = [], [], [0], []
     for f, c in zip(features, counts):
-        at = np.searchsorted(chosen, f).clip(max=len(chosen) - 1)
-        hit = chosen[at] == f
+        at = np.searchsorted(chosen, f).clip(max=max(len(chosen) - 1, 0))
+        hit = chosen[at] == f if len(chosen) else np.zeros(len(f), bool)
         index.append(at[hit])
-        values.append(np.log1p(c[hit]))
+        values.append(np.log1p(c[hit]) * scale[at[hit]])
         starts.append(starts[-1] + int(hit.sum()))
         telling.append(float(c[hit][odds[at[hit]] > 2].sum()))
     telling = np.array(telling)
     cuts = np.quantile(telling[known == 1], [k / grades for k in range(1, grades)])
     grade = np.where(known == 1, 1 + np.searchsorted(cuts, telling, "left"), 0)
     weights, thresholds = train(np.concatenate(index), np.concatenate(values), np.array(starts), grade, len(chosen), grades)
-    return chosen, weights, thresholds
+    return chosen, weights * scale, thresholds
+
+
+def _cumulative(model):
+    """Function from an Arrow batch with ``text`` to P(grade >= k) of its rows, for whole texts."""
+    chosen, weights, thresholds = model if model is not None else (np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES, 40.0))
+    table = np.full(1 << SLOT_BITS, -1, np.int32)
+    slots = (chosen >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    known, number = np.unique(slots, return_counts=True)
+    table[slots] = np.arange(len(chosen))
+    table[known[number > 1]] = -2  # several features share the slot: looked up one by one
+
+    def above(batch):
+        rows, found = features_of(*bytes_of(batch.column("text")))
+        at = table[(found >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        rows, found, at = rows[at != -1], found[at != -1], at[at != -1]
+        total = np.zeros(batch.num_rows)
+        if len(at):
+            at = np.where(at == -2, np.searchsorted(chosen, found).clip(max=len(chosen) - 1), at)
+            hit = chosen[at] == found
+            pair, count = np.unique(rows[hit] * len(chosen) + at[hit], return_counts=True)
+            total = np.bincount(pair // len(chosen), np.log1p(count) * weights[pair % len(chosen)], minlength=batch.num_rows)
+        return _sigmoid(total[:, None] - thresholds)
+
+    return above
 
 
 def score(docs: DataFrame, model) -> DataFrame:
@@ -146,24 +176,9 @@ def score(docs: DataFrame, model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        chosen, weights, thresholds = shared.value if shared.value is not None else (np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES, 40.0))
-        table = np.full(1 << SLOT_BITS, -1, np.int32)
-        slots = (chosen >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        crowded = np.unique(slots, return_counts=True)
-        several = set(crowded[0][crowded[1] > 1].tolist())
-        table[slots] = np.arange(len(chosen))
-        table[list(several)] = -2
+        cumulative = _cumulative(shared.value)
         for batch in chunks(batches):
-            rows, found = features_of(*bytes_of(batch.column("text")))
-            at = table[(found >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-            rows, found, at = rows[at != -1], found[at != -1], at[at != -1]
-            total = np.zeros(batch.num_rows)
-            if len(at):
-                at = np.where(at == -2, np.searchsorted(chosen, found).clip(max=len(chosen) - 1), at)
-                hit = chosen[at] == found
-                pair, count = np.unique(rows[hit] * len(chosen) + at[hit], return_counts=True)
-                total = np.bincount(pair // len(chosen), np.log1p(count) * weights[pair % len(chosen)], minlength=batch.num_rows)
-            above = _sigmoid(total[:, None] - thresholds)
+            above = cumulative(batch)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(above.sum(1)), pa.array((above >= 0.5).sum(1).astype(np.int32)), pa.array(above[:, 0])],
                 ["doc_id", "severity", "grade", "toxic"])
@@ -171,6 +186,19 @@ def score(docs: DataFrame, model) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, severity double, grade int, toxic double")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, label="toxic", sample=SAMPLE, reject=REJECT) -> DataFrame:
+    """The documents, all columns and rows in place, whose P(grade >= 1) stays below ``reject``; null texts stay."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, sample))
+
+    def run(batches):
+        cumulative = _cumulative(shared.value)
+        for batch in chunks(batches):
+            yield batch.filter(pa.array(cumulative(batch)[:, 0] < reject))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def severity(docs: DataFrame, labels: DataFrame, label="toxic", sample=SAMPLE) -> DataFrame:
     """Severity of every document; learned from a bounded sample of labels outside the held-out fold.
 
