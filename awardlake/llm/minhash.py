@@ -13,6 +13,8 @@ from awardlake.llm.components import stars
 BAND_ROWS, BANDS = 6, 50
 #: Standard deviations below the threshold at which an estimated similarity rules a pair out.
 MARGIN = 6.0
+#: Rounds of comparing with a bucket's centre; bits of the field that tells where sets are needed.
+ROUNDS, FIELD = 3, 1 << 24
 
 _FACTORS = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
 
@@ -94,10 +96,10 @@ def _band_keys(reps, band_rows):
             keys = mix(keys + np.arange(keys.shape[1], dtype=np.uint64) * _FACTORS[0])
             flat = pa.array(keys.view(np.int64).ravel())
             offsets = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(offsets, flat)], ["node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.ListArray.from_arrays(offsets, flat)], ["node", "n", "keys"])
 
-    packed = reps.select("node", "signature").mapInArrow(run, "node long, keys array<long>")
-    return packed.select("node", F.explode("keys").alias("key"))
+    packed = reps.select("node", F.col("n_shingles").cast("int").alias("n"), "signature").mapInArrow(run, "node long, n int, keys array<long>")
+    return packed.select("node", "n", F.explode("keys").alias("key"))
 
 
 def _estimated(pairs, reps, threshold, size):
@@ -117,16 +119,34 @@ def _estimated(pairs, reps, threshold, size):
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
+def _marked(nodes):
+    """Bit field of fixed size over hashed ids: tells which documents cannot be among ``nodes``."""
+    slots = nodes.select(F.pmod(F.xxhash64("node"), F.lit(FIELD)).alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    field = np.zeros(FIELD // 64, np.int64)
+    field[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return field.view(np.uint64)
+
+
 def _confirmed(pairs, docs, reps, words, percent):
-    """Pairs of nodes with 100 * intersection >= percent * union on their full shingle sets."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    """Pairs of nodes with 100 * intersection >= percent * union on their full shingle sets.
+
+    Sets are made where the texts are read; the bit field spares most other documents that work, the
+    join with the nodes decides.
+    """
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    field = docs.sparkSession.sparkContext.broadcast(_marked(nodes))
 
     def sets_of(batches):
-        for batch in chunks(batches):
+        def possible():
+            for batch in batches:
+                slot = batch.column("slot").to_numpy(zero_copy_only=False).astype(np.int64)
+                yield batch.filter(pa.array((field.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1))
+
+        for batch in chunks(possible()):
             found = shingle_sets(*bytes_of(batch.column("text")), words)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([_digest(s) for s in found], pa.binary()),
-                pa.array([s.tobytes() for s in found], pa.binary()),
+                batch.column("doc_id"), pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary()),
             ], ["node", "digest", "shingles"])
 
     def compare(batches):
@@ -138,21 +158,66 @@ def _confirmed(pairs, docs, reps, words, percent):
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = texts(docs).join(nodes, "doc_id", "left_semi").mapInArrow(sets_of, "node long, digest binary, shingles binary")
-    sets = cut(sets.join(reps.select("node", "digest"), ["node", "digest"]).distinct().select("node", "shingles"))
+    slots = texts(docs).where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FIELD)).alias("slot"))
+    wanted = reps.select("node", "digest").join(nodes, "node", "left_semi")
+    sets = slots.mapInArrow(sets_of, "node long, digest binary, shingles binary").join(wanted, ["node", "digest"])
+    sets = cut(sets.distinct().select("node", "shingles"))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb"))
-    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long"))
+    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long").distinct())
+
+
+def _with_centres(buckets):
+    """Adds each bucket's ``centre``: the member that meets most others over all its buckets, then the smallest.
+
+    The original of many near copies is closer to each than they are to each other, so it meets most.
+    """
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
+    degree = buckets.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("degree"))
+    ranked = buckets.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("down"), F.col("n"))).alias("best"))
+    return buckets.join(ranked.select("key", (-F.col("best.down")).alias("centre"), F.col("best.n").alias("centre_n")), "key")
+
+
+def _links(buckets, reps, docs, words, percent, size):
+    """Confirmed links that join every component among nodes that share a bucket."""
+
+    def verified(pairs):
+        return _confirmed(cut(_estimated(pairs, reps, percent / 100, size)), docs, reps, words, percent)
+
+    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    tested = links = None
+    rows, roots = buckets, None
+    for _ in range(ROUNDS):
+        rows = cut(_with_centres(rows))
+        pairs = rows.where((F.col("node") != F.col("centre")) & near("n", "centre_n"))
+        if roots is not None:
+            pairs = _with_root(pairs, roots, "centre", "centre_root").where("root <> centre_root")
+        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        found = verified(pairs)
+        tested = pairs if tested is None else tested.unionAll(pairs)
+        links = found if links is None else links.unionAll(found)
+        roots = stars(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        rows = _with_root(rows.where("node <> centre").select("key", "node", "n"), roots, "node", "root")
+        open_ = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        rows = cut(rows.join(open_.select("key"), "key"))
+        if rows.isEmpty():
+            return links
+    x = rows.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+    y = rows.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near("n_a", "n_b")).select("a", "b").distinct()
+    return links.unionAll(verified(pairs.join(tested, ["a", "b"], "left_anti")))
 
 
 def components_of(docs: DataFrame, words=5, percent=80, band_rows=BAND_ROWS, bands=BANDS, seed=1) -> DataFrame:
     """Components of documents whose word-shingle sets are similar: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``digest``.
 
     Equal shingle sets form a class first, so copies never meet each other. Within a band's bucket
-    every class is compared with the bucket's smallest one (linear in the bucket); after joining
-    these links into components, only classes outside the component of their bucket's smallest one
-    are compared with the classes of other components there. No link between components is lost to
-    a cap; a pair that shares no band is missed with probability (1 - s**band_rows)**bands.
+    every class is compared with the bucket's centre (linear in the bucket) and joined into
+    components; rounds repeat with the next centres where a bucket still holds several components,
+    and what is left after ``ROUNDS`` is compared in full, but only across components. No link
+    between components is lost to a cap; a pair that shares no band is missed with probability
+    (1 - s**band_rows)**bands.
 
     Null or empty texts have no shingles and are linked with nothing; fewer words than ``words``
     make one shingle. A null ``doc_id`` is linked with nothing (null component, kept). Rows that
@@ -164,25 +229,11 @@ def components_of(docs: DataFrame, words=5, percent=80, band_rows=BAND_ROWS, ban
     sketch = cut(sketches(docs, words, band_rows, bands, seed))
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = cut(full.groupBy("digest").agg(F.min("doc_id").alias("node")))
-    reps = cut(full.join(classes, ["digest"]).where("doc_id = node").select("node", "digest", "signature").distinct())
+    reps = cut(full.join(classes, ["digest"]).where("doc_id = node").select("node", "n_shingles", "digest", "signature").distinct())
     rows = _band_keys(reps, band_rows)
-    buckets = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
-    buckets = cut(rows.join(buckets.select("key", "pivot"), "key"))
-
-    def verified(pairs):
-        return _confirmed(cut(_estimated(pairs, reps, percent / 100, band_rows * bands)), docs, reps, words, percent)
-
-    tested = cut(buckets.where("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    links = verified(tested)
-    roots = stars(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = _with_root(_with_root(buckets, roots, "node", "root"), roots, "pivot", "pivot_root")
-    odd = named.where("root <> pivot_root").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"), "pivot_root")
-    others = named.where("node <> pivot").select("key", F.col("node").alias("y"), F.col("root").alias("y_root"))
-    # of two odd ones, the smaller meets the larger; one of the pivot's own component meets every odd one
-    cross = odd.join(others, "key").where("x_root <> y_root and (y_root = pivot_root or x < y)")
-    pairs = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = verified(pairs.join(tested, ["a", "b"], "left_anti"))
-    links = links.unionAll(more)
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = cut(rows.join(shared.select("key"), "key"))
+    links = _links(buckets, reps, docs, words, percent, band_rows * bands)
     roots = stars(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = _with_root(sketch.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left"), roots, "node", "root")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
