@@ -270,23 +270,33 @@ def merged(runs):
 
 
 def _spans_of_gram(group, length):
-    """Repeated spans among the distinct keys of one gram: windows whose content has an earlier place."""
-    backs = [(key[8 : 8 + place[3] - place[2] - back], key[len(key) - back :][::-1], back, place) for key, back, place in group]
-    deepest = max(back for _, _, back, _ in backs)
-    again = [[] for _ in backs]
-    for depth in range(deepest + 1):
+    """Repeated spans among the distinct keys of one gram: windows whose content has an earlier place.
+
+    Windows of one depth (bytes before the anchor) are looked at together; of each key only one bit
+    per repeated window is kept, and runs of bits leave as one span.
+    """
+    again = [0] * len(group)
+    for depth in range(max(back for _, back, _ in group) + 1):
         first = {}
-        for i, (ahead, behind, back, place) in enumerate(backs):
-            if depth <= back and len(ahead) >= length - depth:
-                window, at = behind[back - depth :] + ahead[: length - depth], (*place[:2], place[2] + back - depth, i)
+        for i, (key, back, place) in enumerate(group):
+            ahead = len(key) - 9 - back
+            if depth <= back and ahead >= length - depth:
+                # the bytes before the anchor stand reversed behind the separator
+                window = key[8 : 8 + length - depth] + key[8 + ahead : 9 + ahead + depth]
+                at = (*place[:2], place[2] + back - depth, i)
                 old = first.setdefault(window, at)
                 if old is not at:
                     if at < old:
                         first[window], at = at, old
-                    again[at[3]].append(at[2])
-    for starts, (_, _, _, place) in zip(again, backs):
-        for start in starts:
-            yield (*place[:2], start, start + length)
+                    again[at[3]] |= 1 << (at[2] - group[at[3]][2][2])
+    for bits, (_, _, place) in zip(again, group):
+        at = place[2]
+        while bits:
+            skip = (bits & -bits).bit_length() - 1
+            bits, at = bits >> skip, at + skip
+            run = (~bits & (bits + 1)).bit_length() - 1
+            yield (*place[:2], at, at + run - 1 + length)
+            bits, at = bits >> run, at + run
 
 
 def _merge_part(length):
