@@ -30,12 +30,11 @@ def number_is_grounded(miles: Column, text: Column) -> Column:
 
 
 def looks_undecoded(text: Column) -> Column:
-    """True when under 85 % of the first 2000 characters are printable."""
-    sample = F.substring(text, 1, 2000)
-    kept = F.length(F.regexp_replace(sample, r"[\p{C}\p{Z}&&[^\r\n\t ]]", ""))
+    """True when under 85 % of the characters are printable."""
+    kept = F.length(F.regexp_replace(text, r"[\p{C}\p{Z}&&[^\r\n\t ]]", ""))
     # Plain ASCII text, the common case, is settled by a cheap test.
-    odd = ~sample.rlike(r"^[\x20-\x7e\r\n\t]*+$")
-    return F.coalesce(odd & (kept / F.length(sample) < 0.85), F.lit(False))
+    odd = ~text.rlike(r"^[\x20-\x7e\r\n\t]*+$")
+    return F.coalesce(odd & (kept / F.length(text) < 0.85), F.lit(False))
 
 
 def collapse_space(text: Column) -> Column:

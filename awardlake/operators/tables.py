@@ -2,12 +2,12 @@
 
 import re
 import sys
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from awardlake.functions import markup
 from awardlake.functions.rows import inline_rows
 from awardlake.operators import charts
 
@@ -18,80 +18,65 @@ TABLE_TYPE = (
 # Executors need no installed copy of this module.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
-HIDDEN = frozenset(("script", "style"))
-
-
-def _tidy(parts):
-    return re.sub(r"\s+", " ", " ".join(parts)).strip()
-
-
-class _Tables(HTMLParser):
-    """Outermost tables as grids of cell texts, with the text and heading that precede them."""
-
-    def __init__(self):
-        super().__init__()
-        self.found, self.level, self.hidden = [], 0, 0
-        self.cell = self.heading = None
-        self.row, self.grid, self.gap = [], [], []
-        self.title, self.context = "", ("", "")
-
-    def _end_row(self):
-        if self.row:
-            self.grid.append(self.row)
-        self.row = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            if not self.level:
-                self.context, self.gap = (_tidy(self.gap), self.title), []
-                self.grid, self.row = [], []
-            self.level += 1
-        elif self.level:
-            if tag in ("td", "th"):
-                self.cell = []
-        elif tag in HIDDEN:
-            self.hidden += 1
-        elif tag in HEADINGS:
-            self.heading = []
-
-    def handle_endtag(self, tag):
-        if self.level:
-            if tag == "table":
-                self.level -= 1
-                if not self.level:
-                    self._end_row()
-                    head, *body = self.grid or [[]]
-                    self.found.append(([c.lower() for c in head], body, *self.context))
-            elif tag in ("td", "th"):
-                self.row.append("".join(self.cell or ()).strip())
-                self.cell = None
-            elif tag == "tr":
-                self._end_row()
-        elif tag in HIDDEN and self.hidden:
-            self.hidden -= 1
-        elif tag in HEADINGS and self.heading is not None:
-            self.title, self.heading = _tidy(self.heading), None
-
-    def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
-        elif not self.level and not self.hidden:
-            self.gap.append(data)
-            if self.heading is not None:
-                self.heading.append(data)
+HEADING = re.compile("h[1-6]$")
+CELL = frozenset(("td", "th"))
+
+
+def _tidy(texts):
+    return re.sub(r"\s+", " ", " ".join(texts)).strip()
+
+
+def _grid(log):
+    """Rows of cell texts among the events of one table; inner tables add to the cell and row they stand in."""
+    rows, cell = [[]], None
+    for kind, tag, value in log:
+        if kind == markup.TEXT:
+            if cell is not None:
+                cell.append(value)
+        elif tag in CELL and kind == markup.OPEN:
+            cell = []
+        elif tag in CELL:
+            rows[-1].append("".join(cell or ()).strip())
+            cell = None
+        elif tag == "tr" and kind == markup.CLOSE:
+            rows.append([])
+    return [row for row in rows if row]
+
+
+def _shown(log):
+    """Texts outside script and style, blank ones too."""
+    inside = 0
+    for kind, tag, value in log:
+        if kind == markup.TEXT and not inside:
+            yield value
+        elif tag in markup.UNSEEN:
+            inside = max(0, inside + (1 if kind == markup.OPEN else -1))
+
+
+def _last_heading(log, before):
+    """Text of the last heading that ends among these events, or the one before."""
+    opened = None
+    for at, (kind, tag, _) in enumerate(log):
+        if tag is not None and HEADING.match(tag):
+            if kind == markup.OPEN:
+                opened = at
+            elif opened is not None:
+                before, opened = _tidy(_shown(log[opened:at])), None
+    return before
 
 
 def _tables_of(html):
-    parser = _Tables()
-    try:
-        parser.feed(html or "")
-    except Exception:  # a page the parser cannot read has no tables
-        return []
-    return [
-        {"table_ord": i, "header": h, "rows": r, "preceding_text": t, "preceding_heading": p}
-        for i, (h, r, t, p) in enumerate(parser.found)
-    ]
+    log, found, end, heading = markup.events(html), [], 0, ""
+    for start, stop in markup.outermost(log, "table"):
+        between = log[end : start - 1]
+        heading = _last_heading(between, heading)
+        head, *body = _grid(log[start:stop]) or [[]]
+        found.append({
+            "table_ord": len(found), "header": [c.lower() for c in head], "rows": body,
+            "preceding_text": _tidy(_shown(between)), "preceding_heading": heading,
+        })
+        end = stop + 1
+    return found
 
 
 def _tables_batch(html: pd.Series) -> pd.Series:
@@ -115,8 +100,8 @@ def extract_html_tables(pages: DataFrame, html_col="html", id_col="page_id") ->
     return inline_rows(with_tables(hit, html_col), [id_col], F.col("tables"), "table_ord")
 
 
-def profile_table_shapes(pages: DataFrame, id_col="page_id") -> DataFrame:
-    """Per page with a ``tables`` column: table count, headers, sizes, first rows, accepting parsers."""
+def profile_table_shapes(pages: DataFrame, id_col="page_id", first=3) -> DataFrame:
+    """Per page with a ``tables`` column: table count, headers, sizes, the ``first`` rows, accepting parsers."""
     t = F.col("tables")
     accepted = lambda test: F.transform(F.filter(t, test), lambda x: x["table_ord"])
     return pages.select(
@@ -124,7 +109,7 @@ def profile_table_shapes(pages: DataFrame, id_col="page_id") -> DataFrame:
         F.size(t).alias("tables"),
         F.transform(t, lambda x: F.array_join(x["header"], "|")).alias("headers"),
         F.transform(t, lambda x: F.size(x["rows"])).alias("row_counts"),
-        F.transform(t, lambda x: F.slice(x["rows"], 1, 3)).alias("first_rows"),
+        F.transform(t, lambda x: F.slice(x["rows"], 1, first)).alias("first_rows"),
         accepted(charts.is_long).alias("long_tables"),
         accepted(charts.is_wide).alias("wide_tables"),
         accepted(charts.is_destination).alias("destination_tables"),

@@ -164,3 +164,23 @@ def test_number_heavy_document(spark):
     text = "LifeMiles economy to Brazil: " + " ".join(f"{n:,} miles" for n in range(10000, 12000))
     df = spark.createDataFrame([(1, text)], "doc_id int, text string")
     assert claims.find_price_mentions(df).count() == 2000
+
+
+def test_markup_is_read_to_its_end(spark):
+    from awardlake.functions import markup
+
+    pages = ["<p>Hello</p> tail text 45,000 miles AT&T", "<p>open <b>tag &x", "<style>a{}</style>x<script>if (a<b) y()</script> z", None, "plain"]
+    assert values(spark, pages, documents.html_to_text) == ["Hello  tail text 45,000 miles AT&T", "open  tag &x", "x  z", None, "plain"]
+    assert list(markup.attribute(markup.events("<a href=' u '>x</a><a>y</a><a href=z"), "a", "href")) == ["u"]
+    found = tables._tables_of("<h2>One <i>two</i></h2><table><tr><th>A</th></tr><tr><td>1<table><tr><td>in</td></tr></table></td></tr></table>rest<table><tr><td>2</td></tr></table>")
+    assert [(t["header"], t["preceding_heading"]) for t in found] == [(["a"], "One two"), (["2"], "One two")]
+    assert found[1]["preceding_text"] == "rest"
+
+
+def test_no_silent_limits(spark):
+    entries = spark.createDataFrame([("f", f"u{i}", i) for i in range(30)], "feed string, url string, entry_ord int")
+    seen = spark.createDataFrame([("f", "u0", "2024-01-01")], "feed string, url string, seen_at string").withColumn("seen_at", F.col("seen_at").cast("timestamp"))
+    assert claims.new_items_only(entries, seen, "2024-01-02").count() == 29
+    assert [r.url for r in claims.new_items_only(entries, seen, "2024-01-02", limit=1).collect()] == ["u1"]
+    text = "a" * 3000 + "\x01" * 3000
+    assert values(spark, [text, text[:3000]], fn.looks_undecoded) == [True, False]
