@@ -79,7 +79,7 @@ SELECT {PAGE}, 'chart', program, region_a, region_b, miles, 'day ' || p_size FRO
 def _payloads(d):
     docs = text_docs(d, FEED_ITEM, FEED_HEAD, "</channel></rss>", glue="\n")
     docs = docs.unionByName(d.table("pages").select((F.col("page_id") + 1_000_000).alias("doc_id"), F.col("html").alias("text")))
-    chart, award = documents.parse_feed_payloads(docs)
+    chart, award, _ = documents.parse_feed_payloads(docs)
     return award.select("doc_id", F.lit("award").alias("kind"), "program", F.col("dest").alias("a"), F.lit("").alias("b"), "miles", "updated_at").unionByName(
         chart.select("doc_id", F.lit("chart").alias("kind"), "program", F.col("region_a").alias("a"), F.col("region_b").alias("b"), "miles", "updated_at")
     )
@@ -205,6 +205,13 @@ def _links(d):
     return documents.extract_links(link_docs(d)).withColumn("ord", F.col("ord").cast("bigint"))
 
 
+@query("follow_every_link", f"""
+WITH {LINK_ROWS} SELECT doc_id, ord, kind <> 'noise' AND row_number() OVER (PARTITION BY doc_id, kind, coalesce(video_id, url) ORDER BY ord) = 1 AS followed FROM links
+""")
+def _follow(d):
+    return documents.classify_links(documents.extract_links(link_docs(d))).select("doc_id", F.col("ord").cast("bigint").alias("ord"), "followed")
+
+
 @query("classify_links", f"""
 WITH {LINK_ROWS},
 f AS (SELECT *, kind <> 'noise' AND row_number() OVER (PARTITION BY doc_id, kind, coalesce(video_id, url) ORDER BY ord) = 1 AS fresh FROM links)
@@ -276,6 +283,18 @@ def _mentions(d):
     return claims.find_price_mentions(prose_docs(d).unionByName(docs)).select("doc_id", "miles")
 
 
+@query("new_items_limited", """
+SELECT feed, url FROM (SELECT o_custkey AS feed, o_orderkey AS url, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM @orders
+  WHERE NOT (o_orderkey % 3 = 0 AND o_orderdate > timestamp '1992-06-02 00:00:00')) WHERE rn <= 2
+""")
+def _new_limited(d):
+    """With a limit, the newest two of what is new: seen entries do not use it up."""
+    o = d.table("orders")
+    entries = o.select(F.col("o_custkey").alias("feed"), F.col("o_orderkey").alias("url"), (-F.col("o_orderkey")).alias("entry_ord"))
+    seen = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("feed"), F.col("o_orderkey").alias("url"), F.col("o_orderdate").cast("timestamp").alias("seen_at"))
+    return claims.new_items_only(entries, seen, "1992-07-02 00:00:00", limit=2).select("feed", "url")
+
+
 @query("dedupe_claims", """
 SELECT l_suppkey AS doc_id, 'p' || l_linenumber AS program, 'a' AS region_a, 'b' AS region_b, 'business' AS cabin, l_quantity::bigint AS miles, arg_max(l_returnflag = 'A', (l_orderkey, l_extendedprice)) AS roundtrip
 FROM @lineitem GROUP BY ALL
@@ -356,13 +375,12 @@ def _discovery(d):
 
 
 @query("new_items_only", """
-SELECT feed, url FROM (SELECT o_custkey % 40 AS feed, o_orderkey AS url, o_orderdate, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey DESC) AS rn FROM @orders)
-WHERE rn <= 10 AND NOT (url % 3 = 0 AND o_orderdate > timestamp '1998-12-02 00:00:00')
+SELECT o_custkey AS feed, o_orderkey AS url FROM @orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderdate > timestamp '1998-12-02 00:00:00')
 """)
 def _new(d):
     o = d.table("orders")
-    entries = o.select((F.col("o_custkey") % 40).alias("feed"), F.col("o_orderkey").alias("url"), (-F.col("o_orderkey")).alias("entry_ord"))
-    seen = o.where("o_orderkey % 3 = 0").select((F.col("o_custkey") % 40).alias("feed"), F.col("o_orderkey").alias("url"), F.col("o_orderdate").cast("timestamp").alias("seen_at"))
+    entries = o.select(F.col("o_custkey").alias("feed"), F.col("o_orderkey").alias("url"), (-F.col("o_orderkey")).alias("entry_ord"))
+    seen = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("feed"), F.col("o_orderkey").alias("url"), F.col("o_orderdate").cast("timestamp").alias("seen_at"))
     return claims.new_items_only(entries, seen, "1999-01-01 00:00:00").select("feed", "url")
 
 

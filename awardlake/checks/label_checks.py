@@ -284,7 +284,7 @@ RAW = "CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '[aeiou]', {0}{1}) ELS
 
 @query("looks_undecoded", f"""
 SELECT doc_id, length(s) > 0 AND (length(regexp_replace(s, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]', '', 'g')) / length(s)) < 0.85 AS undecoded
-FROM (SELECT doc_id, left({RAW.format("chr(1)", ", 'g'")}, 2000) AS s FROM @documents)
+FROM (SELECT doc_id, {RAW.format("chr(1)", ", 'g'")} AS s FROM @documents)
 """)
 def _undecoded(d):
     df = d.sql(f"SELECT doc_id, {RAW.format('char(1)', '')} AS text FROM @documents")

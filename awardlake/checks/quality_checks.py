@@ -201,15 +201,19 @@ def health(d):
     return sites.target_health(d.view("probe_log"), "2024-02-29T12:00:00Z")
 
 
-@query("target_health", f"WITH {HEALTH_SQL} SELECT * FROM health")
+@query("target_health", f"WITH {HEALTH_SQL} SELECT * FROM health UNION ALL SELECT 'never probed ' || r_regionkey, 0, NULL, NULL, 0, 0, 'unchecked', false, true FROM @region")
 def _health(d):
-    return health(d).drop("last_checked")
+    log = d.view("probe_log")
+    never = d.table("region").select(F.concat(F.lit("never probed "), F.col("r_regionkey").cast("string")).alias("name"))
+    # a probe without a status is one that got no answer
+    log = log.withColumn("status", F.nullif("status", F.lit(0)))
+    return sites.target_health(log, "2024-02-29T12:00:00Z", targets=log.select("name").unionAll(never)).drop("last_checked")
 
 
 @query("fetch_chain_outcome", """
 WITH a AS (SELECT user_id AS url, event_id AS ord, event_type AS via, CASE WHEN event_type = 'error' THEN 429 WHEN event_id % 97 = 0 THEN 200 ELSE 403 END AS status FROM @events),
 k AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY (status = 200) DESC, CASE WHEN status = 200 THEN ord ELSE -ord END) AS rn, count(*) OVER (PARTITION BY url) AS attempts, count(*) FILTER (WHERE status = 429) OVER (PARTITION BY url) AS rl FROM a)
-SELECT url, via, status, status = 200 AS ok, attempts, least(rl, 2) AS retries, rl > 2 AS retries_exhausted FROM k WHERE rn = 1
+SELECT url, via, status, status = 200 AS ok, attempts, rl AS retries, rl > 2 AS retries_exhausted FROM k WHERE rn = 1
 """)
 def _chain(d):
     status = F.when(F.col("event_type") == "error", 429).when(F.col("event_id") % 97 == 0, 200).otherwise(403)
@@ -241,6 +245,9 @@ FETCHES = [
     (200, "", "", "", LONG, None, None, "none", ""),
     (0, "", "", "", "", None, None, "network", "empty_network"),
     (404, "", "", "", LONG, None, None, "unknown", "status:404"),
+    (None, "", "", "", LONG, None, None, "none", ""),
+    (None, "", "", "", "", None, None, "network", "empty_network"),
+    (200, "", "", "", LONG * 30 + "g-recaptcha", None, None, "captcha", "body:captcha"),
 ]
 
 

@@ -256,13 +256,14 @@ def run_discovery(mail: DataFrame, posts: DataFrame, transcripts: DataFrame, cre
     return Discovery(rows, stale_programs(detect_devaluations(docs)), counts)
 
 
-def new_items_only(entries: DataFrame, seen: DataFrame, as_of, limit=10, ttl_days=30, feed="feed", key="url", order="entry_ord") -> DataFrame:
-    """The first ``limit`` entries of each feed that were not processed within the TTL.
+def new_items_only(entries: DataFrame, seen: DataFrame, as_of, limit=None, ttl_days=30, feed="feed", key="url", order="entry_ord") -> DataFrame:
+    """Entries of each feed that were not processed within the TTL; with ``limit`` the first so many of these.
 
-    The limit comes before the seen test. ``seen``: feed, key, seen_at.
+    The seen test comes first, so an entry beyond a limit comes back on the next run. ``seen``: feed, key, seen_at.
     """
-    w = Window.partitionBy(feed).orderBy(order)
-    head = entries.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
     since = F.lit(str(as_of)).cast("timestamp") - F.make_dt_interval(days=F.lit(ttl_days))
-    recent = seen.where(F.col("seen_at") > since).select(feed, key)
-    return head.join(recent, [feed, key], "left_anti")
+    new = entries.join(seen.where(F.col("seen_at") > since).select(feed, key), [feed, key], "left_anti")
+    if limit is None:
+        return new
+    place = F.row_number().over(Window.partitionBy(feed).orderBy(order))
+    return new.withColumn("_rn", place).where(F.col("_rn") <= limit).drop("_rn")

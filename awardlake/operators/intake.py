@@ -27,8 +27,11 @@ def parse_chart_documents(docs: DataFrame, text_col="text", id_col="doc_id") ->
         rows = F.when(F.col("format") == name, built.cast(f"array<{charts.ROW_TYPE}>")).otherwise(rows)
     html = charts.emit(pages, rows, "html", id_col)
     kept, unknown = documents.parse_chart_json(docs.where("format = 'json'"), text_col, id_col)
-    feed, _ = documents.parse_feed_payloads(docs.where("format = 'rss'"), text_col, id_col)
-    drops = unknown.select(id_col, F.lit("json").alias("parser"), F.col("band_ord").cast("bigint").alias("band_ord"))
+    feed, _, lost = documents.parse_feed_payloads(docs.where("format = 'rss'"), text_col, id_col)
+    drop = lambda rows, parser, ord_: rows.select(id_col, F.lit(parser).alias("parser"), ord_.cast("bigint").alias("band_ord"))
+    # grids of PDF files are no text: route_grid_parsers reads them, here they are counted
+    unread = docs.where("format = 'pdf'")
+    drops = drop(unknown, "json", F.col("band_ord")).unionByName(drop(lost, "rss", F.col("item_ord"))).unionByName(drop(unread, "pdf", F.lit(0)))
     extra = kept.unionByName(feed.withColumnRenamed("item_ord", "band_ord"))
     return charts.ParsedCharts(
         html.rows.unionByName(extra.withColumn("band_ord", F.col("band_ord").cast("bigint")), allowMissingColumns=True),
@@ -39,5 +42,5 @@ def parse_chart_documents(docs: DataFrame, text_col="text", id_col="doc_id") ->
 def parse_award_documents(docs: DataFrame, text_col="text", id_col="doc_id") -> DataFrame:
     """Live award rows of JSON and feed documents."""
     plain = documents.parse_award_json(docs.where("format = 'json'"), text_col, id_col)
-    _, feed = documents.parse_feed_payloads(docs.where("format = 'rss'"), text_col, id_col)
+    _, feed, _ = documents.parse_feed_payloads(docs.where("format = 'rss'"), text_col, id_col)
     return plain.unionByName(feed.withColumnRenamed("item_ord", "ord"))

@@ -243,6 +243,7 @@ def live_award_quotes(
     source = targets.select(
         F.col("name").alias("source_name"), F.col("url").alias("source_url"),
         F.col("trust").cast("double").alias("trust"), F.col("updated_at").alias("target_date"),
+        (F.col("via") if "via" in targets.columns else F.lit(None).cast("string")).alias("via"),
     )
     fresh = dedupe_freshest(wanted).withColumn(
         "_p", points.normalize_one_way(F.col("miles"), F.col("roundtrip"))
@@ -254,7 +255,8 @@ def live_award_quotes(
             "source_updated_at": parse_source_date(F.coalesce("updated_at", "target_date")),
         }
     )
-    return _quote_frame(quoted, F.concat(F.array(F.lit("live_award_space")), "_p.flags"))
+    archived = points.optional_flag(F.coalesce(F.col("via") == "wayback", F.lit(False)), "from_wayback")
+    return _quote_frame(quoted, F.concat(F.array(F.lit("live_award_space")), "_p.flags", archived))
 
 
 def cap_stale_programs(quotes: DataFrame, stale_programs: DataFrame, now, cap_days=vocab.STALE_CAP_DAYS) -> DataFrame:

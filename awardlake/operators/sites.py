@@ -28,11 +28,12 @@ def classify_fetch_blocks(fetch_log: DataFrame, min_shell_chars=vocab.MIN_BODY_C
     )
     read = fetch_log.withColumns(
         {
-            "_b": F.lower(F.substring(whole, 1, 8000)), "_len": F.length(whole),
+            "_b": F.lower(whole), "_len": F.length(whole),
             "_server": F.lower(header("server")), "_ray": header("cf-ray"), "_cookie": F.lower(header("set-cookie")),
         }
     ).withColumns({"_chal": _any(F.col("_b"), vocab.CHALLENGE_MARKS)})
-    b, status, text_len = F.col("_b"), F.col("status"), F.col("_len")
+    # an attempt without a status never got an answer
+    b, status, text_len = F.col("_b"), F.coalesce("status", F.lit(0)), F.col("_len")
     status_sig = F.concat(F.lit("status:"), status.cast("string"))
     failed = F.col("error_type").isNotNull()
     error_sig = F.concat(F.lit("error:"), "error_type")
@@ -89,19 +90,22 @@ def fetch_chain_outcome(attempts: DataFrame, max_429_retries=2) -> DataFrame:
     final = F.coalesce("won", "last")
     return per.select(
         "url", final["via"].alias("via"), final["status"].alias("status"), final["ok"].alias("ok"), "attempts",
-        F.least("rate_limited", F.lit(max_429_retries)).cast("bigint").alias("retries"),
+        F.col("rate_limited").cast("bigint").alias("retries"),
         (F.col("rate_limited") > max_429_retries).alias("retries_exhausted"),
     )
 
 
-def target_health(probe_log: DataFrame, as_of, max_age_days=30, max_failures=3, max_selector_misses=2) -> DataFrame:
+def target_health(probe_log: DataFrame, as_of, max_age_days=30, max_failures=3, max_selector_misses=2, targets: DataFrame = None) -> DataFrame:
     """Fold a probe log (name, checked_at, seq, status, parsed_rows) into the health of each target.
 
+    With ``targets`` (name) every one of them has a row: one that was never probed is ``unchecked`` and
+    due. A probe without a status counts as one that got no answer.
+
     A counter is the number of failing probes after the last probe that reset it. Two aggregations
     find it, with map-side combine, however many probes one target has; nothing is sorted.
     """
+    probe_log = probe_log.withColumn("status", F.coalesce("status", F.lit(0)))
     status, rows = F.col("status"), F.col("parsed_rows")
-    gone = status.isin(404, 410)
     reachable = status.between(200, 399)
     when = F.struct("checked_at", "seq")
     marked = probe_log.select(
@@ -126,12 +130,16 @@ def target_health(probe_log: DataFrame, as_of, max_age_days=30, max_failures=3,
         .when(F.coalesce(~selector_ok, F.lit(False)), "selector_miss").otherwise("ok")
     )
     age = (F.unix_micros(points.instant(as_of)) - F.unix_micros(F.col("l.checked_at").cast("timestamp"))) / 86400e6
-    return last.join(counts, "name", "left").select(
-        "name", "probes", F.col("l.status").alias("last_status"), F.col("l.checked_at").alias("last_checked"),
+    folded = last.join(counts, "name", "left")
+    never = F.col("probes").isNull()
+    if targets is not None:
+        folded = targets.select("name").distinct().join(folded, "name", "left")
+    return folded.select(
+        "name", zero("probes").alias("probes"), F.col("l.status").alias("last_status"), F.col("l.checked_at").alias("last_checked"),
         selector_ok.alias("selector_ok"), zero("consecutive_failures").alias("consecutive_failures"),
-        zero("selector_misses").alias("selector_misses"), label.alias("label"),
-        (dead | (zero("consecutive_failures") >= max_failures) | (zero("selector_misses") >= max_selector_misses)).alias("rotted"),
-        (age > max_age_days).alias("due"),
+        zero("selector_misses").alias("selector_misses"), F.when(never, "unchecked").otherwise(label).alias("label"),
+        (F.coalesce(dead, F.lit(False)) | (zero("consecutive_failures") >= max_failures) | (zero("selector_misses") >= max_selector_misses)).alias("rotted"),
+        (never | (age > max_age_days)).alias("due"),
     )
 
 
@@ -174,8 +182,8 @@ def check_targets(targets: DataFrame, docs: DataFrame, row_counts: DataFrame, re
     award = F.col("provides") == "award"
     place = F.concat("r.route", F.lit(" "), F.col("r.miles").cast("string"), F.lit("mi ("), "r.program", F.lit(")"))
     step = (
-        F.when(F.col("ok").isNull(), "no fetch").when(~F.col("ok"), "fetch failed").when(length < vocab.MIN_BODY_CHARS, "short body")
-        .when(F.col("rows") == 0, "no rows").when(award, "rows").when(F.col("r").isNull(), "unresolved").otherwise("resolved")
+        F.when(F.col("ok").isNull(), "no fetch").when(~F.col("ok"), "fetch failed")
+        .when((F.col("rows") == 0) & (length < vocab.MIN_BODY_CHARS), "short body").when(F.col("rows") == 0, "no rows").when(award, "rows").when(F.col("r").isNull(), "unresolved").otherwise("resolved")
     )
     graded = seen.withColumn("step", step)
     state = (

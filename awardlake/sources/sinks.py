@@ -17,6 +17,12 @@ def shared_dir(spark) -> str:
     return folder
 
 
+def exists(spark, path) -> bool:
+    """Whether anything is stored at a path of any file system Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def new_table_path(spark, name) -> str:
     """A fresh path for one written table in the shared folder."""
     import uuid

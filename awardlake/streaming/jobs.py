@@ -1,6 +1,5 @@
 """Streaming jobs that keep stored tables current; every batch writes its own place, so a repeat is harmless."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from awardlake.operators import claims
@@ -10,10 +9,9 @@ from awardlake.sources import sinks
 
 def _latest(spark, path, before=None):
     """Newest version (below ``before``) of a table partitioned by ``version``, or None."""
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException:  # nothing written yet
+    if not sinks.exists(spark, path):
         return None
+    table = spark.read.parquet(path)
     if before is not None:
         table = table.where(F.col("version") < before)
     newest = table.agg(F.max("version")).first()[0]
@@ -38,20 +36,35 @@ def devaluation_stream(stream: DataFrame, sink, checkpoint, title_col="title", i
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def incremental_discovery(doc_stream: DataFrame, sink, checkpoint, creators: DataFrame = None):
-    """New documents -> discovered rows; each batch owns one partition of the table."""
+def incremental_discovery(doc_stream: DataFrame, sink, checkpoint, creators: DataFrame = None, key="doc_id"):
+    """New documents -> discovered rows; each batch owns one partition of the table.
+
+    A document whose key an earlier batch has read is left out, so every item counts once. The keys
+    are kept beside the table, by batch as well, so that a repeated batch sees what it saw before.
+    """
+    seen = f"{sink.rstrip('/')}-seen"
 
     def extract(batch, batch_id):
+        batch = batch.dropDuplicates([key])
+        if sinks.exists(batch.sparkSession, seen):
+            earlier = batch.sparkSession.read.parquet(seen).where(F.col("batch") < batch_id)
+            batch = batch.join(earlier.select(key), key, "left_anti")
+        batch.select(key).write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
         rows = claims.attach_discovery_provenance(claims.extract_price_claims(batch), batch, creators)
         rows.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return doc_stream.writeStream.foreachBatch(extract).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def requote_stream(request_stream: DataFrame, market: quotes.Market, sink, checkpoint):
-    """Requests -> verdicts against the current market tables."""
+def requote_stream(request_stream: DataFrame, market, sink, checkpoint):
+    """Requests -> verdicts against the current market tables.
+
+    ``market``: the tables, or a function that reads them; it is called for every batch, so each
+    batch sees the market of its time.
+    """
 
     def answer(batch, batch_id):
-        quotes.quote_requests(batch, market).verdicts.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        current = market() if callable(market) else market
+        quotes.quote_requests(batch, current).verdicts.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return request_stream.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
