@@ -65,7 +65,8 @@ def _titles(header, mode, last=False):
 
 
 def _ord(table_ord, row_ord, cell_ord):
-    return table_ord.cast("bigint") * 1_000_000_000 + row_ord.cast("bigint") * 1_000 + cell_ord
+    """Place of a cell: 16 bits for the cell, 28 for the row, the rest for the table."""
+    return F.shiftleft(table_ord.cast("bigint"), 44) + F.shiftleft(row_ord.cast("bigint"), 16) + cell_ord
 
 
 def _price(band_ord, program, cabin, miles, a=None, b=None, roundtrip=None, lo=None, hi=None, origin=None, dest=None, dropped=None):
@@ -173,9 +174,9 @@ def _zone_title_columns(t):
 
 
 def long_rows(tables):
-    """First long table: one price per row."""
+    """All long tables: one price per row."""
     titles = {f"c_{n}": (lambda t, n=n: _last(t["header"], n)) for n in (*LONG_TITLES, "roundtrip")}
-    first = _with(F.slice(F.filter(tables, is_long), 1, 1), ["table_ord", "rows"], **titles)
+    first = _with(F.filter(tables, is_long), ["table_ord", "rows"], **titles)
 
     def of_table(t):
         def of_row(cells, i):
@@ -214,11 +215,11 @@ def _price_cells(r, cabins, program, mode, **fields):
 
 
 def wide_rows(tables, program):
-    """First wide table: zone pair (from/to) or zone pair and mile band (from/distance) per row."""
+    """All wide tables: zone pair (from/to) or zone pair and mile band (from/distance) per row."""
     prog = F.lower(F.trim(program))
 
     first = _with(
-        _with(F.slice(F.filter(tables, is_wide), 1, 1), ["table_ord", "rows"], h=lambda t: _lower(t["header"])),
+        _with(F.filter(tables, is_wide), ["table_ord", "rows"], h=lambda t: _lower(t["header"])),
         ["table_ord", "rows"],
         cabins=lambda t: _titles(t["h"], "wide", last=True), banded=lambda t: ~_has(t["h"], "to"),
         from_pos=lambda t: _last(t["h"], "from"),
@@ -462,9 +463,6 @@ def is_distance_grid(t):
     return F.contains(text, F.lit("distance")) & F.contains(text, F.lit("operated")) & (F.size(_distance_titles(t["header"])) > 0)
 
 
-PAGE_PAIR = r"(?i)((?:Within|Between)\s+[A-Za-z][^\n]{2,80}?)\s+zones?\b"
-
-
 def distance_grid_rows(grids, program):
     """Distance-band grids: band cells filled down, only the rows for all other partners."""
     prog = F.lower(F.trim(program))
@@ -475,7 +473,7 @@ def distance_grid_rows(grids, program):
         op_pos=lambda t: F.array_position(
             F.transform(t["header"], lambda h: F.contains(h, F.lit("operated"))), F.lit(True)
         ).cast("int"),
-        pair=lambda t: labels.canonicalize_zone_pair(F.trim(F.regexp_extract(t["page_text"], PAGE_PAIR, 1))),
+        pair=lambda t: labels.canonicalize_zone_pair(F.trim(F.regexp_extract(t["page_text"], vocab.PAGE_PAIR, 1))),
     )
     found = _with(
         F.filter(found, lambda t: t["pair"].isNotNull()), ["table_ord", "cabins", "op_pos", "pair"],
@@ -600,7 +598,7 @@ def parse_triangular_text(docs: DataFrame, text_col="page_text", id_col="doc_id"
         .select(id_col, "program", "line_ord", "code", start.alias("start"), F.posexplode(values).alias("j", "amount"))
         .where(F.col("start") + F.col("j") <= len(vocab.TRIANGLE_REGIONS))
         .select(
-            id_col, (F.col("line_ord").cast("bigint") * 1000 + F.col("j")).alias("band_ord"), "program",
+            id_col, (F.shiftleft(F.col("line_ord").cast("bigint"), 16) + F.col("j")).alias("band_ord"), "program",
             F.element_at(regions, F.col("start")).alias("region_a"),
             F.element_at(regions, F.col("start") + F.col("j")).alias("region_b"),
             labels.lookup(vocab.TRIANGLE_CABINS, F.col("code")).alias("cabin"),
