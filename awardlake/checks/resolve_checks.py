@@ -264,7 +264,7 @@ ranked AS (SELECT q, code, score, row_number() OVER (PARTITION BY q ORDER BY sco
 
 @query("place_search", f"WITH {SEARCH_SQL} SELECT * FROM ranked WHERE rank <= 6")
 def _places(d):
-    return resolve.place_search(d.sql(f"SELECT * FROM {TYPED} t"), d.sql(f"SELECT * FROM {PLACES} p"))
+    return resolve.place_search(d.sql(f"SELECT * FROM {TYPED} t"), d.sql(f"SELECT * FROM {PLACES} p"), 6)
 
 
 @query("resolve_place", f"""

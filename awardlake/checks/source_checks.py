@@ -268,7 +268,7 @@ QUALIFY row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts DESC)
 """)
 def _snapshots(d):
     rows = d.table("events").select(F.col("ts").cast("timestamp").alias("completed_at"), "event_id")
-    latest, history = sinks.snapshot_latest_and_history(rows, "2024-01-20")
+    latest, history = sinks.snapshot_latest_and_history(rows, "2024-01-20", 8)
     return latest.select(F.lit("latest").alias("kind"), "event_id", F.lit(None).cast("string").alias("day")).unionByName(
         history.select(F.lit("day").alias("kind"), "event_id", F.col("day").cast("string").alias("day"))
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from awardlake import vocab
 from awardlake.functions import points
 from awardlake.functions.labels import parse_source_date
-from awardlake.functions.rows import inline_rows
+from awardlake.functions.rows import explode_rows
 from awardlake.operators.ranking import dedupe_freshest
 
 CHART = ["program", "source_name"]
@@ -275,36 +275,37 @@ def cap_stale_programs(quotes: DataFrame, stale_programs: DataFrame, now, cap_da
     ).drop("_stale").select(quotes.columns)
 
 
-def place_search(queries: DataFrame, places: DataFrame, k=6) -> DataFrame:
+def place_search(queries: DataFrame, places: DataFrame, k) -> DataFrame:
     """Top-k places per typed text: code, code prefix, city prefix, then parts of city and name.
 
-    Every place is indexed under each text it can be found by, so the match is an equi-join on
-    distinct query texts; the index is as long as the place names, not as the queries.
+    Places are indexed by every piece of one to three letters of their code, city and name, so the
+    index grows with the length of the names. A text meets the places that hold its first three
+    letters; how it stands in them is checked afterwards.
     """
     asked = queries.select(F.upper(F.trim("query")).alias("q")).where(F.col("q") != "").distinct()
-    code, city, name = F.upper("code"), F.upper("city"), F.upper("name")
-    starts = lambda text: F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    prefixes = lambda text: F.transform(starts(text), lambda n: F.substring(text, F.lit(1), n))
-    parts = lambda text: F.flatten(F.transform(
-        starts(text), lambda i: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(text) - i + 1, F.lit(1))), lambda n: F.substring(text, i, n))
-    ))
-    found = F.concat(
-        F.array(F.struct(code.alias("q"), F.lit(1000).alias("score"))),
-        F.transform(prefixes(code), lambda p: F.struct(p.alias("q"), (900 - (F.length(code) - F.length(p))).alias("score"))),
-        F.transform(prefixes(city), lambda p: F.struct(p.alias("q"), F.lit(800).alias("score"))),
-        F.transform(F.array_distinct(parts(city)), lambda p: F.struct(p.alias("q"), F.lit(700).alias("score"))),
-        F.transform(F.array_distinct(parts(name)), lambda p: F.struct(p.alias("q"), F.lit(600).alias("score"))),
+    named = places.select("code", F.upper("code").alias("id"), F.upper("city").alias("city"), F.upper("name").alias("name"))
+
+    def pieces(text):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+        found = F.flatten(F.transform(starts, lambda i: F.array(*(F.substring(text, i, F.lit(n)) for n in (1, 2, 3)))))
+        return F.coalesce(found, F.array().cast("array<string>"))
+
+    held = F.array_distinct(F.concat(*(pieces(F.col(c)) for c in ("id", "city", "name"))))
+    index = explode_rows(named, ["code", "id", "city", "name"], held, "at", "piece")
+    q = F.col("q")
+    score = (
+        F.when(F.col("id") == q, 1000).when(F.startswith("id", q), 900 - (F.length("id") - F.length(q)))
+        .when(F.startswith("city", q), 800).when(F.contains("city", q), 700).when(F.contains("name", q), 600)
     )
-    index = inline_rows(places, ["code"], found, "q")
+    met = index.join(asked.withColumn("piece", F.substring(q, 1, 3)), "piece").select("q", "code", score.alias("score"))
+    hits = met.where(F.col("score").isNotNull()).groupBy("q", "code").agg(F.max("score").alias("score"))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "code")
-    hits = index.join(asked, "q").groupBy("q", "code").agg(F.max("score").alias("score"))
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def resolve_place(queries: DataFrame, places: DataFrame) -> DataFrame:
     """The one place a typed text stands for: best code match, else the only best-scored place."""
-    top = place_search(queries, places, 8)
+    top = place_search(queries, places, 2)  # the second only tells whether the first is alone
     best = top.groupBy("q").agg(
         F.min_by("code", "rank").alias("code"), F.max("score").alias("best"),
         F.collect_list("score").alias("scores"),

@@ -92,7 +92,7 @@ def delete_keys(base: DataFrame, gone: DataFrame, keys) -> DataFrame:
     return base.join(gone.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def snapshot_latest_and_history(snapshots: DataFrame, as_of, keep_days=8, ts="completed_at"):
+def snapshot_latest_and_history(snapshots: DataFrame, as_of, keep_days, ts="completed_at"):
     """(latest snapshot, last snapshot of each of the past ``keep_days`` days)."""
     rest = F.struct(*snapshots.columns)
     order = F.struct(ts, F.xxhash64(*snapshots.columns))
@@ -106,7 +106,7 @@ def snapshot_latest_and_history(snapshots: DataFrame, as_of, keep_days=8, ts="co
     return latest, history
 
 
-def recent_by_key(df: DataFrame, key, order_col, n=50, tie_cols=()) -> DataFrame:
+def recent_by_key(df: DataFrame, key, order_col, n, tie_cols=()) -> DataFrame:
     """Latest ``n`` rows per key; Spark prunes to n per task before it shuffles."""
     w = Window.partitionBy(key).orderBy(F.desc(order_col), *[F.desc(c) for c in tie_cols])
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
