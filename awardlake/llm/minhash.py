@@ -12,9 +12,9 @@ from awardlake.llm.components import stars
 #: Hashes per band and bands. A pair at similarity 0.8 shares no band with probability 3e-7.
 BAND_ROWS, BANDS = 6, 50
 #: Standard deviations below the threshold at which an estimated similarity rules a pair out.
-MARGIN = 6.0
-#: Rounds of comparing with a bucket's centre; bits of the field that tells where sets are needed.
-ROUNDS, FIELD = 3, 1 << 24
+MARGIN = 5.0
+#: Bits of the field that tells where sets are needed; classes of a bucket that meet in one block.
+FIELD, BLOCK = 1 << 24, 2048
 
 _FACTORS = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
 
@@ -99,7 +99,7 @@ def _band_keys(reps, band_rows):
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.ListArray.from_arrays(offsets, flat)], ["node", "n", "keys"])
 
     packed = reps.select("node", F.col("n_shingles").cast("int").alias("n"), "signature").mapInArrow(run, "node long, n int, keys array<long>")
-    return packed.select("node", "n", F.explode("keys").alias("key"))
+    return packed.select("node", "n", F.posexplode("keys").alias("band", "key"))
 
 
 def _estimated(pairs, reps, threshold, size):
@@ -128,13 +128,12 @@ def _marked(nodes):
     return field.view(np.uint64)
 
 
-def _confirmed(pairs, docs, reps, words, percent):
-    """Pairs of nodes with 100 * intersection >= percent * union on their full shingle sets.
+def _sets(nodes, docs, reps, words):
+    """``node``, ``shingles`` (binary, sorted) of the given nodes, written once.
 
     Sets are made where the texts are read; the bit field spares most other documents that work, the
     join with the nodes decides.
     """
-    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     field = docs.sparkSession.sparkContext.broadcast(_marked(nodes))
 
     def sets_of(batches):
@@ -149,19 +148,30 @@ def _confirmed(pairs, docs, reps, words, percent):
                 batch.column("doc_id"), pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary()),
             ], ["node", "digest", "shingles"])
 
+    slots = texts(docs).where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FIELD)).alias("slot"))
+    wanted = reps.select("node", "digest").join(nodes, "node", "left_semi")
+    sets = slots.mapInArrow(sets_of, "node long, digest binary, shingles binary").join(wanted, ["node", "digest"])
+    return cut(sets.distinct().select("node", "shingles"))
+
+
+def _similar(a, b, percent):
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _confirmed(pairs, docs, reps, words, percent):
+    """Pairs of nodes with 100 * intersection >= percent * union on their full shingle sets."""
+
     def compare(batches):
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist()):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            keep = [
+                _similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent)
+                for a, b in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist())
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    slots = texts(docs).where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FIELD)).alias("slot"))
-    wanted = reps.select("node", "digest").join(nodes, "node", "left_semi")
-    sets = slots.mapInArrow(sets_of, "node long, digest binary, shingles binary").join(wanted, ["node", "digest"])
-    sets = cut(sets.distinct().select("node", "shingles"))
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets(nodes, docs, reps, words)
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb"))
     return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long").distinct())
@@ -178,35 +188,58 @@ def _with_centres(buckets):
     return buckets.join(ranked.select("key", (-F.col("best.down")).alias("centre"), F.col("best.n").alias("centre_n")), "key")
 
 
-def _links(buckets, reps, docs, words, percent, size):
-    """Confirmed links that join every component among nodes that share a bucket."""
-
-    def verified(pairs):
-        return _confirmed(cut(_estimated(pairs, reps, percent / 100, size)), docs, reps, words, percent)
+def _links_in_block(table, percent, band_rows):
+    """Confirmed links that join the components within one block of a bucket: at most one per class.
 
+    Pairs are looked at here and never leave as pairs: only those of different components, of sizes
+    that allow the similarity, in the first band that they share, and whose signatures allow it, are
+    compared on their sets.
+    """
+    node, n, part = (table.column(c).to_numpy() for c in ("node", "n", "part"))
+    signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(node), -1)
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+    root, threshold = table.column("root").to_numpy().copy(), percent / 100
+    least = threshold - MARGIN * (threshold * (1 - threshold) / signature.shape[1]) ** 0.5
+    low, high, band = (table.column(c)[0].as_py() for c in ("low", "high", "band"))
+    out = []
+    for i in range(len(node)):
+        j = np.arange(i + 1, len(node))
+        j = j[(root[j] != root[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+        if low != high:
+            j = j[part[j] != part[i]]
+        if not len(j):
+            continue
+        same = signature[j] == signature[i]
+        first = same.reshape(len(j), -1, band_rows).all(axis=2).argmax(axis=1) == band
+        for k in j[first & (same.mean(axis=1) >= least)].tolist():
+            if root[k] != root[i] and _similar(sets[i], sets[k], percent):
+                out.append((node[i], node[k]))
+                root[root == root[k]] = root[i]
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def _links(buckets, reps, docs, words, percent, band_rows, bands):
+    """Confirmed links that join every component among nodes that share a bucket, and their roots if known."""
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    tested = links = None
-    rows, roots = buckets, None
-    for _ in range(ROUNDS):
-        rows = cut(_with_centres(rows))
-        pairs = rows.where((F.col("node") != F.col("centre")) & near("n", "centre_n"))
-        if roots is not None:
-            pairs = _with_root(pairs, roots, "centre", "centre_root").where("root <> centre_root")
-        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = verified(pairs)
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        links = found if links is None else links.unionAll(found)
-        roots = stars(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        rows = _with_root(rows.where("node <> centre").select("key", "node", "n"), roots, "node", "root")
-        open_ = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        rows = cut(rows.join(open_.select("key"), "key"))
-        if rows.isEmpty():
-            return links
-    x = rows.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    y = rows.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near("n_a", "n_b")).select("a", "b").distinct()
-    return links.unionAll(verified(pairs.join(tested, ["a", "b"], "left_anti")))
+    rows = cut(_with_centres(buckets))
+    pairs = rows.where((F.col("node") != F.col("centre")) & near("n", "centre_n"))
+    pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    links = _confirmed(cut(_estimated(pairs, reps, percent / 100, band_rows * bands)), docs, reps, words, percent)
+    roots = stars(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    rows = _with_root(rows.where("node <> centre").select("key", "band", "node", "n"), roots, "node", "root")
+    several = rows.groupBy("key").agg(F.min("root").alias("lowest"), F.max("root").alias("highest"), F.count("*").alias("size")).where("lowest < highest")
+    rows = cut(rows.join(several.select("key", "size"), "key"))
+    if rows.isEmpty():
+        return links, roots
+    # a bucket beyond one block is cut into parts, and every two parts meet in a block of their own
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.select("key", "band", "node", "n", "root", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int").alias("part"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("low"), F.greatest(p, F.col("part")).alias("high")))
+    rows = rows.select("key", "band", "node", "n", "root", "part", F.inline(meets))
+    held = _sets(rows.select("node").distinct(), docs, reps, words).join(reps.select("node", "signature"), "node")
+    found = rows.join(held, "node").groupBy("key", "low", "high").applyInArrow(lambda t: _links_in_block(t, percent, band_rows), "a long, b long")
+    more = cut(found.distinct())
+    return (links, roots) if more.isEmpty() else (links.unionAll(more), None)
 
 
 def components_of(docs: DataFrame, words=5, percent=80, band_rows=BAND_ROWS, bands=BANDS, seed=1) -> DataFrame:
@@ -214,10 +247,9 @@ def components_of(docs: DataFrame, words=5, percent=80, band_rows=BAND_ROWS, ban
 
     Equal shingle sets form a class first, so copies never meet each other. Within a band's bucket
     every class is compared with the bucket's centre (linear in the bucket) and joined into
-    components; rounds repeat with the next centres where a bucket still holds several components,
-    and what is left after ``ROUNDS`` is compared in full, but only across components. No link
-    between components is lost to a cap; a pair that shares no band is missed with probability
-    (1 - s**band_rows)**bands.
+    components. Where a bucket still holds several components, its classes meet in blocks of bounded
+    size, which give only the links that join components. No link between components is lost to a
+    cap; a pair that shares no band is missed with probability (1 - s**band_rows)**bands.
 
     Null or empty texts have no shingles and are linked with nothing; fewer words than ``words``
     make one shingle. A null ``doc_id`` is linked with nothing (null component, kept). Rows that
@@ -233,8 +265,8 @@ def components_of(docs: DataFrame, words=5, percent=80, band_rows=BAND_ROWS, ban
     rows = _band_keys(reps, band_rows)
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = cut(rows.join(shared.select("key"), "key"))
-    links = _links(buckets, reps, docs, words, percent, band_rows * bands)
-    roots = stars(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    links, roots = _links(buckets, reps, docs, words, percent, band_rows, bands)
+    roots = roots if roots is not None else stars(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = _with_root(sketch.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left"), roots, "node", "root")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return placed.select(

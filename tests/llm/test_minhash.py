@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from awardlake.llm import minhash
 from awardlake.llm.components import stars
 from awardlake.llm.minhash import near_duplicates
 
@@ -55,13 +56,15 @@ def test_components_match_all_pairs(spark, rows, seed):
     assert rows(got) == sorted(brute(data, 4, 80), key=repr)
 
 
-def test_one_large_group_of_near_copies_and_a_shared_passage(spark, rows):
+@pytest.mark.parametrize("block", [2048, 40])
+def test_one_large_group_of_near_copies_and_a_shared_passage(spark, rows, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(150)]
     data = []
     for i in range(300):
         copy = list(base)
-        for _ in range(rng.choice([1, 3, 5])):
+        for _ in range(rng.choice([1, 3, 5, 8])):
             copy[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
         data.append((i, " ".join(copy)))
     data += [(1000 + i, " ".join([f"y{i}_{j}" for j in range(50)] + base[:60])) for i in range(60)]
