@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from awardlake.llm.common import Rolling, bytes_of, chunks, small_batches
+from awardlake.llm.common import Rolling, bytes_of, chunks, mix, small_batches
 
 GRAM = 32
 #: Windows looked at in one pass of numpy.
@@ -117,33 +117,63 @@ def _lists(column):
     return offsets - offsets[0], column.flatten()
 
 
-def _repeated_anchors(batches):
-    """Of the anchors of a part, those whose gram occurs twice: offsets by document."""
+_OFFSETS = "part int, ids array<long>, ties array<long>, counts array<int>, offsets array<int>"
+
+
+def _by_document(ids, ties):
+    """Order that brings rows of a document together, and where each document starts in it."""
+    order = np.lexsort((ties, ids))
+    ids, ties = ids[order], ties[order]
+    return order, np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])]))
+
+
+def _repeated_anchors(parts):
+    """Of the anchors of a part, those whose gram occurs twice: packed by part of their documents."""
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        bounds, hashes = _lists(table.column("hashes"))
+        hashes = hashes.to_numpy()
+        again = _lists(table.column("known"))[1].to_numpy(zero_copy_only=False).copy()
+        order = np.argsort(hashes, kind="stable")
+        same = hashes[order][1:] == hashes[order][:-1]
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
+        if not again.any():
+            return
+        docs, ids = _lists(table.column("ids"))
+        row = (_lists(table.column("rows"))[1].to_numpy() + np.repeat(docs[:-1], np.diff(bounds)))[again]
+        ids, ties = ids.to_numpy()[row], _lists(table.column("ties"))[1].to_numpy()[row]
+        offset = _lists(table.column("offsets"))[1].to_numpy()[again]
+        order, first = _by_document(ids, ties)
+        ids, ties, offset, counts = ids[order][first], ties[order][first], offset[order], np.diff(np.append(first, len(order)))
+        part = (mix(ids.view(np.uint64) ^ mix(ties.view(np.uint64))) % np.uint64(parts)).astype(np.int64)
+        starts = np.append(first, len(order))
+        for p in np.unique(part):
+            take = np.flatnonzero(part == p)
+            picked = np.concatenate([offset[starts[i] : starts[i + 1]] for i in take])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([p], pa.int32()), _ints(ids[take], pa.int64()), _ints(ties[take], pa.int64()),
+                _ints(counts[take].astype(np.int32), pa.int32()), _ints(picked.astype(np.int32), pa.int32()),
+            ], ["part", "ids", "ties", "counts", "offsets"])
+
+    return run
+
+
+def _gathered(batches):
+    """One row per document with the offsets of its repeated anchors."""
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
-    table = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
-    bounds, hashes = _lists(table.column("hashes"))
-    hashes = hashes.to_numpy()
-    known = _lists(table.column("known"))[1].to_numpy(zero_copy_only=False)
-    order = np.argsort(hashes, kind="stable")
-    same = hashes[order][1:] == hashes[order][:-1]
-    again = known.copy()
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    if not again.any():
-        return
-    docs, ids = _lists(table.column("ids"))
-    ids, ties = ids.to_numpy(), _lists(table.column("ties"))[1].to_numpy()
-    row = _lists(table.column("rows"))[1].to_numpy() + np.repeat(docs[:-1], np.diff(bounds))
-    offset = _lists(table.column("offsets"))[1].to_numpy()
-    row, offset = row[again], offset[again]
-    order = np.lexsort((ties[row], ids[row]))
-    row, offset = row[order], offset[order]
-    new = np.concatenate([[True], (ids[row][1:] != ids[row][:-1]) | (ties[row][1:] != ties[row][:-1])])
-    first = np.flatnonzero(new)
-    lists = pa.ListArray.from_arrays(np.append(first, len(row)).astype(np.int32), pa.array(offset.astype(np.int32)))
-    yield pa.RecordBatch.from_arrays([pa.array(ids[row[first]]), pa.array(ties[row[first]]), lists], ["id", "tie", "offsets"])
+    ids, ties, counts, offsets = (
+        np.concatenate([_lists(b.column(c))[1].to_numpy() for b in batches]) for c in ("ids", "ties", "counts", "offsets"))
+    ids, ties = np.repeat(ids, counts), np.repeat(ties, counts)
+    order, first = _by_document(ids, ties)
+    lists = pa.ListArray.from_arrays(np.append(first, len(order)).astype(np.int32), pa.array(offsets[order].astype(np.int32)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[order][first]), pa.array(ties[order][first]), lists], ["id", "tie", "offsets"])
 
 
 _RUNS = (
@@ -371,8 +401,8 @@ def repeated_spans(docs: DataFrame, length=100) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     plain = keyed.select(F.col(tag + "id").alias("id"), F.col(tag + "tie").alias("tie"), F.col("text").alias("text"))
     sent = plain.mapInArrow(_send_anchors(length, parts), _ANCHORS).repartition(parts, "part")
-    wanted = sent.mapInArrow(_repeated_anchors, "id long, tie long, offsets array<int>")
-    wanted = wanted.groupBy("id", "tie").agg(F.flatten(F.collect_list("offsets")).alias("offsets"))
+    packed = sent.mapInArrow(_repeated_anchors(parts), _OFFSETS).repartition(parts, "part")
+    wanted = packed.mapInArrow(_gathered, "id long, tie long, offsets array<int>")
     wanted = wanted.select(F.col("id").alias("wid"), F.col("tie").alias("wtie"), "offsets")
     # both joins are outer ones that need the same columns, so that one shuffle of the texts serves both
     chosen = keyed.join(wanted, (F.col(tag + "id") == F.col("wid")) & (F.col(tag + "tie") == F.col("wtie")), "left")
