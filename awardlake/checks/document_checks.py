@@ -6,7 +6,7 @@ from awardlake import vocab
 from awardlake.checks.base import joined, query, r6, sql_values
 from awardlake.checks.chart_checks import FROM_I, PAGE, TO_I, label, region
 from awardlake.checks.label_checks import pick
-from awardlake.operators import claims, documents
+from awardlake.operators import claims, documents, intake
 from awardlake.sources.documents import decode_documents
 
 
@@ -374,6 +374,27 @@ def _discovery(d):
     )
 
 
+LINKING = r"""concat('From: Deals <Deals', cast(p_partkey % 7 AS string), char(64), 'mail.example>\r\nSubject: look\r\nMIME-Version: 1.0\r\nContent-Type: text/html; charset=utf-8\r\n\r\n<p>look <a href="',
+ CASE WHEN p_size % 2 = 0 THEN 'https://blog.example/post-' ELSE 'https://youtu.be/vid' END, cast(p_partkey AS string), '">here</a> or <a href="https://gone.example/x">there</a> <img src="https://img.example/x.png"></p>')"""
+
+
+@query("follow_mail", f"""
+WITH {CLAIMS_SQL.replace('WHERE p_partkey % 7 <> 3', '').replace('p_partkey, ', 'p_partkey, p_size, ', 1)}
+SELECT p_partkey || ':0' AS doc_id, program, miles, CASE WHEN p_size % 2 = 0 THEN 'email_link:blog:' ELSE 'email_link:yt:' END || 'email:deals' || p_partkey % 7 || chr(64) || 'mail.example' AS source_name,
+       CASE WHEN p_size % 2 = 0 THEN 'https://blog.example/post-' ELSE 'https://youtu.be/vid' END || p_partkey AS source_url, 0.28E0 AS trust FROM c
+""")
+def _follow_mail(d):
+    """Mail to links to fetched posts and captions to claims, with the link's provenance."""
+    mails = d.sql(f"SELECT p_partkey AS doc_id, encode({LINKING}, 'UTF-8') AS raw FROM @part")
+    posts = d.sql(f"SELECT concat('https://blog.example/post-', cast(p_partkey AS string)) AS url, concat('<p>', {SENTENCE}, '</p>') AS text, 'post' AS title, '2024-01-01' AS published FROM @part")
+    captions = d.sql(
+        f"SELECT concat('vid', cast(p_partkey AS string)) AS video_id, concat('WEBVTT\n\n1\n00:01.000 --> 00:02.000\n', {SENTENCE}) AS text, 'clip' AS title, '2024-01-01' AS published FROM @part"
+    )
+    docs = intake.follow_mail(mails, posts, captions)
+    none = docs.limit(0)
+    return claims.run_discovery(docs, none, none).rows.select("doc_id", "program", "miles", "source_name", "source_url", "trust")
+
+
 @query("new_items_only", """
 SELECT o_custkey AS feed, o_orderkey AS url FROM @orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderdate > timestamp '1998-12-02 00:00:00')
 """)

@@ -44,3 +44,27 @@ def parse_award_documents(docs: DataFrame, text_col="text", id_col="doc_id") ->
     plain = documents.parse_award_json(docs.where("format = 'json'"), text_col, id_col)
     _, feed, _ = documents.parse_feed_payloads(docs.where("format = 'rss'"), text_col, id_col)
     return plain.unionByName(feed.withColumnRenamed("item_ord", "ord"))
+
+
+def follow_mail(mails: DataFrame, posts: DataFrame, captions: DataFrame, limit=None, id_col="doc_id") -> DataFrame:
+    """Mail and what its links lead to, as documents ready for :func:`claims.run_discovery`.
+
+    ``mails``: id, raw bytes; ``posts``: url, text (HTML or plain), title, published; ``captions``:
+    video_id, text (WEBVTT), title, published. A mail gives its own text (intake ``email``) and, for each
+    link that is followed, the post or the spoken text behind it, with the mail as origin and the link
+    as url. Linked documents are named after the mail and the place of the link; a link to nothing
+    fetched gives no row. ``limit`` follows the first so many links of a mail.
+    """
+    read = documents.parse_mail_documents(mails, id_col=id_col)
+    links = documents.classify_links(documents.extract_links(read, "body", id_col), limit, id_col).where("followed")
+    links = links.join(read.select(id_col, F.col("source_name").alias("origin")), id_col)
+    name = F.concat_ws(":", F.col(id_col).cast("string"), F.col("ord").cast("string")).alias(id_col)
+    own = read.select(
+        F.col(id_col).cast("string").alias(id_col), documents.html_to_text(F.col("body")).alias("text"), F.col("subject").alias("title"),
+        F.lit("email").alias("intake"), F.col("source_name").alias("origin"), F.lit(None).cast("string").alias("url"), F.col("received_at").alias("published"),
+    )
+    shown = posts.select("url", documents.html_to_text(F.col("text")).alias("text"), "title", F.col("published").cast("string").alias("published"))
+    blog = links.where("kind = 'article'").join(shown, "url").select(name, "text", "title", F.lit("email_link:blog").alias("intake"), "origin", "url", "published")
+    spoken = captions.select("video_id", documents.captions_to_text(F.col("text")).alias("text"), "title", F.col("published").cast("string").alias("published"))
+    video = links.where("kind = 'video'").join(spoken, "video_id").select(name, "text", "title", F.lit("email_link:yt").alias("intake"), "origin", "url", "published")
+    return own.unionByName(blog).unionByName(video)
