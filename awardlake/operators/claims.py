@@ -188,13 +188,14 @@ def ground_rows(raw_rows: DataFrame, docs: DataFrame, text_col="text", id_col="d
     return judged.where("reason IS NULL").drop("reason", "raw_program"), judged.where("reason IS NOT NULL")
 
 
-def run_extractor(docs: DataFrame, extractor, text_col="text", id_col="doc_id"):
+def run_extractor(docs: DataFrame, extractor, text_col="text", id_col="doc_id", hint_col=None):
     """(kept, rejected) rows of any extractor backend; its output always passes :func:`ground_rows`.
 
-    ``extractor`` maps an iterator of pandas batches (id, text) to one of proposed rows: the id and the
-    columns of ``schemas.PROPOSED_ROWS``.
+    ``extractor`` maps an iterator of pandas batches (id, text, source_hint) to one of proposed rows: the
+    id and the columns of ``schemas.PROPOSED_ROWS``. ``hint_col`` names where a document comes from.
     """
-    given = docs.select(id_col, F.col(text_col).alias("text"))
+    hint = F.col(hint_col).cast("string") if hint_col else F.lit(None).cast("string")
+    given = docs.select(id_col, F.col(text_col).alias("text"), hint.alias("source_hint"))
     proposed = given.mapInPandas(extractor, f"`{id_col}` {dict(given.dtypes)[id_col]}, {PROPOSED_ROWS}")
     return ground_rows(proposed, docs, text_col, id_col)
 

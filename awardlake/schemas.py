@@ -1,39 +1,3 @@
-"""DDL schemas of the main tables, for readers, streams and tests."""
-
-DOCUMENTS = "doc_id bigint, url string, text string, content_type string, raw binary"
-
-AWARD_QUOTES = (
-    "route_key string, program string, cabin string, miles bigint, seats bigint, source_name string, source_url string, "
-    "trust double, confidence double, source_updated_at timestamp, fetched_at timestamp, flags array<string>, ord bigint"
-)
-
-FARE_QUOTES = (
-    "route_key string, cash_cents bigint, source_name string, confidence double, source_updated_at timestamp, "
-    "fetched_at timestamp, flags array<string>, ord bigint"
-)
-
-RATIO_BLOCKS = (
-    "from_currency string, source string, url string, trust double, updated_at string, "
-    "partners map<string, struct<ratio: double, bonus: double, valid_from: string, valid_until: string, label: string>>"
-)
-
-CHART_ROWS = (
-    "program string, source_name string, region_a string, region_b string, origin_airport string, dest_airport string, "
-    "cabin string, miles bigint, roundtrip boolean, distance_min bigint, distance_max bigint, updated_at string, band_ord bigint"
-)
-
-AWARD_ROWS = (
-    "program string, source_name string, origin string, dest string, cabin string, miles bigint, seats bigint, "
-    "roundtrip boolean, updated_at string, ord bigint"
-)
-
-REQUESTS = "request_id bigint, route_key string, currency string, balance bigint, card string"
-
-USERS = "user_id string, card string, balances map<string, bigint>"
-
-TARGETS = (
-    "name string, url string, format string, provides string, role string, program string, hub string, trust double, "
-    "updated_at string, ord bigint"
-)
+"""Schema of the rows an extractor backend proposes."""
 
 PROPOSED_ROWS = "program string, `from` string, `to` string, cabin string, miles string, roundtrip boolean"
