@@ -21,7 +21,7 @@ from awardlake.llm.common import texts
 #: Pieces up to this many bytes are leaves of the tree.
 LEAF = 6
 #: Entries of the cache from piece to ids (a full one starts anew), and of those of leaves and stable pairs.
-CACHE, SHORT = 1 << 19, 1 << 17
+CACHE, SHORT = 1 << 17, 1 << 16
 #: Documents handed back to Spark at once.
 ROWS = 256
 
