@@ -167,6 +167,15 @@ def _meet(queries, vectors, keep):
     return pa.table({"query": pa.array(out, pa.int64()), "nodes": pa.array(found, kinds[0]), "scores": pa.array(scores, kinds[1])})
 
 
+def _merged(lists, keep):
+    """The best distinct vectors of one query out of its lists from all buckets (a bounded number of short lists)."""
+    nodes, scores = (np.concatenate([c.flatten().to_numpy() for c in lists.column(n).chunks]) for n in ("nodes", "scores"))
+    order = np.lexsort((nodes, -scores))
+    _, first = np.unique(nodes[order], return_index=True)
+    best = order[np.sort(first)[:keep]]
+    return pa.table({"query": pa.array([lists.column("query")[0].as_py()] * len(best), pa.int64()), "down": pa.array(-scores[best]), "node": pa.array(nodes[best])})
+
+
 def _counts(rows, largest, tables, probes, seed):
     """Rows per (table, bucket): a table of fixed size."""
     counted = _bucketed(rows, largest, tables, probes, seed, {}, {}).groupBy("table", "bucket").count()
@@ -212,9 +221,8 @@ def search(vectors: DataFrame, is_query, k=20, id_column="vec_id", vector_column
     met = index.groupBy("table", "bucket", "mine", "theirs").cogroup(looking.groupBy("table", "bucket", "theirs", "mine")).applyInArrow(
         lambda a, b: _meet(b, a, k + 1), "query long, nodes array<long>, scores array<double>")
     itself = queries.select(F.col("node").alias("query"), "vector").mapInArrow(_itself, "query long, nodes array<long>, scores array<double>")
-    lists = met.unionAll(itself).groupBy("query").agg(F.flatten(F.collect_list(F.arrays_zip("scores", "nodes"))).alias("found"))
-    best = lists.select("query", F.explode(F.slice(F.array_sort(F.transform(F.array_distinct("found"), lambda x: F.struct((-x["scores"]).alias("down"), x["nodes"].alias("node")))), 1, k + 1)).alias("x"))
-    named = best.select("query", "x.down", "x.node").join(known.select("node", "ids"), "node")
+    best = met.unionAll(itself).groupBy("query").applyInArrow(lambda t: _merged(t, k + 1), "query long, down double, node long")
+    named = best.join(known.select("node", "ids"), "node")
     spread = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("down").alias("down"), i.alias("id")))))
     ranked = named.groupBy("query").agg(F.slice(F.array_sort(spread), 1, k + 1).alias("found"))
     answers = asked.join(ranked, F.col("node") == F.col("query"))
