@@ -1,22 +1,30 @@
 """Nearest neighbours by inner product with cross-polytope hashing.
 
-A vector is made a unit vector by one more component (so that the largest inner product is the
-nearest angle), rotated by three rounds of random signs and Hadamard transforms, and put into the
-bucket of its nearest signed axis, once per table. A query looks into the buckets of its nearest
-signed axes in every table. Buckets are met in blocks of bounded size: what they hold is reranked by
-exact inner products, and only the best of a block travel on.
+Vectors are dealt into ranges of norm, so that one long vector does not flatten the others. A range
+of few vectors is met whole. In a larger one a vector is made a unit vector by one more component (so
+that the largest inner product is the nearest angle), rotated by three rounds of random signs and
+Hadamard transforms, and put into the bucket of its nearest signed axis, once per table. A query
+looks into the buckets of its nearest signed axes in every table, and goes on until those buckets
+hold enough vectors. Buckets are met in blocks of bounded size: what they hold is reranked by exact
+inner products, and only the best of a block travel on.
 """
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from awardlake.llm.common import cut
 
-#: Tables, and signed axes that a query tries in each.
-TABLES, PROBES = 6, 40
+#: Tables, and the share of all signed axes that a query tries at least in each.
+TABLES, SHARE = 6, 5 / 16
+#: A range of norm with no more distinct vectors than this is met whole, in parts of the second size.
+WHOLE, WHOLE_PART = 4096, 256
 #: Vectors of a bucket, and queries at a bucket, that meet in one task.
 BLOCK_VECTORS, BLOCK_QUERIES = 8192, 8192
+#: Rows of an Arrow batch that goes to the blocks.
+SENT = 1 << 14
 #: Distinct vectors a task holds before it sends them.
 HELD = 1 << 17
 
@@ -42,16 +50,34 @@ def rotated(unit, table, seed):
     return a
 
 
+def axes_of(components):
+    """Number of signed axes for vectors of so many components and one more."""
+    return 2 << int(components).bit_length()
+
+
+def norms(x):
+    """Length of each row, without overflow inside."""
+    most = np.abs(x).max(axis=1)
+    scaled = x / most[:, None]
+    return most * np.sqrt((scaled * scaled).sum(axis=1))
+
+
+def ranges(length):
+    """Range of norm of each length: the nearest power of two."""
+    return np.rint(np.log2(np.clip(length, 5e-324, 1.7e308))).astype(np.int32)
+
+
 def widened(x, largest):
     """Unit vectors whose angle to a widened query falls with the inner product."""
-    rest = np.sqrt(np.maximum(largest * largest - (x * x).sum(1), 0))
-    return np.concatenate([x, rest[:, None]], axis=1) / largest
+    x = x / largest
+    rest = np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
+    return np.concatenate([x, rest[:, None]], axis=1)
 
 
 def nearest_axes(y, count):
     """The ``count`` nearest signed axes of each row, nearest first: twice the axis, one more if negative."""
     signed = np.stack([y, -y], axis=2).reshape(len(y), -1)
-    return np.argsort(-signed, axis=1, kind="stable")[:, :count]
+    return signed.argmax(axis=1)[:, None] if count == 1 else np.argsort(-signed, axis=1, kind="stable")[:, :count]
 
 
 def _binary(matrix):
@@ -106,8 +132,47 @@ def _distinct(rows, keep):
     return packed.groupBy("vector").agg(least.alias("ids")).select("vector", "ids", F.get("ids", F.lit(0)).alias("node"))
 
 
-def _bucketed(rows, largest, tables, probes, seed, splits, others):
-    """Rows by block: ``table``, ``bucket``, ``mine``, ``theirs``, ``node``, ``vector``.
+def _places(x, kinds, tables, seed):
+    """Where each vector lies: (range, table, rows, buckets) for one range and table after another.
+
+    ``kinds`` has the largest norm of each range and whether the range is hashed or met whole.
+    """
+    of = ranges(norms(x))
+    for kind in np.unique(of).tolist():
+        at = np.flatnonzero(of == kind)
+        largest, hashed = kinds[kind]
+        if not hashed:
+            yield kind, 0, at, np.zeros(len(at), np.int64)
+            continue
+        unit = widened(x[at], largest)
+        for table in range(tables):
+            yield kind, table, at, nearest_axes(rotated(unit, table, seed), 1)[:, 0]
+
+
+def _looks(x, kinds, held, tables, probes, seed, enough):
+    """Where each query looks, in the form of ``_places``.
+
+    In every range: whole if it is small, else in the ``probes`` nearest buckets of each table and on
+    in the next ones until they hold ``enough`` vectors or all. ``held`` has the vectors per bucket.
+    """
+    every = np.arange(len(x))
+    large = [kind for kind, (_, hashed) in kinds.items() if hashed]
+    for kind in kinds.keys() - set(large):
+        yield kind, 0, every, np.zeros(len(x), np.int64)
+    if not large:
+        return
+    unit = np.concatenate([x / norms(x)[:, None], np.zeros((len(x), 1))], axis=1)
+    for table in range(tables):
+        order = nearest_axes(rotated(unit, table, seed), axes_of(x.shape[1]))
+        for kind in large:
+            inside = held[kind, table][order]
+            tried = np.maximum(probes, (np.cumsum(inside, axis=1) < enough).sum(axis=1) + 1)
+            rows, place = np.nonzero((np.arange(order.shape[1]) < tried[:, None]) & (inside > 0))
+            yield kind, table, rows, order[rows, place]
+
+
+def _bucketed(rows, places, splits, others):
+    """Rows by block: ``kind``, ``table``, ``bucket``, ``mine``, ``theirs``, ``node``, ``vector``.
 
     ``splits`` and ``others`` tell into how many parts a bucket's own and opposite rows are cut; a row
     goes to one part of its own side against every part of the other.
@@ -118,21 +183,24 @@ def _bucketed(rows, largest, tables, probes, seed, splits, others):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 x, node = _matrix(part.column("vector")), part.column("node").to_numpy()
-                unit = widened(x, largest) if probes == 1 else np.concatenate([x, np.zeros((len(x), 1))], axis=1) / np.linalg.norm(x, axis=1)[:, None]
-                for table in range(tables):
-                    bucket = nearest_axes(rotated(unit, table, seed), probes)
-                    row = np.repeat(np.arange(len(x)), bucket.shape[1])
-                    bucket = bucket.ravel()
-                    mine = node[row] % np.array([splits.get((table, int(b)), 1) for b in bucket])
-                    copies = np.array([others.get((table, int(b)), 1) for b in bucket])
-                    theirs = np.concatenate([np.arange(c) for c in copies])
-                    row, bucket, mine = (np.repeat(v, copies) for v in (row, bucket, mine))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(row), table, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(mine.astype(np.int32)),
-                        pa.array(theirs.astype(np.int32)), pa.array(node[row]), _binary(x[row]),
-                    ], ["table", "bucket", "mine", "theirs", "node", "vector"])
-
-    return rows.select("node", "vector").mapInArrow(run, "table int, bucket int, mine int, theirs int, node long, vector binary")
+                for kind, table, row, bucket in places(x):
+                    if (kind, table) not in splits or (kind, table) not in others:
+                        continue
+                    copies = np.where(splits[kind, table][bucket] > 0, others[kind, table][bucket], 0)
+                    ends = np.cumsum(copies)
+                    total = int(ends[-1]) if len(ends) else 0
+                    for start in range(0, total, SENT):
+                        copy = np.arange(start, min(start + SENT, total))
+                        of = np.searchsorted(ends, copy, "right")
+                        theirs = copy - (ends[of] - copies[of])
+                        own, b = node[row[of]], bucket[of]
+                        mine = own % splits[kind, table][b]
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.full(len(of), kind, np.int32)), pa.array(np.full(len(of), table, np.int32)), pa.array(b.astype(np.int32)),
+                            pa.array(mine.astype(np.int32)), pa.array(theirs.astype(np.int32)), pa.array(own), _binary(x[row[of]]),
+                        ], ["kind", "table", "bucket", "mine", "theirs", "node", "vector"])
+
+    return rows.select("node", "vector").mapInArrow(run, "kind int, table int, bucket int, mine int, theirs int, node long, vector binary")
 
 
 def _best(queries, vectors, keep):
@@ -176,20 +244,35 @@ def _merged(lists, keep):
     return pa.table({"query": pa.array([lists.column("query")[0].as_py()] * len(best), pa.int64()), "down": pa.array(-scores[best]), "node": pa.array(nodes[best])})
 
 
-def _counts(rows, largest, tables, probes, seed):
-    """Rows per (table, bucket): a table of fixed size."""
-    counted = _bucketed(rows, largest, tables, probes, seed, {}, {}).groupBy("table", "bucket").count()
-    return {(r["table"], r["bucket"]): r["count"] for r in counted.collect()}
+def _counts(rows, places, axes):
+    """Rows per bucket, one array for each range and table: of fixed size."""
+
+    def run(batches):
+        found = Counter()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                for kind, table, _, bucket in places(_matrix(batch.column("vector").slice(at, 512))):
+                    for b, c in zip(*np.unique(bucket, return_counts=True)):
+                        found[kind, table, int(b)] += int(c)
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays([*(pa.array([key[i] for key in keys], pa.int32()) for i in range(3)), pa.array(list(found.values()), pa.int64())], ["kind", "table", "bucket", "c"])
+
+    out = {}
+    counted = rows.select("vector").mapInArrow(run, "kind int, table int, bucket int, c long")
+    for r in counted.groupBy("kind", "table", "bucket").agg(F.sum("c").alias("c")).collect():
+        out.setdefault((r["kind"], r["table"]), np.zeros(axes, np.int64))[r["bucket"]] = r["c"]
+    return out
 
 
-def search(vectors: DataFrame, is_query, k=20, id_column="vec_id", vector_column="embedding", tables=TABLES, probes=PROBES, seed=11) -> DataFrame:
+def search(vectors: DataFrame, is_query, k=20, id_column="vec_id", vector_column="embedding", tables=TABLES, probes=None, seed=11) -> DataFrame:
     """The ``k`` nearest rows found for every query row: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
     ``is_query`` is a condition on ``id``. Nearness is the inner product in double precision on the
     original vectors, ties go to the smaller id, a query never finds its own row (nor another one of
-    its id), fewer rows than ``k`` are all found if their buckets are tried. Vectors that are null,
-    empty, zero or hold null or non-finite components, and null ids, take no part; nor do vectors of
-    another length than most. Repeated rows count once. An empty table gives an empty result.
+    its id), fewer rows than ``k`` are all found. ``probes`` buckets at least are tried in each table,
+    by default ``SHARE`` of them. Vectors that are null, empty, zero or hold null or non-finite
+    components, and null ids, take no part; nor do vectors of another length than most. Repeated rows
+    count once. An empty table gives an empty result.
     """
     rows = _valid(vectors, id_column, vector_column)
     lengths = rows.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
@@ -198,10 +281,17 @@ def search(vectors: DataFrame, is_query, k=20, id_column="vec_id", vector_column
 
     def length_of(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([float(np.linalg.norm(_matrix(batch.column("vector")), axis=1).max())])], ["length"])
+            for at in range(0, batch.num_rows, 512):
+                length = norms(_matrix(batch.column("vector").slice(at, 512)))
+                kind, of = np.unique(ranges(length), return_inverse=True)
+                most = np.zeros(len(kind))
+                np.maximum.at(most, of, length)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(most), pa.array(np.bincount(of))], ["kind", "length", "c"])
 
-    largest = known.select("vector").mapInArrow(length_of, "length double").agg(F.max("length")).first()[0] or 1.0
+    spread = known.select("vector").mapInArrow(length_of, "kind int, length double, c long")
+    kinds = {r["kind"]: (r["length"], r["c"] > WHOLE) for r in spread.groupBy("kind").agg(F.max("length").alias("length"), F.sum("c").alias("c")).collect()}
+    axes = axes_of(lengths["n"] if lengths else 1)
+    tried = max(1, round(axes * SHARE)) if probes is None else probes
 
     def packed(batches):
         for batch in batches:
@@ -212,19 +302,28 @@ def search(vectors: DataFrame, is_query, k=20, id_column="vec_id", vector_column
     asked = rows.where(is_query).distinct().mapInArrow(packed, "query_id long, vector binary")
     asked = cut(asked.join(known.select("vector", "node"), "vector").select("query_id", "node"))
     queries = known.join(asked.select("node").distinct(), "node", "left_semi")
-    ours = _counts(known, largest, tables, 1, seed)
-    theirs = _counts(queries, largest, tables, probes, seed)
-    cut_vectors = {b: -(-c // BLOCK_VECTORS) for b, c in ours.items()}
+
+    def lies(x):
+        return _places(x, kinds, tables, seed)
+
+    ours = _counts(known, lies, axes)
+
+    def looks(x):
+        return _looks(x, kinds, ours, tables, tried, seed, k + 1)
+
+    theirs = _counts(queries, looks, axes)
+    cut_vectors = {b: -(-c // (BLOCK_VECTORS if kinds[b[0]][1] else WHOLE_PART)) for b, c in ours.items()}
     cut_queries = {b: -(-c // BLOCK_QUERIES) for b, c in theirs.items()}
-    index = _bucketed(known, largest, tables, 1, seed, cut_vectors, cut_queries)
-    looking = _bucketed(queries, largest, tables, probes, seed, cut_queries, cut_vectors)
-    met = index.groupBy("table", "bucket", "mine", "theirs").cogroup(looking.groupBy("table", "bucket", "theirs", "mine")).applyInArrow(
+    block = ["kind", "table", "bucket"]
+    index = _bucketed(known, lies, cut_vectors, cut_queries)
+    looking = _bucketed(queries, looks, cut_queries, cut_vectors)
+    met = index.groupBy(*block, "mine", "theirs").cogroup(looking.groupBy(*block, "theirs", "mine")).applyInArrow(
         lambda a, b: _meet(b, a, k + 1), "query long, nodes array<long>, scores array<double>")
     itself = queries.select(F.col("node").alias("query"), "vector").mapInArrow(_itself, "query long, nodes array<long>, scores array<double>")
     best = met.unionAll(itself).groupBy("query").applyInArrow(lambda t: _merged(t, k + 1), "query long, down double, node long")
     named = best.join(known.select("node", "ids"), "node")
-    spread = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("down").alias("down"), i.alias("id")))))
-    ranked = named.groupBy("query").agg(F.slice(F.array_sort(spread), 1, k + 1).alias("found"))
+    answer = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("down").alias("down"), i.alias("id")))))
+    ranked = named.groupBy("query").agg(F.slice(F.array_sort(answer), 1, k + 1).alias("found"))
     answers = asked.join(ranked, F.col("node") == F.col("query"))
     rest = F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k)
     return answers.select("query_id", F.posexplode(rest).alias("place", "x")).select(

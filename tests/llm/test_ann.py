@@ -60,3 +60,44 @@ def test_copies_ties_small_blocks_and_unusable_vectors(spark, monkeypatch):
         assert [v for _, v, _ in sorted(got[q])] == first
     assert [v for _, v, _ in sorted(got[200])] == [i for i, _ in dict((i, s) for i, s in want[200]).items()][:20]
     assert ann.search(docs.limit(0), "id % 20 = 0").collect() == []
+
+
+def recall(spark, x, **more):
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    want = brute(rows, 20)
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 20 = 0", **more).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    shares = [len(got.get(q, set()) & {i for i, _ in near}) / len(near) for q, near in want.items()]
+    assert all(len(got.get(q, ())) == len(near) for q, near in want.items())
+    return sum(shares) / len(shares)
+
+
+@pytest.mark.parametrize("components", [64, 300])
+@pytest.mark.parametrize("norms", ["unit", "one long", "log-normal"])
+def test_recall_at_real_width_with_skewed_norms(spark, monkeypatch, components, norms):
+    monkeypatch.setattr(ann, "WHOLE", 100)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, components))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "one long":
+        x[7] *= 20
+    if norms == "log-normal":
+        x *= np.exp(rng.normal(size=(2000, 1)))
+    assert recall(spark, x) >= 0.93
+
+
+def test_small_ranges_are_met_whole(spark):
+    x = np.random.default_rng(4).normal(size=(2000, 64)) * np.exp(np.random.default_rng(5).normal(size=(2000, 1)))
+    assert recall(spark, x) == 1
+    assert recall(spark, x[:15] / np.linalg.norm(x[:15], axis=1, keepdims=True)) == 1
+
+
+def test_queries_go_on_until_they_meet_enough_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann, "WHOLE", 0)
+    monkeypatch.setattr(ann, "SENT", 7)
+    x = np.random.default_rng(6).normal(size=(15, 64))
+    assert recall(spark, x / np.linalg.norm(x, axis=1, keepdims=True)) == 1
+    x = np.random.default_rng(7).normal(size=(300, 64)) * 0.01 + np.eye(64)[0]
+    x[::20] -= 2 * np.eye(64)[0]
+    recall(spark, x, tables=1, probes=1)
