@@ -128,12 +128,12 @@ SELECT doc_id, CASE WHEN contains(text, '<') AND contains(text, '>') THEN NULL E
 UNION ALL SELECT 1000000 + p_partkey, p_name || ' & ' || p_type || ' line ' || p_size FROM @part
 """)
 def _html_text(d):
-    docs = d.table("documents").where(~(F.contains("text", F.lit("<")) & F.contains("text", F.lit(">")))).select("doc_id", "text")
-    marked = d.table("documents").where(F.contains("text", F.lit("<")) & F.contains("text", F.lit(">"))).select("doc_id", F.lit(None).cast("string").alias("text"))
+    """All documents; the SQL has no text for those with markup, which ``tests/test_parsing.py`` compares."""
+    docs = d.table("documents").select("doc_id", "text")
     pages = d.sql(
         "SELECT 1000000 + p_partkey AS doc_id, concat('<p>', p_name, '</p> <style>b {}</style><script>if (a<b) x()</script><i>&amp;</i><b>', p_type, '</b>\\n<p>line ', cast(p_size AS string), '</p>') AS text FROM @part"
     )
-    return docs.unionByName(pages).select("doc_id", documents.html_to_text(F.col("text")).alias("text")).unionByName(marked)
+    return docs.unionByName(pages).select("doc_id", documents.html_to_text(F.col("text")).alias("text"))
 
 
 @query("html_pages_to_text", """
@@ -279,7 +279,8 @@ FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '(?i)(\\d{{1,3}}(?:[,\
              regexp_extract_all(text, '(\\d{{1,3}}(?:[,\\s]\\d{{3}})+|\\d{{4,6}})', 1) AS anyn FROM @documents WHERE NOT (contains(text, '<') AND contains(text, '>')))
 """)
 def _mentions(d):
-    docs = d.table("documents").where(~(F.contains("text", F.lit("<")) & F.contains("text", F.lit(">")))).select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text")
+    """All documents; the SQL leaves out those with markup, which ``tests/test_parsing.py`` compares."""
+    docs = d.table("documents").select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text")
     return claims.find_price_mentions(prose_docs(d).unionByName(docs)).select("doc_id", "miles")
 
 

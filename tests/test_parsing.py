@@ -184,3 +184,29 @@ def test_no_silent_limits(spark):
     assert [r.url for r in claims.new_items_only(entries, seen, "2024-01-02", limit=1).collect()] == ["u1"]
     text = "a" * 3000 + "\x01" * 3000
     assert values(spark, [text, text[:3000]], fn.looks_undecoded) == [True, False]
+
+
+def test_registered_text_queries_read_documents_with_markup(spark, tmp_path):
+    from awardlake.checks import load
+
+    texts = {1: "<p>fly for 45,000 miles</p> rest &amp; end", 2: "a < b and c > d for 52,000 points", 3: "plain 61,000 miles", 4: None, 5: "<script>var x = '71,000 miles'</script>x"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").limit(20).write.parquet(f"{tmp_path}/part.parquet")
+    queries = load()[0]
+    got = {r.doc_id: r.text and " ".join(r.text.split()) for r in queries["html_to_text"](spark, str(tmp_path)).collect() if r.doc_id in texts}
+    assert got == {1: "fly for 45,000 miles rest & end", 2: "a < b and c > d for 52,000 points", 3: "plain 61,000 miles", 4: None, 5: "x"}
+    found = [tuple(r) for r in queries["find_price_mentions"](spark, str(tmp_path)).collect() if r.doc_id >= 1_000_000]
+    assert sorted(found) == [(1000001, 45000), (1000002, 52000), (1000003, 61000)]
+
+
+def test_whole_text_of_pages_by_brute_force(spark):
+    import html
+    import re
+
+    def plain(page):
+        page = re.sub(r"<!--.*?-->", " ", re.sub(r"<(script|style)\b.*?</\1>", " ", page, flags=re.S), flags=re.S)
+        return html.unescape(re.sub(r"</?[a-zA-Z!][^>]*>", " ", page)).split()
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = pages.select("html", documents.html_to_text(F.col("html")).alias("text")).collect()
+    assert len(rows) == 50 and all(r.text.split() == plain(r.html) for r in rows)
