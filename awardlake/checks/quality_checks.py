@@ -326,11 +326,11 @@ def _reclassify(d):
 SELECT 'LAX-JFK-economy' AS route_key, 'p' || p_partkey % 3 AS program, min(floor(p_retailprice)::bigint * 10) AS miles FROM @part WHERE p_size % 2 = 0 GROUP BY ALL
 """)
 def _resolved_probes(d):
-    """Probe routes resolved through the ordinary price resolution."""
+    """Probe routes resolved through the ordinary price resolution; odd parts are charts of a region without probes."""
     probes = sites.probe_routes(d.spark).select("route_key", "origin", "dest", "cabin").distinct()
-    rows = d.table("part").where("p_size % 2 = 0").select(
+    rows = d.table("part").select(
         F.concat(F.lit("p"), (F.col("p_partkey") % 3).cast("string")).alias("program"), F.lit("s").alias("source_name"),
-        F.lit("north_america").alias("region_a"), F.lit("North_America").alias("region_b"), F.lit("economy").alias("cabin"),
+        F.lit("north_america").alias("region_a"), F.when(F.col("p_size") % 2 == 0, "North_America").otherwise("oceania").alias("region_b"), F.lit("economy").alias("cabin"),
         (F.floor("p_retailprice") * 10).alias("miles"), F.lit(False).alias("roundtrip"), F.lit(None).cast("bigint").alias("distance_min"),
         F.lit(None).cast("bigint").alias("distance_max"), F.lit(None).cast("string").alias("origin_airport"), F.lit(None).cast("string").alias("dest_airport"),
         F.lit(None).cast("string").alias("updated_at"), F.col("p_partkey").alias("band_ord"),

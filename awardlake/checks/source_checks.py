@@ -95,7 +95,7 @@ SELECT DISTINCT 'p' || cast(p_partkey % 3 AS varchar) AS program FROM @part WHER
 """)
 def _stale(d):
     docs = d.sql(
-        """SELECT concat('{"stale_programs":[" P', cast(p_partkey % 3 AS varchar(20)), ' ",""],"rows":[]}') AS doc FROM @part WHERE p_size = 7"""
+        """SELECT concat('{"stale_programs":[', CASE WHEN p_size = 7 THEN concat('" P', cast(p_partkey % 3 AS varchar(20)), ' ",') ELSE '' END, '""],"rows":[]}') AS doc FROM @part"""
     )
     return catalogue.read_discovered_rows(docs)[1]
 

@@ -210,3 +210,15 @@ def test_whole_text_of_pages_by_brute_force(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = pages.select("html", documents.html_to_text(F.col("html")).alias("text")).collect()
     assert len(rows) == 50 and all(r.text.split() == plain(r.html) for r in rows)
+
+
+@pytest.mark.parametrize("name, module, operator, at", [("read_stale_programs", "catalogue", "read_discovered_rows", 0), ("check_targets_resolved_charts", "resolve", "resolve_award_miles", 1)])
+def test_registered_queries_read_every_part(spark, monkeypatch, name, module, operator, at):
+    from awardlake.checks import load, quality_checks, source_checks
+
+    queries, read = load()[0], []
+    owner = getattr(source_checks if module == "catalogue" else quality_checks, module)
+    inner = getattr(owner, operator)
+    monkeypatch.setattr(owner, operator, lambda *a, **b: (read.append(a[at].count()), inner(*a, **b))[1])
+    assert queries[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert read == [spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()]
