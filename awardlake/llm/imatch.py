@@ -36,12 +36,17 @@ def _slot(term):
 def lexicon(docs: DataFrame, band=BAND) -> DataFrame:
     """One row: ``mask``, an array of long with one bit per slot of hashed terms, set where its document frequency is in the band.
 
-    Frequencies cover all documents. A slot sums the frequencies of the terms it holds; rare terms
+    Frequencies cover all documents, equal texts once, so that copies push no term out of the band
+    (texts without terms count each time in the number of documents). A slot sums the frequencies of the terms it holds; rare terms
     add about one in 5000 documents to it at any corpus size, which stays below the band.
     """
     plain = texts(docs)
-    total = plain.agg(F.count("*").alias("n"))
-    slots = plain.select(F.explode(F.array_distinct(F.transform(term_hashes(F.col("text")), _slot))).alias("slot"))
+    same = [F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")]
+    sizes = plain.groupBy(*same, F.col("text").rlike(r"[\p{L}\p{N}]").alias("some")).count()
+    total = sizes.agg(F.coalesce(F.sum(F.when(F.col("some"), 1).otherwise(F.col("count"))), F.lit(0)).alias("n"))
+    once = plain.select(*same, F.array_distinct(F.transform(term_hashes(F.col("text")), _slot)).alias("slots"))
+    once = once.groupBy("a", "b").agg(F.any_value("slots").alias("slots"))
+    slots = once.select(F.explode("slots").alias("slot"))
     counts = slots.groupBy("slot").count()
     low, high = (F.greatest(F.lit(x) * total.scalar(), F.lit(2)) for x in band)
     inside = counts.where((F.col("count") >= low) & (F.col("count") <= high))

@@ -94,3 +94,14 @@ def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
     plan = imatch.fingerprints(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_copies_do_not_push_their_terms_out_of_the_band(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(3000)], k=40))) for i in range(100)]
+    words = [f"copy{j}" for j in range(60)]
+    rows += [(1000 + i, " ".join(words)) for i in range(50)] + [(2000, " ".join([*words, rows[0][1].split()[0]]))]
+    parts = {}
+    for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        parts[r.doc_id] = {int(x, 16) >> 32: int(x, 16) for x in r.fingerprint.split(".")}
+    assert near(parts[1000], parts[2000]) > 0.9 and near(parts[1000], parts[0]) < 0.1
