@@ -156,3 +156,10 @@ def cross_polytope(spark, sf_dir):
     from awardlake.llm.ann import search
 
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "id % 20 = 0")
+
+
+@query("op12_whitening")
+def whitened(spark, sf_dir):
+    from awardlake.llm.whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
