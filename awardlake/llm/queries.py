@@ -163,3 +163,10 @@ def whitened(spark, sf_dir):
     from awardlake.llm.whitening import whiten
 
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op13_conversation_repair")
+def conversation_repair(spark, sf_dir):
+    from awardlake.llm.conversations import audits, damaged
+
+    return audits(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
