@@ -170,3 +170,10 @@ def conversation_repair(spark, sf_dir):
     from awardlake.llm.conversations import audits, damaged
 
     return audits(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+@query("op11_quality_rules")
+def quality_rules(spark, sf_dir):
+    from awardlake.llm.rules import judge
+
+    return judge(documents(spark, sf_dir), labels(spark, sf_dir))
