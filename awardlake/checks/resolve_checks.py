@@ -125,7 +125,7 @@ def resolved(d):
 
 @query("resolve_award_miles", f"WITH {RESOLVED_SQL} SELECT * FROM res")
 def _resolved(d):
-    return flag_text(resolved(d))
+    return flag_text(resolved(d)).drop("cabin")
 
 
 def chart_targets(d):
@@ -142,7 +142,7 @@ cq AS (SELECT r.route_key, r.program, r.miles, r.source_name, t.trust, coalesce(
 
 
 def chart_quote_rows(d):
-    return resolve.chart_quotes(resolved(d), d.view("chart_rows"), chart_targets(d), d.view("routes"), NOW)
+    return resolve.chart_quotes(resolved(d), d.view("chart_rows"), chart_targets(d), NOW)
 
 
 def plain_quotes(df):
@@ -171,7 +171,7 @@ def _discovered_quotes(d):
             "source_url": F.lit("mail://x"), "source_updated_at": F.lit("Mon, 2 Aug 1999 10:00:00 +0200"),
         }
     )
-    return plain_quotes(resolve.discovered_quotes(resolved(d), rows, d.view("routes"), NOW))
+    return plain_quotes(resolve.discovered_quotes(resolved(d), rows, NOW))
 
 
 @query("cap_stale_programs", f"""

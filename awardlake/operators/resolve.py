@@ -1,21 +1,27 @@
 """Resolve routes against chart rows and live rows.
 
-Chart rows are first reduced to one row per (programme, source, geography, cabin): a join then
-fans out only to results. Join keys of region pairs are few, so the route side is salted.
+A route asks for its airport pair and for every pair of geography tokens of its ends; a chart row
+answers for a pair, and a distance band for the fixed bins of miles that it covers. Both sides meet in
+one equi-join on (kind of pair, pair, cabin, bin), and one aggregate takes the first answer per
+programme and source. Chart rows are reduced before the join. Keys of region pairs are few, so the
+route side is salted.
 """
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from awardlake import vocab
 from awardlake.functions import points
 from awardlake.functions.labels import parse_source_date
-from awardlake.functions.rows import explode_rows
+from awardlake.functions.rows import explode_rows, inline_rows
 from awardlake.operators.ranking import dedupe_freshest
 
 CHART = ["program", "source_name"]
 SALTS = 8
+#: Miles of a bin of distance bands, and the longest way on the globe.
+BIN_MILES, FARTHEST = 500, 12_450
+#: Kinds of pairs, in the order in which their answers count; distance bands come between the two.
+AIRPORTS, REGIONS = 0, 2
+PAIR = ["kind", "pair_lo", "pair_hi", "cabin", "bin"]
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys, row_id, salts=SALTS) -> DataFrame:
@@ -25,24 +31,116 @@ def salted_join(left: DataFrame, right: DataFrame, keys, row_id, salts=SALTS) ->
     return spread.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
-def _one_way(chart_rows):
-    price = points.normalize_one_way(F.col("miles"), F.col("roundtrip"))
-    return chart_rows.withColumn("_p", price)
+def _bin(miles):
+    return F.floor(F.greatest(F.least(miles, F.lit(FARTHEST)), F.lit(0)) / BIN_MILES).cast("int")
+
+
+def _answers(chart_rows):
+    """Chart rows reduced to one per (programme, source, pair, cabin, band), repeated for the bins of a band.
+
+    ``first`` orders the answers of a pair: by band where a distance or an airport pair chose it, else by miles.
+    """
+    airports = F.col("origin_airport").isNotNull() & F.col("dest_airport").isNotNull()
+    regions = F.col("origin_airport").isNull() & F.col("region_a").isNotNull() & F.col("region_b").isNotNull()
+    a = F.when(airports, F.upper("origin_airport")).otherwise(F.lower("region_a"))
+    b = F.when(airports, F.upper("dest_airport")).otherwise(F.lower("region_b"))
+    measured = ~airports & F.col("distance_min").isNotNull() & F.col("distance_max").isNotNull()
+    rows = chart_rows.where(airports | regions).select(
+        *CHART, F.when(airports, AIRPORTS).otherwise(REGIONS).alias("kind"), F.least(a, b).alias("pair_lo"), F.greatest(a, b).alias("pair_hi"),
+        "cabin", F.when(measured, F.col("distance_min")).alias("distance_min"), F.when(measured, F.col("distance_max")).alias("distance_max"),
+        points.normalize_one_way(F.col("miles"), F.col("roundtrip")).alias("_p"), "band_ord")
+    by_miles = (F.col("kind") == REGIONS) & F.col("distance_min").isNull()
+    first = F.struct(
+        F.when(by_miles, F.col("_p.miles")).otherwise(F.col("band_ord")).alias("a"),
+        F.when(by_miles, F.col("band_ord")).otherwise(F.col("_p.miles")).alias("b"), F.col("_p.flags").alias("flags"))
+    group = [*CHART, "kind", "pair_lo", "pair_hi", "cabin", "distance_min", "distance_max"]
+    reduced = rows.groupBy(*group).agg(F.min(first).alias("first"))
+    covered = F.when(F.col("distance_min") <= F.col("distance_max"), F.sequence(_bin(F.col("distance_min")), _bin(F.col("distance_max"))))
+    bins = F.when(F.col("distance_min").isNull(), F.array(F.lit(-1))).otherwise(covered)
+    return explode_rows(reduced, [*group, "first"], bins, "_at", "bin").drop("_at")
+
+
+def _located(routes, dim_airport, dim_zone) -> DataFrame:
+    """Routes with region, coordinates and zone tokens of both ends; an airport's tokens are one row.
+
+    The dimension is built once and joined twice: Spark reuses what it sends.
+    """
+    token = F.concat_ws("_", "program", F.lit("zone"), F.col("zone").cast("string"))
+    zones = dim_zone.groupBy("code").agg(F.collect_set(F.struct("program", token.alias("token"))).alias("zones"))
+    places = dim_airport.select("code", "region", "lat", "lon").join(zones, "code", "full")
+    out = routes.select("route_key", "cabin", F.upper("origin").alias("origin"), F.upper("dest").alias("dest"))
+    for side in ("origin", "dest"):
+        end = places.select(F.col("code").alias(side), F.struct("region", "lat", "lon", "zones").alias(f"{side}_at"))
+        out = out.join(end, side, "left")
+    return out
+
+
+_NO_TOKENS = "array<struct<program:string,token:string>>"
+
+
+def _token_pairs():
+    """Pairs of geography tokens of a located route: array of (program, pair_ord, a, b)."""
+    region = {side: F.col(f"{side}_at.region") for side in ("origin", "dest")}
+    zones = {side: F.coalesce(F.col(f"{side}_at.zones"), F.array().cast(_NO_TOKENS)) for side in ("origin", "dest")}
+
+    def token(side, program):
+        own = F.filter(zones[side], lambda z: z["program"] == program)
+        return F.coalesce(F.array_max(F.transform(own, lambda z: z["token"])), region[side])
+
+    def pair(program, order, a, b):
+        return F.struct(program.cast("string").alias("program"), F.lit(order).alias("pair_ord"), a.alias("a"), b.alias("b"))
+
+    programs = F.array_distinct(F.transform(F.concat(zones["origin"], zones["dest"]), lambda z: z["program"]))
+    zoned = F.transform(programs, lambda p: pair(p, 0, token("origin", p), token("dest", p)))
+    plain = F.array(pair(F.lit(None), 1, region["origin"], region["dest"]))
+    return F.filter(F.concat(zoned, plain), lambda p: p["a"].isNotNull() & p["b"].isNotNull())
 
 
-def _pair(a, b):
-    return {"pair_lo": F.least(a, b), "pair_hi": F.greatest(a, b)}
+def _distance():
+    ends = [F.col(f"{side}_at.{c}") for side in ("origin", "dest") for c in ("lat", "lon")]
+    return points.great_circle_miles(*ends)
+
+
+def _question(kind, a, b, bin_, program, order):
+    pair = {"pair_lo": F.least(a, b), "pair_hi": F.greatest(a, b)}
+    return F.struct(
+        F.lit(kind).alias("kind"), *(v.alias(k) for k, v in pair.items()), bin_.cast("int").alias("bin"),
+        program.cast("string").alias("only_program"), order.cast("int").alias("pair_ord"))
+
+
+def _bins_asked(distance):
+    """The bin of plain bands, and that of the route's distance where it is known."""
+    return F.when(distance.isNull(), F.array(F.lit(-1))).otherwise(F.array(F.lit(-1), _bin(distance)))
+
+
+def _answered(asked, answers):
+    """Answers to questions, one row per (route, programme, source): the first by kind, then by the order of that kind."""
+    hit = salted_join(asked, answers, PAIR, "route_key")
+    fits = F.col("only_program").isNull() | (F.col("only_program") == F.col("program"))
+    holds = F.col("distance_min").isNull() | F.col("distance").between(F.col("distance_min"), F.col("distance_max"))
+    measured = F.col("distance_min").isNotNull()
+    region = (F.col("kind") == REGIONS) & ~measured
+    low, mid = F.col("pair_ord").cast("bigint"), F.col("first.a")
+    h = F.struct(
+        F.when(measured, 1).otherwise(F.col("kind")).alias("step"), F.when(region, mid).otherwise(low).alias("x"),
+        F.when(region, low).otherwise(mid).alias("y"), F.col("first.b").alias("z"), F.col("first.flags").alias("flags"))
+    best = hit.where(fits & holds).groupBy("route_key", "cabin", *CHART).agg(F.min(h).alias("h"))
+    plain = F.col("h.step") == REGIONS
+    return best.select(
+        "route_key", "cabin", *CHART, F.col("h.step").alias("step"), F.when(plain, F.col("h.y")).otherwise(F.col("h.x")).cast("int").alias("pair_ord"),
+        F.when(plain, F.col("h.z")).otherwise(F.col("h.y")).alias("band_ord"), F.when(plain, F.col("h.x")).otherwise(F.col("h.z")).alias("miles"),
+        F.col("h.flags").alias("flags"))
+
+
+_ASKED = ["route_key", "cabin", "distance"]
 
 
 def join_airport_pair(routes: DataFrame, chart_rows: DataFrame) -> DataFrame:
     """Exact airport-pair prices in either direction; the first band in order wins."""
-    key = ["pair_lo", "pair_hi", "cabin"]
-    rows = _one_way(
-        chart_rows.where(F.col("origin_airport").isNotNull() & F.col("dest_airport").isNotNull())
-    ).withColumns(_pair(F.upper("origin_airport"), F.upper("dest_airport")))
-    bands = rows.groupBy(*CHART, *key).agg(F.min(F.struct("band_ord", "_p.miles", "_p.flags")).alias("h"))
-    asked = routes.withColumns(_pair(F.upper("origin"), F.upper("dest")))
-    return asked.join(bands, key).select("route_key", *CHART, "h.band_ord", "h.miles", "h.flags")
+    question = _question(AIRPORTS, F.upper("origin"), F.upper("dest"), F.lit(-1), F.lit(None), F.lit(0))
+    asked = routes.select("route_key", "cabin", F.lit(None).cast("double").alias("distance"), F.inline(F.array(question)))
+    pairs = chart_rows.where(F.col("origin_airport").isNotNull())
+    return _answered(asked, _answers(pairs)).select("route_key", *CHART, "band_ord", "miles", "flags")
 
 
 def route_tokens(routes: DataFrame, dim_airport: DataFrame, dim_zone: DataFrame) -> DataFrame:
@@ -51,119 +149,47 @@ def route_tokens(routes: DataFrame, dim_airport: DataFrame, dim_zone: DataFrame)
     ``program`` NULL stands for every programme: the plain region pair. A programme that lists an
     airport as one of its zones gets its own pair, tried before the region pair.
     """
-    region = dim_airport.where(F.col("region").isNotNull()).select("code", "region")
-    zone = dim_zone.select("program", "code", F.concat_ws("_", "program", F.lit("zone"), F.col("zone").cast("string")).alias("token"))
-    end = lambda df, side, name: df.select(
-        *[F.col(c) for c in df.columns if c not in ("code", name)],
-        F.col("code").alias(side), F.col(name).alias(f"{side}_{name}"),
-    )
-    base = routes.select("route_key", "cabin", F.upper("origin").alias("origin"), F.upper("dest").alias("dest"))
-    known = base.join(end(region, "origin", "region"), "origin", "left").join(
-        end(region, "dest", "region"), "dest", "left"
-    )
-    plain = known.where(F.col("origin_region").isNotNull() & F.col("dest_region").isNotNull()).select(
-        "route_key", "cabin", F.lit(None).cast("string").alias("program"), F.lit(1).alias("pair_ord"),
-        F.col("origin_region").alias("a"), F.col("dest_region").alias("b"),
-    )
-    listed = reduce(
-        DataFrame.unionByName,
-        [
-            known.join(zone.select("program", F.col("code").alias(side), F.col("token").alias("_t")), side)
-            .select(
-                *known.columns, "program",
-                (F.col("_t") if side == "origin" else F.lit(None).cast("string")).alias("_o"),
-                (F.col("_t") if side == "dest" else F.lit(None).cast("string")).alias("_d"),
-            )
-            for side in ("origin", "dest")
-        ],
-    )
-    zoned = listed.groupBy("route_key", "cabin", "program", "origin_region", "dest_region").agg(
-        F.max("_o").alias("_o"), F.max("_d").alias("_d")
-    ).select(
-        "route_key", "cabin", "program", F.lit(0).alias("pair_ord"),
-        F.coalesce("_o", "origin_region").alias("a"), F.coalesce("_d", "dest_region").alias("b"),
-    ).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    return plain.unionByName(zoned)
-
-
-def _pair_bands(chart_rows):
-    """Region-keyed bands with a one-way price, lower-cased and unordered."""
-    rows = chart_rows.where(
-        F.col("origin_airport").isNull() & F.col("region_a").isNotNull() & F.col("region_b").isNotNull()
-    )
-    return _one_way(rows).withColumns(_pair(F.lower("region_a"), F.lower("region_b")))
-
-
-def _match_tokens(tokens, bands, extra):
-    """Bands of the token pairs' geography: programme-bound pairs and pairs open to any programme."""
-    key = ["pair_lo", "pair_hi", "cabin"]
-    asked = tokens.withColumns(_pair(F.col("a"), F.col("b"))).withColumnRenamed("program", "only_program")
-    hit = salted_join(asked, bands, key, "route_key")
-    fits = F.col("only_program").isNull() | (F.col("only_program") == F.col("program"))
-    return hit.where(fits).select("route_key", *CHART, "pair_ord", *extra)
-
-
-def join_region_pair(tokens: DataFrame, chart_rows: DataFrame) -> DataFrame:
-    """Cheapest plain band over all of a route's token pairs, per programme and source."""
-    rows = _pair_bands(chart_rows).where(F.col("distance_min").isNull() | F.col("distance_max").isNull())
-    bands = rows.groupBy(*CHART, "pair_lo", "pair_hi", "cabin").agg(
-        F.min(F.struct("_p.miles", "band_ord", "_p.flags")).alias("h")
-    )
-    hits = _match_tokens(tokens, bands, ["h.miles", "h.band_ord", "h.flags"])
-    best = hits.groupBy("route_key", *CHART).agg(
-        F.min(F.struct("miles", "pair_ord", "band_ord", "flags")).alias("h")
-    )
-    return best.select("route_key", *CHART, "h.*")
+    return inline_rows(_located(routes, dim_airport, dim_zone), ["route_key", "cabin"], _token_pairs(), "a")
 
 
 def route_distances(routes: DataFrame, dim_airport: DataFrame) -> DataFrame:
     """Great-circle distance of every route whose two airports have coordinates."""
     spot = dim_airport.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    at = lambda side: spot.select(
-        F.col("code").alias(side), F.col("lat").alias(f"{side}_lat"), F.col("lon").alias(f"{side}_lon")
-    )
+    at = lambda side: spot.select(F.col("code").alias(side), F.struct("lat", "lon").alias(f"{side}_at"))
     base = routes.select("route_key", F.upper("origin").alias("origin"), F.upper("dest").alias("dest"))
-    return base.join(at("origin"), "origin").join(at("dest"), "dest").select(
-        "route_key",
-        points.great_circle_miles(*[F.col(c) for c in ("origin_lat", "origin_lon", "dest_lat", "dest_lon")])
-        .alias("distance"),
-    )
+    return base.join(at("origin"), "origin").join(at("dest"), "dest").select("route_key", _distance().alias("distance"))
+
+
+def _by_tokens(tokens, bin_):
+    question = _question(REGIONS, F.col("a"), F.col("b"), bin_, F.col("program"), F.col("pair_ord"))
+    return tokens.select("route_key", "cabin", "distance", F.inline(F.array(question)))
+
+
+def join_region_pair(tokens: DataFrame, chart_rows: DataFrame) -> DataFrame:
+    """Cheapest plain band over all of a route's token pairs, per programme and source."""
+    asked = _by_tokens(tokens.withColumn("distance", F.lit(None).cast("double")), F.lit(-1))
+    return _answered(asked, _answers(chart_rows)).select("route_key", *CHART, "miles", "pair_ord", "band_ord", "flags")
 
 
 def join_distance_band(tokens: DataFrame, chart_rows: DataFrame, distances: DataFrame) -> DataFrame:
     """First distance band, by token pair then band order, that holds the route's distance."""
-    rows = _pair_bands(chart_rows).where(F.col("distance_min").isNotNull() & F.col("distance_max").isNotNull())
-    bands = rows.groupBy(*CHART, "pair_lo", "pair_hi", "cabin", "distance_min", "distance_max").agg(
-        F.min(F.struct("band_ord", "_p.miles", "_p.flags")).alias("h")
-    )
-    measured = tokens.join(distances, "route_key")
-    hits = _match_tokens(
-        measured, bands,
-        ["distance", "distance_min", "distance_max", "h.band_ord", "h.miles", "h.flags"],
-    ).where(F.col("distance").between(F.col("distance_min"), F.col("distance_max")))
-    best = hits.groupBy("route_key", *CHART).agg(
-        F.min(F.struct("pair_ord", "band_ord", "miles", "flags")).alias("h")
-    )
-    return best.select("route_key", *CHART, "h.*")
+    asked = _by_tokens(tokens.join(distances, "route_key"), _bin(F.col("distance")))
+    return _answered(asked, _answers(chart_rows)).select("route_key", *CHART, "pair_ord", "band_ord", "miles", "flags")
 
 
 def resolve_award_miles(routes, chart_rows, dim_airport, dim_zone) -> DataFrame:
-    """One price per (route, programme, source): airport pair, else distance band, else region pair."""
-    tokens = route_tokens(routes, dim_airport, dim_zone)
-    steps = [
-        ("airport", join_airport_pair(routes, chart_rows)),
-        ("distance", join_distance_band(tokens, chart_rows, route_distances(routes, dim_airport))),
-        ("region", join_region_pair(tokens, chart_rows)),
-    ]
-    hits = reduce(
-        DataFrame.unionByName,
-        [
-            df.select("route_key", *CHART, F.struct(F.lit(i).alias("step"), "miles", "flags", F.lit(how).alias("how")).alias("h"))
-            for i, (how, df) in enumerate(steps)
-        ],
-    )
-    best = hits.groupBy("route_key", *CHART).agg(F.min("h").alias("h"))
-    return best.select("route_key", *CHART, "h.miles", "h.flags", "h.how")
+    """One price per (route, programme, source): airport pair, else distance band, else region pair.
+
+    (route_key, cabin, program, source_name, miles, flags, how). Every input is read once.
+    """
+    located = _located(routes, dim_airport, dim_zone).withColumn("distance", _distance())
+    airports = F.array(_question(AIRPORTS, F.col("origin"), F.col("dest"), F.lit(-1), F.lit(None), F.lit(0)))
+    by_tokens = F.transform(_token_pairs(), lambda p: F.transform(
+        _bins_asked(F.col("distance")), lambda b: _question(REGIONS, p["a"], p["b"], b, p["program"], p["pair_ord"])))
+    asked = inline_rows(located, _ASKED, F.concat(airports, F.flatten(by_tokens)), "kind")
+    how = F.when(F.col("step") == AIRPORTS, "airport").when(F.col("step") == REGIONS, "region").otherwise("distance")
+    best = _answered(asked, _answers(chart_rows))
+    return best.select("route_key", "cabin", *CHART, "miles", "flags", how.alias("how"))
 
 
 def _quote_frame(df, flags):
@@ -174,9 +200,7 @@ def _quote_frame(df, flags):
     )
 
 
-def chart_quotes(
-    resolved: DataFrame, chart_rows: DataFrame, targets: DataFrame, routes: DataFrame, fetched_at,
-) -> DataFrame:
+def chart_quotes(resolved: DataFrame, chart_rows: DataFrame, targets: DataFrame, fetched_at) -> DataFrame:
     """Resolved chart prices with their source's provenance, flagged as without live space.
 
     ``targets``: name, url, trust, updated_at and optionally via (``wayback`` adds a flag).
@@ -191,7 +215,6 @@ def chart_quotes(
     )
     rows = (
         resolved.join(source, "source_name").join(dated, CHART, "left")
-        .join(routes.select("route_key", "cabin"), "route_key")
         .withColumns(
             {
                 "seats": F.lit(None).cast("bigint"),
@@ -209,14 +232,14 @@ def chart_quotes(
     )
 
 
-def discovered_quotes(resolved: DataFrame, discovered: DataFrame, routes: DataFrame, fetched_at) -> DataFrame:
+def discovered_quotes(resolved: DataFrame, discovered: DataFrame, fetched_at) -> DataFrame:
     """Resolved discovery rows, grouped by (programme, source), with the last row's provenance."""
     meta = discovered.groupBy(*CHART).agg(
         F.max(F.struct("band_ord", "source_url", "source_updated_at", "trust")).alias("m"),
         F.min_by("updated_at", F.when(F.col("updated_at").isNotNull(), F.col("band_ord"))).alias("row_date"),
     )
     rows = (
-        resolved.join(meta, CHART).join(routes.select("route_key", "cabin"), "route_key")
+        resolved.join(meta, CHART)
         .withColumns(
             {
                 "source_url": F.col("m.source_url"),
