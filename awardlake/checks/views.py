@@ -8,6 +8,11 @@ CURRENCY = (
     "WHEN 'FURNITURE' THEN 'ASIA' WHEN 'HOUSEHOLD' THEN 'EUROPE' ELSE 'MIDDLE EAST' END"
 )
 
+#: Codes of airports, one per supplier, and any number folded onto them or onto the parts that have award prices.
+AIRPORT = "'A' || lpad(cast({k} AS varchar(20)), 9, '0')"
+ANY_AIRPORT = AIRPORT.format(k="({k}) % (SELECT count(*) FROM @supplier)")
+ANY_PART = "'R' || cast(({k}) % (SELECT count(*) FROM @part) AS varchar(20))"
+
 # Trust values are sixteenths, so sums of them are exact in any order.
 view("award_quotes", f"""
 SELECT 'R' || cast(l_partkey AS varchar(20)) AS route_key,
@@ -28,8 +33,8 @@ SELECT 'R' || cast(l_partkey AS varchar(20)) AS route_key,
 FROM @lineitem
 """)
 
-view("fare_quotes", """
-SELECT 'R' || cast(o_orderkey % 2000 AS varchar(20)) AS route_key,
+view("fare_quotes", f"""
+SELECT {ANY_PART.format(k='o_orderkey')} AS route_key,
        cast(floor(o_totalprice * 100 + 0.5) AS bigint) AS cash_cents,
        'f' || substring(o_orderpriority, 1, 1) AS source_name,
        (2 + o_orderkey % 8) / 10.0E0 AS confidence,
@@ -42,7 +47,7 @@ FROM @orders
 
 view("requests", f"""
 SELECT c_custkey AS request_id,
-       'R' || cast(c_custkey % 2000 AS varchar(20)) AS route_key,
+       {ANY_PART.format(k='c_custkey')} AS route_key,
        {CURRENCY} AS currency,
        greatest(0, cast(floor(c_acctbal * 400) AS bigint)) AS balance,
        CASE c_custkey % 3 WHEN 0 THEN 'venture' WHEN 1 THEN 'venture_x' ELSE 'other' END AS card
@@ -62,7 +67,6 @@ SELECT r.r_name AS from_currency,
        0.9E0 AS trust,
        cast(n.n_nationkey AS bigint) AS ord
 FROM @nation n JOIN @region r ON n.n_regionkey = r.r_regionkey
-WHERE n.n_nationkey % 7 <> 0
 """)
 
 # The flattened rows of "partners" on 2000-01-01, for operators that start from ratios.
@@ -85,29 +89,29 @@ SELECT 'p' || cast(n_nationkey AS varchar(20)) AS from_currency,
        0.8E0 AS ratio, 1.0E0 AS bonus_multiplier, 0.8E0 AS effective_ratio,
        cast(NULL AS varchar(40)) AS bonus_label, 0.8E0 AS confidence,
        cast(1000 + n_nationkey AS bigint) AS ord, false AS is_bonus
-FROM @nation WHERE n_nationkey < 4
+FROM @nation
 """)
 
-view("airports", """
-SELECT 'A' || lpad(cast(s_suppkey AS varchar(20)), 3, '0') AS code,
+view("airports", f"""
+SELECT {AIRPORT.format(k='s_suppkey')} AS code,
        CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE 'reg' || cast(s_suppkey % 5 AS varchar(20)) END AS region,
        CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE (s_suppkey * 37) % 140 - 70.0E0 END AS lat,
        CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE (s_suppkey * 53) % 340 - 170.0E0 END AS lon
-FROM @supplier WHERE s_suppkey < 100
+FROM @supplier
 """)
 
-view("zones", """
-SELECT 'p0' AS program, 'A' || lpad(cast(s_suppkey AS varchar(20)), 3, '0') AS code, cast(s_suppkey % 4 AS int) AS zone
-FROM @supplier WHERE s_suppkey < 100 AND s_suppkey % 3 <> 2
+view("zones", f"""
+SELECT 'p0' AS program, {AIRPORT.format(k='s_suppkey')} AS code, cast(s_suppkey % 4 AS int) AS zone
+FROM @supplier WHERE s_suppkey % 3 <> 2
 UNION ALL
-SELECT 'p1', 'A' || lpad(cast(s_suppkey AS varchar(20)), 3, '0'), cast((s_suppkey + 1) % 4 AS int)
-FROM @supplier WHERE s_suppkey < 100 AND s_suppkey % 3 <> 2
+SELECT 'p1', {AIRPORT.format(k='s_suppkey')}, cast((s_suppkey + 1) % 4 AS int)
+FROM @supplier WHERE s_suppkey % 3 <> 2
 """)
 
 view("routes", f"""
 SELECT DISTINCT origin || '-' || dest || '-' || cabin AS route_key, origin, dest, cabin
-FROM (SELECT 'A' || lpad(cast(o_custkey % 97 AS varchar(20)), 3, '0') AS origin,
-             'A' || lpad(cast(o_orderkey % 89 AS varchar(20)), 3, '0') AS dest,
+FROM (SELECT {ANY_AIRPORT.format(k='o_custkey')} AS origin,
+             {ANY_AIRPORT.format(k='o_orderkey')} AS dest,
              {CABIN.format(k='o_orderkey')} AS cabin
       FROM @orders) o
 WHERE origin <> dest
@@ -125,8 +129,8 @@ SELECT 'p' || cast(p_partkey % 3 AS varchar(20)) AS program,
             WHEN p_partkey % 3 < 2 AND p_size % 2 = 0
             THEN 'p' || cast(p_partkey % 3 AS varchar(20)) || '_zone_' || cast(p_size % 4 AS varchar(20))
             ELSE 'reg' || cast(p_size % 4 AS varchar(20)) END AS region_b,
-       CASE WHEN p_size % 5 = 0 THEN 'A' || lpad(cast(p_partkey % 97 AS varchar(20)), 3, '0') END AS origin_airport,
-       CASE WHEN p_size % 5 = 0 THEN 'A' || lpad(cast((p_partkey * 7) % 89 AS varchar(20)), 3, '0') END AS dest_airport,
+       CASE WHEN p_size % 5 = 0 THEN {ANY_AIRPORT.format(k='p_partkey')} END AS origin_airport,
+       CASE WHEN p_size % 5 = 0 THEN {ANY_AIRPORT.format(k='p_partkey * 7 + 1')} END AS dest_airport,
        {CABIN.format(k='p_size')} AS cabin,
        cast(floor(p_retailprice * 20) AS bigint) + p_size * 100 AS miles,
        (p_size % 6 = 1) AS roundtrip,
@@ -140,8 +144,8 @@ FROM @part
 view("award_rows", f"""
 SELECT 'p' || cast(l_suppkey % 5 AS varchar(20)) AS program,
        'live' || cast(l_linenumber % 3 AS varchar(20)) AS source_name,
-       'A' || lpad(cast(l_partkey % 97 AS varchar(20)), 3, '0') AS origin,
-       'A' || lpad(cast(l_orderkey % 89 AS varchar(20)), 3, '0') AS dest,
+       {ANY_AIRPORT.format(k='l_partkey')} AS origin,
+       {ANY_AIRPORT.format(k='l_orderkey')} AS dest,
        {CABIN.format(k='l_orderkey')} AS cabin,
        cast(floor(l_extendedprice) AS bigint) AS miles,
        CASE WHEN l_linenumber % 2 = 0 THEN cast(floor(l_quantity) AS bigint) END AS seats,
@@ -169,7 +173,7 @@ FROM @supplier
 """)
 
 view("fetch_events", """
-SELECT 'prov' || cast(user_id % 6 AS varchar(20)) AS provider,
+SELECT 'prov' || cast(user_id % 27 AS varchar(20)) AS provider,
        CASE user_id % 4 WHEN 0 THEN 'fares' WHEN 1 THEN 'award' WHEN 2 THEN 'charts' ELSE 'schedules' END AS layer,
        (event_type = 'view') AS cache_hit,
        (event_type = 'error' OR event_type = 'signup') AS skipped,
@@ -188,7 +192,7 @@ SELECT 'prov' || cast(n_nationkey AS varchar(20)) AS name,
        CASE WHEN n_nationkey % 4 = 1 THEN 0.95E0 END AS award_trust,
        CASE WHEN n_nationkey = 4 THEN 'down' WHEN n_nationkey = 3 THEN 'degraded' ELSE 'healthy' END AS health,
        (n_nationkey = 5) AS disabled, n_nationkey AS reg_ord
-FROM @nation WHERE n_nationkey < 8
+FROM @nation
 """)
 
 view("probe_log", """

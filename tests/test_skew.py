@@ -2,7 +2,7 @@
 
 import pytest
 
-from awardlake.checks import base, load
+from awardlake.checks import base, load, views
 from tools.compare import compare, duck
 
 SF = "/root/testdata/sf0.01"
@@ -12,8 +12,8 @@ HOT = {
         ("'R' || cast(l_partkey AS varchar(20)) AS route_key", "CASE WHEN l_orderkey % 3 = 0 THEN 'HOT' ELSE 'R' || cast(l_partkey AS varchar(20)) END AS route_key"),
         ("'p' || cast(l_suppkey % 5 AS varchar(20)) AS program", "CASE WHEN l_orderkey % 3 = 0 THEN 'p0' ELSE 'p' || cast(l_suppkey % 5 AS varchar(20)) END AS program"),
     ],
-    "fare_quotes": [("'R' || cast(o_orderkey % 2000 AS varchar(20)) AS route_key", "CASE WHEN o_orderkey % 3 = 0 THEN 'HOT' ELSE 'R' || cast(o_orderkey % 2000 AS varchar(20)) END AS route_key")],
-    "requests": [("'R' || cast(c_custkey % 2000 AS varchar(20)) AS route_key", "CASE WHEN c_custkey % 3 = 0 THEN 'HOT' ELSE 'R' || cast(c_custkey % 2000 AS varchar(20)) END AS route_key")],
+    "fare_quotes": [(views.ANY_PART.format(k="o_orderkey") + " AS route_key", "CASE WHEN o_orderkey % 3 = 0 THEN 'HOT' ELSE " + views.ANY_PART.format(k="o_orderkey") + " END AS route_key")],
+    "requests": [(views.ANY_PART.format(k="c_custkey") + " AS route_key", "CASE WHEN c_custkey % 3 = 0 THEN 'HOT' ELSE " + views.ANY_PART.format(k="c_custkey") + " END AS route_key")],
     "award_rows": [("'p' || cast(l_suppkey % 5 AS varchar(20)) AS program", "CASE WHEN l_orderkey % 3 = 0 THEN 'p0' ELSE 'p' || cast(l_suppkey % 5 AS varchar(20)) END AS program")],
     "chart_rows": [("'src' || cast(p_partkey % 4 AS varchar(20)) AS source_name", "CASE WHEN p_partkey % 3 = 0 THEN 'src0' ELSE 'src' || cast(p_partkey % 4 AS varchar(20)) END AS source_name")],
     "probe_log": [("'t' || cast(user_id % 40 AS varchar(20)) AS name", "CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE 't' || cast(user_id % 40 AS varchar(20)) END AS name")],
