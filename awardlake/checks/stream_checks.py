@@ -8,7 +8,7 @@ from awardlake.checks.label_checks import pick
 from awardlake.checks.plan_checks import VERDICTS_CTE, market
 from awardlake.plans.quotes import Market
 from awardlake.sources import sinks
-from awardlake.streaming import jobs, state
+from awardlake.streaming import items, jobs, state
 
 
 def replay(d, df, files=4):
@@ -64,13 +64,13 @@ SEEN_SQL = f"WITH RECURSIVE {CACHE_SQL.format(ttl='10 DAY')} SELECT user_id, cou
 
 @query("dedupe_items_ttl", SEEN_SQL)
 def _seen(d):
-    return state.dedupe_items_batch(events(d), "user_id", "ts", "event_id", 10).groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
+    return items.dedupe_items_batch(events(d), "user_id", "ts", "event_id", 10).groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("dedupe_items_ttl_stream", "SELECT DISTINCT user_id FROM @events")
 def _seen_stream(d):
     """With a TTL longer than the data every key survives once; which payload does is arrival order."""
-    return drain(d, state.dedupe_items_ttl(replay(d, events(d)), "user_id", "ts", 40), "seen").select("user_id")
+    return drain(d, items.dedupe_items_ttl(replay(d, events(d)), "user_id", "ts", 40), "seen").select("user_id")
 
 
 DELAY_SQL = """

@@ -20,11 +20,11 @@ from awardlake.sources.sinks import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Back-off settings, rate limit, cache and seen-item lifetimes.
+# Back-off settings, rate limit, cache lifetime.
 START_DELAY, MIN_DELAY, MAX_DELAY = 1.0, 0.25, 30.0
 BACKOFF, RECOVER = 2.0, 0.9
 RATE, CAPACITY = 5.0, 10.0
-CACHE_TTL_DAYS, SEEN_TTL_DAYS = 2, 30
+CACHE_TTL_DAYS = 2
 DAY_US = 86_400_000_000
 
 
@@ -32,7 +32,7 @@ def _us(ts):
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-# --- cache and seen items ----------------------------------------------------------------------
+# --- cache -----------------------------------------------------------------------------------
 
 
 def cache_misses(requests: DataFrame, key, ts, ttl_days=CACHE_TTL_DAYS) -> DataFrame:
@@ -73,16 +73,6 @@ def classify_cache_hits(requests: DataFrame, key, ts, order, ttl_days=CACHE_TTL_
     return marked.withColumn("is_hit", F.coalesce("is_hit", F.lit(True)))
 
 
-def dedupe_items_batch(items: DataFrame, key, ts, order, ttl_days=SEEN_TTL_DAYS) -> DataFrame:
-    """Each item once per TTL: the batch form of :func:`dedupe_items_ttl`."""
-    return classify_cache_hits(items, key, ts, order, ttl_days).where(~F.col("is_hit")).drop("is_hit")
-
-
-def dedupe_items_ttl(stream: DataFrame, key, ts, ttl_days=SEEN_TTL_DAYS) -> DataFrame:
-    """Streaming: drop items whose key was seen within the TTL (event time)."""
-    return stream.withWatermark(ts, f"{ttl_days} days").dropDuplicatesWithinWatermark([key])
-
-
 # --- adaptive delay ----------------------------------------------------------------------------
 
 
