@@ -128,9 +128,11 @@ def _devaluations(d):
 
 @query("incremental_discovery", DISCOVERED_SQL)
 def _incremental(d):
+    """Every document comes twice, two days apart, and counts once."""
     docs, creators = intake_docs(d)
+    twice = docs.withColumn("arrived", F.explode(F.array(*(F.lit(t).cast("timestamp") for t in ("2024-01-01", "2024-01-03")))))
     sink, checkpoint = place(d, "found")
-    jobs.incremental_discovery(replay(d, docs), sink, checkpoint, creators).awaitTermination()
+    jobs.incremental_discovery(replay(d, twice), sink, checkpoint, creators).awaitTermination()
     return d.spark.read.parquet(sink).select("doc_id", "program", "miles", "source_name", "source_url", "trust")
 
 

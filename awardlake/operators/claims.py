@@ -22,6 +22,7 @@ NUMBER = r"\d{1,3}(?:[,\s]\d{3})+|\d{4,6}"
 NEAR_KEYWORD = rf"(?i)({NUMBER})\s*(?:miles|points|pts)\b"
 ANY_NUMBER = rf"(?i)({NUMBER})(?:\s*(?:miles|points|pts|k\b))?"
 BEFORE, CLAUSE, TAIL = 220, 60, 80
+SHORTEST = 4
 BONUS = r"(?i)earn|bonus|welcome offer|sign[\s-]?up|intro|after (?:you )?spend|statement credit|points back"
 ROUND_TRIP = r"(?i)round[\s-]?trip|return ticket"
 CLAIM_KEY = ["program", "region_a", "region_b", "cabin", "miles"]
@@ -35,23 +36,29 @@ def _value(digits):
     return F.regexp_replace(digits, "[^0-9]", "").try_cast("bigint")
 
 
-def _mentions(text, pattern):
-    """Array of struct<pos, miles> of one pattern, plausible values only."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(
-        F.slice(F.split(text, pattern), F.lit(1), F.size(found)), found,
-        lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("width")),
-    )
-    starts = F.aggregate(
-        steps, F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at")),
-        lambda a, s: F.struct(
-            (a["end"] + s["gap"] + s["width"]).alias("end"), F.array_append(a["at"], a["end"] + s["gap"]).alias("at")
-        ),
-        lambda a: a["at"],
-    )
+def _pieces(text, pattern):
+    """A text cut at the hits of a pattern: array of (gap, hit, miles), the text behind the last hit as a piece without one."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    placed = F.zip_with(starts, values, lambda p, v: F.struct(p.alias("pos"), _value(v).alias("miles")))
-    return F.filter(placed, lambda m: m["miles"].between(vocab.MIN_PROSE_MILES, vocab.MAX_PROSE_MILES))
+    placed = F.zip_with(hits, values, lambda h, v: F.struct(h.alias("hit"), _value(v).alias("miles")))
+    return F.zip_with(F.split(text, pattern), placed, lambda gap, p: F.struct(
+        gap.alias("gap"), F.coalesce(p["hit"], F.lit("")).alias("hit"), p["miles"].alias("miles")))
+
+
+def _plausible(mentions):
+    return F.filter(mentions, lambda m: m["miles"].between(vocab.MIN_PROSE_MILES, vocab.MAX_PROSE_MILES))
+
+
+def _running_ends(widths, block=256):
+    """Running sums of a column of numbers, in blocks: appending to a short array only ever copies a block."""
+    grown = lambda a, w: F.struct((a["end"] + w).alias("end"), F.array_append(a["ends"], a["end"] + w).alias("ends"))
+    sums = lambda start, values: F.aggregate(
+        values, F.struct(start.alias("end"), F.array().cast("array<bigint>").alias("ends")), grown, lambda a: a["ends"])
+    zero, count = F.lit(0).cast("bigint"), F.ceil(F.size(widths) / block).cast("int")
+    blocks = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.slice(F.col(widths), (i - 1) * block + 1, F.lit(block))))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, w: a + w))
+    starts = F.concat(F.array(zero), sums(zero, totals))
+    return F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), count), lambda b, s: sums(s, b)))
 
 
 def prepared_text(docs: DataFrame, text_col="text", keep=("doc_id",)) -> DataFrame:
@@ -59,23 +66,46 @@ def prepared_text(docs: DataFrame, text_col="text", keep=("doc_id",)) -> DataFra
     return docs.select(*keep, collapse_space(html_to_text(F.col(text_col))).alias("prose"))
 
 
-def find_price_mentions(docs: DataFrame, text_col="text", id_col="doc_id") -> DataFrame:
-    """Numbers with a unit word; only where a document has none, any price-like number."""
+def _cut(docs, text_col, id_col):
+    """Pieces of each prepared text: at numbers with a unit word, or at any price-like number where it has no plausible one."""
+    # digits are looked for in the raw text: the test then runs before the parser, not after it
     text = prepared_text(docs.where(F.col(text_col).rlike(r"\d")), text_col, [id_col])
-    near = text.withColumn("near", _mentions(F.col("prose"), NEAR_KEYWORD))
-    any_number = F.when(F.size("near") == 0, _mentions(F.col("prose"), ANY_NUMBER))
-    return inline_rows(near, [id_col], F.coalesce(any_number, F.col("near")), "pos")
-
-
-def _windows(text, mentions):
-    """Array of struct<before, tail, miles>: the text around each mention."""
-    return F.transform(
-        mentions,
-        lambda m: F.struct(
-            F.substring(text, F.greatest(m["pos"] - BEFORE, F.lit(0)) + 1, F.least(m["pos"], F.lit(BEFORE))).alias("before"),
-            F.substring(text, m["pos"] + 1, F.lit(TAIL)).alias("tail"), m["miles"].alias("miles"),
-        ),
-    )
+    near = text.withColumn("near", _pieces(F.col("prose"), NEAR_KEYWORD))
+    any_number = F.when(F.size(_plausible(F.col("near"))) == 0, _pieces(F.col("prose"), ANY_NUMBER))
+    return near.select(id_col, F.coalesce(any_number, F.col("near")).alias("pieces"))
+
+
+def find_price_mentions(docs: DataFrame, text_col="text", id_col="doc_id") -> DataFrame:
+    """Numbers with a unit word; only where a document has none, any price-like number. Time grows with the text."""
+    # what lambdas refer to is a column first, so that it is computed once and not for every element
+    widths = F.transform("pieces", lambda p: (F.length(p["gap"]) + F.length(p["hit"])).cast("bigint"))
+    cut = _cut(docs, text_col, id_col).select(id_col, "pieces", widths.alias("widths"))
+    placed = F.zip_with("pieces", _running_ends("widths"), lambda p, end: F.struct(
+        (end - F.length(p["hit"])).cast("int").alias("pos"), p["miles"].alias("miles")))
+    return inline_rows(cut, [id_col], _plausible(placed), "pos")
+
+
+def _windows(cut, id_col):
+    """(id, around): array of struct<before, tail, miles>, the text around each plausible hit of the pieces.
+
+    A window is put together from the pieces next to its hit. A hit has ``SHORTEST`` characters or more, so
+    few pieces reach into a window, and no window is looked for from the start of the text.
+    """
+    last, first = lambda p: F.right(p["gap"], F.lit(BEFORE)), lambda p: F.substring(p["gap"], 1, TAIL)
+    sides = cut.select(
+        id_col, F.transform("pieces", lambda p: F.struct(last(p).alias("last"), p["hit"].alias("hit"), p["miles"].alias("miles"))).alias("hits"),
+        F.transform("pieces", lambda p: F.concat(last(p), p["hit"])).alias("behind"),
+        F.transform("pieces", lambda p: F.concat(first(p), p["hit"])).alias("ahead"))
+    back, far = BEFORE // SHORTEST + 1, TAIL // SHORTEST + 1
+
+    def around(p, i):
+        earlier = F.array_join(F.slice(F.col("behind"), F.greatest(i - back, F.lit(0)) + 1, F.least(i, F.lit(back))), "")
+        later = F.array_join(F.slice(F.col("ahead"), i + 2, F.lit(far)), "")
+        return F.struct(
+            F.right(F.concat(earlier, p["last"]), F.lit(BEFORE)).alias("before"),
+            F.substring(F.concat(p["hit"], later), 1, TAIL).alias("tail"), p["miles"].alias("miles"))
+
+    return sides.select(id_col, _plausible(F.transform("hits", around)).alias("around"))
 
 
 def _cabin_near(clause, local):
@@ -99,11 +129,7 @@ def extract_price_claims(docs: DataFrame, text_col="text", id_col="doc_id", word
     places = f"({_any_of(p for p, _ in vocab.phrase_pairs(vocab.PROSE_REGIONS))})"
     program_of = dict(vocab.phrase_pairs(vocab.PROGRAM_ALIASES))
     region_of = dict(vocab.phrase_pairs(vocab.PROSE_REGIONS))
-    # Digits are looked for in the raw text: the test then runs before the parser, not after it.
-    text = prepared_text(docs.where(F.col(text_col).rlike(r"\d")), text_col, [id_col])
-    near = text.withColumn("near", _mentions(F.col("prose"), NEAR_KEYWORD))
-    any_number = F.when(F.size("near") == 0, _mentions(F.col("prose"), ANY_NUMBER))
-    around = _windows(F.col("prose"), F.coalesce(any_number, F.col("near")))
+    cut = _windows(_cut(docs, text_col, id_col), id_col)
 
     # Each step binds its result as a lambda variable, so no regular expression runs twice.
     def located(m, i):
@@ -138,7 +164,7 @@ def extract_price_claims(docs: DataFrame, text_col="text", id_col="doc_id", word
         )
 
     anchored = F.filter(
-        F.transform(around, located),
+        F.transform("around", located),
         lambda m: ~m["reward"] & (m["last_name"].isNotNull() | m["next_name"].isNotNull()),
     )
     whole = F.filter(
@@ -146,7 +172,7 @@ def extract_price_claims(docs: DataFrame, text_col="text", id_col="doc_id", word
         lambda r: r["program"].isNotNull() & r["cabin"].isNotNull() & (F.size(r["regions"]) > 0)
         & number_is_grounded(r["miles"], r["clause"]),
     )
-    rows = inline_rows(near, [id_col], whole, "claim_ord")
+    rows = inline_rows(cut, [id_col], whole, "claim_ord")
     first, second = F.try_element_at("regions", F.lit(1)), F.try_element_at("regions", F.lit(2))
     claims = rows.select(
         id_col, "claim_ord", "program",

@@ -23,6 +23,12 @@ def exists(spark, path) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def remove(spark, path) -> None:
+    """Delete whatever is stored at a path, if anything is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def new_table_path(spark, name) -> str:
     """A fresh path for one written table in the shared folder."""
     import uuid
@@ -81,6 +87,71 @@ def upsert_latest(base: DataFrame, changes: DataFrame, keys, order_col) -> DataF
     return last.select(*keys, "r.*").select(base.columns)
 
 
+class BucketedTable:
+    """A keyed table in buckets of its key; an upsert rewrites only the buckets that it touches.
+
+    ``data/version=V/bucket=B`` holds a bucket as version V wrote it; ``manifest/version=V`` says for every bucket
+    which version counts, and is written last. Repeating a version starts from the manifest before it and
+    overwrites, so it is harmless. The previous manifest and what it refers to stay for readers that have
+    just begun; anything older is removed. Versions must grow; they need not be dense.
+    """
+
+    def __init__(self, spark, path, keys, buckets=16):
+        self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), list(keys), buckets
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _manifests(self) -> dict:
+        """version: {bucket: version of its data}; two versions of at most ``buckets`` rows."""
+        if not exists(self.spark, f"{self.path}/manifest"):
+            return {}
+        found = {}
+        schema = "bucket int, data long, version long"
+        for row in self.spark.read.schema(schema).parquet(f"{self.path}/manifest").collect():
+            found.setdefault(row["version"], {})[row["bucket"]] = row["data"]
+        return found
+
+    def _read(self, places, buckets=None):
+        paths = [f"{self.path}/data/version={v}/bucket={b}" for b, v in sorted(places.items()) if buckets is None or b in buckets]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def read(self) -> DataFrame | None:
+        """The table as the newest manifest has it; None before the first upsert."""
+        manifests = self._manifests()
+        return self._read(manifests[max(manifests)]) if manifests else None
+
+    def upsert(self, changes: DataFrame, order_col, version) -> None:
+        """Keyed upsert of one version, last write wins."""
+        manifests = self._manifests()
+        before = {v: m for v, m in manifests.items() if v < version}
+        places = dict(before[max(before)]) if before else {}
+        changes = materialize(changes.withColumn("bucket", self._bucket()), "changes")
+        touched = {r["bucket"] for r in changes.select("bucket").distinct().collect()}
+        base = self._read(places, touched)
+        changes = changes.drop("bucket")
+        merged = upsert_latest(changes.limit(0) if base is None else base, changes, self.keys, order_col)
+        if touched:
+            merged.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={version}")
+        places |= dict.fromkeys(touched, version)
+        rows = self.spark.createDataFrame(sorted(places.items()), "bucket int, data long")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/version={version}")
+        self._clean(before, places, version)
+
+    def _clean(self, before, places, version):
+        """Remove manifests older than the one before this version, and data that neither refers to."""
+        previous = max(before, default=None)
+        needed = {*places.items(), *(before[previous].items() if before else ())}
+        gone = {(b, v) for m in before.values() for b, v in m.items()} - needed
+        for bucket, data in gone:
+            remove(self.spark, f"{self.path}/data/version={data}/bucket={bucket}")
+        for data in {v for _, v in gone} - {v for _, v in needed}:
+            remove(self.spark, f"{self.path}/data/version={data}")
+        for old in before:
+            if old != previous:
+                remove(self.spark, f"{self.path}/manifest/version={old}")
+
+
 def increment_counters(base: DataFrame, changes: DataFrame, keys, counter) -> DataFrame:
     """Add counted changes to stored counters."""
     cols = [*keys, counter]

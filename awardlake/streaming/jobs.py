@@ -5,55 +5,47 @@ from pyspark.sql import DataFrame, functions as F
 from awardlake.operators import claims
 from awardlake.plans import quotes
 from awardlake.sources import sinks
+from awardlake.streaming.items import SEEN_TTL_DAYS, dedupe_items_ttl
 
 
-def _latest(spark, path, before=None):
-    """Newest version (below ``before``) of a table partitioned by ``version``, or None."""
-    if not sinks.exists(spark, path):
-        return None
-    table = spark.read.parquet(path)
-    if before is not None:
-        table = table.where(F.col("version") < before)
-    newest = table.agg(F.max("version")).first()[0]
-    return None if newest is None else table.where(F.col("version") == newest).drop("version")
+def _stale_programs(spark, path):
+    return sinks.BucketedTable(spark, path, ["program"])
 
 
 def read_latest(spark, path) -> DataFrame:
-    """The newest version of a table kept by :func:`devaluation_stream`."""
-    return _latest(spark, path)
+    """The table of stale programmes kept by :func:`devaluation_stream`; None before its first batch."""
+    return _stale_programs(spark, path).read()
 
 
 def devaluation_stream(stream: DataFrame, sink, checkpoint, title_col="title", id_col="doc_id", ts="published"):
-    """Headlines -> table of stale programmes (program, marked_at), upserted per batch."""
+    """Headlines -> table of stale programmes (program, marked_at), upserted per batch.
+
+    A batch rewrites the buckets of the programmes that it names and no others.
+    """
 
     def upsert(batch, batch_id):
-        spark = batch.sparkSession
         marked = batch.select(claims.devaluation_program(F.col(title_col)).alias("program"), F.col(ts).cast("timestamp").alias("marked_at"))
         new = marked.where("program IS NOT NULL").groupBy("program").agg(F.max("marked_at").alias("marked_at"))
-        base = _latest(spark, sink, before=batch_id)
-        sinks.upsert_latest(new.limit(0) if base is None else base, new, ["program"], "marked_at").write.mode("overwrite").parquet(f"{sink}/version={batch_id}")
+        _stale_programs(batch.sparkSession, sink).upsert(new, "marked_at", batch_id)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def incremental_discovery(doc_stream: DataFrame, sink, checkpoint, creators: DataFrame = None, key="doc_id"):
+def incremental_discovery(doc_stream: DataFrame, sink, checkpoint, creators: DataFrame = None, key="doc_id", arrived="arrived", ttl_days=SEEN_TTL_DAYS):
     """New documents -> discovered rows; each batch owns one partition of the table.
 
-    A document whose key an earlier batch has read is left out, so every item counts once. The keys
-    are kept beside the table, by batch as well, so that a repeated batch sees what it saw before.
+    A document counts once within ``ttl_days`` of the time that it ``arrived``; later it is read anew. The keys
+    live in the state of the stream, which forgets them as time goes on, and survive a restart with its checkpoint.
     """
-    seen = f"{sink.rstrip('/')}-seen"
 
     def extract(batch, batch_id):
-        batch = batch.dropDuplicates([key])
-        if sinks.exists(batch.sparkSession, seen):
-            earlier = batch.sparkSession.read.parquet(seen).where(F.col("batch") < batch_id)
-            batch = batch.join(earlier.select(key), key, "left_anti")
-        batch.select(key).write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
+        batch = batch.persist()  # claims and their provenance both read the documents
         rows = claims.attach_discovery_provenance(claims.extract_price_claims(batch), batch, creators)
         rows.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        batch.unpersist()
 
-    return doc_stream.writeStream.foreachBatch(extract).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    fresh = dedupe_items_ttl(doc_stream, key, arrived, ttl_days)
+    return fresh.writeStream.foreachBatch(extract).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def requote_stream(request_stream: DataFrame, market, sink, checkpoint):
