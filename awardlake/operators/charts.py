@@ -103,6 +103,21 @@ def _with(items, keep, **fields):
     )
 
 
+def _under_marks(body, marks, place):
+    """``place(row, index, mark)`` of every row with the last mark at or before it; rows before the first have a null one.
+
+    ``marks`` hold the index ``i`` of their row. The rows are cut at the marks, so each is looked at once.
+    """
+    size, none = F.size(body), F.get(marks, F.lit(-1))
+    head = F.slice(body, F.lit(1), F.coalesce(F.get(marks, F.lit(0))["i"], size))
+
+    def stretch(m, j):
+        end = F.coalesce(F.get(marks, j + 1)["i"], size)
+        return F.transform(F.slice(body, m["i"] + 1, end - m["i"]), lambda r, k: place(r, m["i"] + k, m))
+
+    return F.concat(F.transform(head, lambda r, k: place(r, k, none)), F.flatten(F.transform(marks, stretch)))
+
+
 # --- which tables a parser accepts -------------------------------------------------------------
 
 
@@ -319,12 +334,9 @@ def _matrices(tables, keep, cabin, block):
 def _matrix_prices(t, program):
     """Unpivot one matrix: every row its own zone, or blocks of cabin rows under one label."""
     several = F.size(t["block"]) > 1
-    placed = F.transform(
-        t["body"],
-        lambda r, i: F.struct(
-            i.alias("i"), r["cells"].alias("cells"), r["key"].alias("key"),
-            F.try_element_at(F.filter(t["marks"], lambda m: m["i"] <= i), F.lit(-1)).alias("mark"),
-        ),
+    placed = _under_marks(
+        t["body"], t["marks"],
+        lambda r, i, mark: F.struct(i.alias("i"), r["cells"].alias("cells"), r["key"].alias("key"), mark.alias("mark")),
     )
     rows = F.transform(
         placed,
@@ -490,11 +502,10 @@ def distance_grid_rows(grids, program):
     def of_table(t):
         cabins, op_pos, body, marks = t["cabins"], t["op_pos"], t["body"], t["marks"]
         partner = F.filter(
-            F.transform(
-                body,
-                lambda r: F.struct(
-                    _ord(t["table_ord"], r["i"], 0).alias("o"), r["cells"].alias("cells"),
-                    F.try_element_at(F.filter(marks, lambda m: m["i"] <= r["i"]), F.lit(-1))["band"].alias("band"),
+            _under_marks(
+                body, marks,
+                lambda r, i, mark: F.struct(
+                    _ord(t["table_ord"], i, 0).alias("o"), r["cells"].alias("cells"), mark["band"].alias("band"),
                 ),
             ),
             lambda r: F.contains(F.lower(F.try_element_at(r["cells"], op_pos)), F.lit("all other partners")),
