@@ -247,9 +247,11 @@ def _flatten_chart(d):
     return catalogue.flatten_award_chart(spec)
 
 
-PLACES = """(SELECT 'A' || lpad(cast(s_suppkey AS varchar(20)), 3, '0') AS code, 'City ' || cast(s_nationkey AS varchar(20)) AS city,
+PLACES = """(SELECT 'A' || lpad(cast(s_suppkey AS varchar(20)), 4, '0') AS code, 'City ' || cast(s_nationkey AS varchar(20)) AS city,
   'Field ' || s_name AS name FROM @supplier)"""
-TYPED = """(SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN 'a' || lpad(cast(c_custkey % 90 AS varchar(20)), 3, '0')
+# codes and cities, parts of names, texts of one to three letters, and some that no place holds
+TYPED = """(SELECT DISTINCT substring('ACTZ FI 0001', cast(1 + c_custkey % 9 AS int), cast(1 + c_custkey % 3 AS int)) AS query FROM @customer
+  UNION SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN 'a' || lpad(cast(c_custkey % 9000 AS varchar(20)), 4, '0')
   WHEN 1 THEN 'A0' || cast(c_custkey % 10 AS varchar(20)) WHEN 2 THEN 'ity ' || cast(c_nationkey AS varchar(20))
   ELSE ' er#0000000' || cast(c_custkey % 10 AS varchar(20)) END AS query FROM @customer)"""
 SEARCH_SQL = f"""

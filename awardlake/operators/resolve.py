@@ -298,32 +298,61 @@ def cap_stale_programs(quotes: DataFrame, stale_programs: DataFrame, now, cap_da
     ).drop("_stale").select(quotes.columns)
 
 
-def place_search(queries: DataFrame, places: DataFrame, k) -> DataFrame:
-    """Top-k places per typed text: code, code prefix, city prefix, then parts of city and name.
+PIECE = 3
+
+
+def _named(places):
+    return places.select("code", F.upper("code").alias("id"), F.upper("city").alias("city"), F.upper("name").alias("name"))
 
-    Places are indexed by every piece of one to three letters of their code, city and name, so the
-    index grows with the length of the names. A text meets the places that hold its first three
-    letters; how it stands in them is checked afterwards.
-    """
-    asked = queries.select(F.upper(F.trim("query")).alias("q")).where(F.col("q") != "").distinct()
-    named = places.select("code", F.upper("code").alias("id"), F.upper("city").alias("city"), F.upper("name").alias("name"))
 
+def _pieces(named, sizes):
+    """One row per place and distinct piece of its code, city and name."""
     def pieces(text):
         starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-        found = F.flatten(F.transform(starts, lambda i: F.array(*(F.substring(text, i, F.lit(n)) for n in (1, 2, 3)))))
+        found = F.flatten(F.transform(starts, lambda i: F.array(*(F.substring(text, i, F.lit(n)) for n in sizes))))
         return F.coalesce(found, F.array().cast("array<string>"))
 
     held = F.array_distinct(F.concat(*(pieces(F.col(c)) for c in ("id", "city", "name"))))
-    index = explode_rows(named, ["code", "id", "city", "name"], held, "at", "piece")
-    q = F.col("q")
-    score = (
+    return explode_rows(named, ["code", "id", "city", "name"], held, "at", "piece").drop("at")
+
+
+def _place_score(q):
+    return (
         F.when(F.col("id") == q, 1000).when(F.startswith("id", q), 900 - (F.length("id") - F.length(q)))
-        .when(F.startswith("city", q), 800).when(F.contains("city", q), 700).when(F.contains("name", q), 600)
-    )
-    met = index.join(asked.withColumn("piece", F.substring(q, 1, 3)), "piece").select("q", "code", score.alias("score"))
-    hits = met.where(F.col("score").isNotNull()).groupBy("q", "code").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "code")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        .when(F.startswith("city", q), 800).when(F.contains("city", q), 700).when(F.contains("name", q), 600))
+
+
+def _top_places(scored, key, k):
+    """First ``k`` per key; each task keeps no more than ``k`` of a key before the shuffle."""
+    best = scored.where(F.col("score").isNotNull()).groupBy(key, "code").agg(F.max("score").alias("score"))
+    w = Window.partitionBy(key).orderBy(F.desc("score"), "code")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def place_index(places: DataFrame, k, wanted: DataFrame = None) -> DataFrame:
+    """(piece, code, score, rank): the ``k`` best places of every piece of one to three letters, or of those ``wanted``.
+
+    Worth storing: a text of up to three letters then reads ``k`` rows, however many places hold it.
+    """
+    held = _pieces(_named(places), range(1, PIECE + 1)).where(F.col("piece") != "")
+    if wanted is not None:
+        held = held.join(wanted, "piece", "left_semi")
+    return _top_places(held.select("piece", "code", _place_score(F.col("piece")).alias("score")), "piece", k)
+
+
+def place_search(queries: DataFrame, places: DataFrame, k, index: DataFrame = None) -> DataFrame:
+    """Top-k places per typed text: code, code prefix, city prefix, then parts of city and name.
+
+    Texts of up to three letters are looked up in ``index`` (see :func:`place_index`; made for them where it is not
+    given). A longer text meets the places that hold its first three letters; how it stands in them is checked
+    afterwards.
+    """
+    asked = queries.select(F.upper(F.trim("query")).alias("q")).where(F.col("q") != "").distinct()
+    brief = asked.where(F.length("q") <= PIECE).select(F.col("q").alias("piece"))
+    ranked = (place_index(places, k, brief) if index is None else index.where(F.col("rank") <= k)).join(brief, "piece")
+    met = _pieces(_named(places), [PIECE]).join(asked.where(F.length("q") > PIECE).withColumn("piece", F.substring("q", 1, PIECE)), "piece")
+    longer = _top_places(met.select("q", "code", _place_score(F.col("q")).alias("score")), "q", k)
+    return ranked.select(F.col("piece").alias("q"), "code", "score", "rank").unionAll(longer.select("q", "code", "score", "rank"))
 
 
 def resolve_place(queries: DataFrame, places: DataFrame) -> DataFrame:
