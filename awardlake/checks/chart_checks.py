@@ -313,7 +313,7 @@ def _route(d):
     text = shift(triangle_docs(d), 3_000_000)
     grid_type = docs.schema["grids"].dataType
     docs = docs.unionByName(text.withColumn("grids", F.array().cast(grid_type)))
-    return charts.route_grid_parsers(docs).groupBy("doc_id", "route").agg(F.count(F.lit(1)).alias("n"), F.sum("miles").alias("miles"))
+    return charts.route_grid_parsers(docs).rows.groupBy("doc_id", "route").agg(F.count(F.lit(1)).alias("n"), F.sum("miles").alias("miles"))
 
 
 @query("parse_chart_documents", f"""
@@ -321,9 +321,32 @@ SELECT page_id AS doc_id, program, region_a, region_b, cabin, miles FROM ({LONG_
 UNION ALL SELECT 1000000 + page_id, program, region_a, region_b, cabin, miles FROM ({WIDE_SQL})
 UNION ALL SELECT 2000000 + doc_id, program, region_a, region_b, cabin, miles FROM (SELECT {PAGE} AS doc_id, 'p' || p_partkey % 3 AS program, {region(FROM_I)} AS region_a, {region(TO_I)} AS region_b, 'first' AS cabin, cast(p_size * 1000 AS bigint) AS miles FROM @part)
   WHERE region_a IS NOT NULL AND region_b IS NOT NULL
+UNION ALL SELECT 3000000 + doc_id, program, region_a, region_b, cabin, miles FROM ({BLOCK_SQL})
+UNION ALL SELECT 4000000 + doc_id, 'lifemiles', region_a, region_b, cabin, miles FROM ({TRIANGLE_SQL})
 """)
 def _by_format(d):
-    """Long, wide and JSON documents in one table, each read by its own format."""
+    return intake.parse_chart_documents(format_docs(d)).rows.select("doc_id", "program", "region_a", "region_b", "cabin", "miles")
+
+
+@query("parse_chart_documents_dropped", f"""
+WITH docs AS (SELECT DISTINCT {PAGE} + s * 1000000 AS doc_id, s FROM @part CROSS JOIN (VALUES (0), (1), (2), (3), (6)) t(s)
+  UNION ALL SELECT p_partkey + s * 1000000, s FROM @part CROSS JOIN (VALUES (4), (5)) t(s) WHERE p_size >= 1),
+read AS (SELECT page_id AS doc_id FROM ({LONG_SQL}) UNION SELECT 1000000 + page_id FROM ({WIDE_SQL}) UNION SELECT 2000000 + {PAGE} FROM @part
+  WHERE {region(FROM_I)} IS NOT NULL AND {region(TO_I)} IS NOT NULL
+  UNION SELECT 3000000 + doc_id FROM ({BLOCK_SQL}) UNION SELECT 4000000 + doc_id FROM ({TRIANGLE_SQL}))
+SELECT s AS kind, count(*) AS documents, count(*) FILTER (WHERE read.doc_id IS NULL) AS only_dropped FROM docs LEFT JOIN read USING (doc_id) GROUP BY s
+""")
+def _by_format_dropped(d):
+    """Documents with rows and documents with drops alone add up to all documents, of whatever format."""
+    docs = format_docs(d)
+    rows, dropped = intake.parse_chart_documents(docs)
+    state = rows.select("doc_id", F.lit(0).alias("lost")).unionAll(dropped.select("doc_id", F.lit(1))).groupBy("doc_id").agg(F.min("lost").alias("lost"))
+    kind = F.floor(F.col("doc_id") / 1_000_000).alias("kind")
+    return state.groupBy(kind).agg(F.count(F.lit(1)).alias("documents"), F.sum("lost").alias("only_dropped"))
+
+
+def format_docs(d):
+    """Long, wide, JSON and grid documents in one table, text charts of two programmes, and a format that nothing reads."""
     none = F.lit(None).cast("string")
     html = lambda df, shift, fmt, program: df.select(
         (F.col("page_id") + shift).alias("doc_id"), F.lit(fmt).alias("format"), program.alias("program"), none.alias("hub"), F.col("html").alias("text")
@@ -335,4 +358,9 @@ def _by_format(d):
         .unionByName(html(pages(d, WIDE_CELLS, ["From", "To", "Economy", "Business", "Note"], before=NAV), 1_000_000, "html_table_wide", F.lit("aero")))
         .unionByName(rows.select("doc_id", F.lit("json").alias("format"), none.alias("program"), none.alias("hub"), F.concat(F.lit("["), "r", F.lit("]")).alias("text")))
     )
-    return intake.parse_chart_documents(docs).rows.select("doc_id", "program", "region_a", "region_b", "cabin", "miles")
+    paper = lambda df, shift, program: df.select(
+        (F.col("doc_id") + shift).alias("doc_id"), F.lit("pdf").alias("format"), F.lit(program).alias("program"), none.alias("hub"),
+        F.col("page_text").alias("text"), F.col("grids").cast(charts.GRIDS) if "grids" in df.columns else F.lit(None).cast(charts.GRIDS).alias("grids"))
+    other = d.sql(f"SELECT DISTINCT {PAGE} + 6000000 AS doc_id, 'docx' AS format, cast(NULL AS string) AS program, cast(NULL AS string) AS hub, 'x' AS text FROM @part")
+    docs = docs.unionByName(other).unionByName(paper(block_docs(d), 3_000_000, "sq"), allowMissingColumns=True)
+    return docs.unionByName(paper(triangle_docs(d), 4_000_000, "lifemiles")).unionByName(paper(triangle_docs(d), 5_000_000, "another"))

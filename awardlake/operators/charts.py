@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from awardlake import vocab
 from awardlake.functions import labels
 from awardlake.functions.rows import inline_rows
+from awardlake.sources.sinks import materialize
 
 ROW_TYPE = (
     "struct<band_ord:bigint,program:string,region_a:string,region_b:string,cabin:string,miles:bigint,"
     "roundtrip:boolean,distance_min:bigint,distance_max:bigint,origin_airport:string,"
     "dest_airport:string,dropped:boolean>"
 )
+#: Tables of a document without markup.
+GRIDS = "array<struct<table_ord:int,header:array<string>,rows:array<array<string>>,page_text:string>>"
 NO_ROWS = f"cast(array() as array<{ROW_TYPE}>)"
 LONG_TITLES = ("program", "from", "to", "cabin", "miles")
 
@@ -618,10 +621,13 @@ def parse_triangular_text(docs: DataFrame, text_col="page_text", id_col="doc_id"
     )
 
 
-def route_grid_parsers(docs: DataFrame, text_programs=("lifemiles",), id_col="doc_id") -> DataFrame:
-    """Rows of the first parser that yields any: wide, distance grid, matrix, then triangular text.
+def route_grid_parsers(docs: DataFrame, text_programs=vocab.TRIANGLE_PROGRAMS, id_col="doc_id") -> ParsedCharts:
+    """Rows (with ``route``) of the first parser that yields any: wide, distance grid, matrix, then triangular text.
 
-    ``docs``: id, program, grids array, page_text. The choice is made inside the document row.
+    ``docs``: id, program, grids array, page_text. The choice is made inside the document row. Triangular text is a
+    shape of ``text_programs`` alone. Every other document gets one drop row, so that documents with rows and
+    drop rows add up to all documents: ``grid`` where grids were there to read, ``text`` where only a text was,
+    else ``empty``.
     """
     def kept(rows):
         return F.filter(rows.cast(f"array<{ROW_TYPE}>"), lambda r: ~r["dropped"])
@@ -636,12 +642,18 @@ def route_grid_parsers(docs: DataFrame, text_programs=("lifemiles",), id_col="do
         offer("distance", distance_grid_rows(grids, program)),
         offer("zone_matrix", matrix_block_rows(grids, program)),
     )
-    grid = inline_rows(
-        docs.select(id_col, choice.alias("c")), [id_col, "c.route"], F.col("c.rows"), "band_ord"
-    ).drop("dropped")
-    rest = docs.where(program.isin(*text_programs)).where(choice.isNull())
-    text = parse_triangular_text(rest.select(id_col, "program", "page_text"), id_col=id_col)
-    return grid.unionByName(text.withColumn("route", F.lit("text")), allowMissingColumns=True)
+    meta = [c for c in ("source_name", "updated_at") if c in docs.columns]
+    chosen = docs.select(id_col, *meta, "program", "page_text", (F.size("grids") > 0).alias("with_grids"), choice.alias("c"))
+    chosen = materialize(chosen, "grid-rows")  # the parsers run once, for rows and for what is left over
+    grid = inline_rows(chosen, [id_col, *meta, "c.route"], F.col("c.rows"), "band_ord").drop("dropped")
+    rest = chosen.where(F.col("c").isNull())
+    text = parse_triangular_text(rest.where(F.lower(F.trim("program")).isin(*text_programs)).select(id_col, "program", "page_text"), id_col=id_col)
+    if meta:
+        text = text.join(docs.select(id_col, *meta), id_col)
+    why = F.when(F.coalesce("with_grids", F.lit(False)), "grid").when(F.trim("page_text") != "", "text").otherwise("empty")
+    unread = rest.select(id_col, why.alias("parser"), F.lit(0).cast("bigint").alias("band_ord")).join(text.select(id_col).distinct(), id_col, "left_anti")
+    rows = grid.unionByName(text.withColumn("route", F.lit("text")), allowMissingColumns=True)
+    return ParsedCharts(rows, unread)
 
 
 def drop_counters(parsed: ParsedCharts, parser: str, id_col="page_id") -> DataFrame:
