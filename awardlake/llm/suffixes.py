@@ -8,7 +8,10 @@ it; that run's bytes are its sort key, grouped by gram.
 
 Each task sorts its keys, drops what it has seen itself, and front-codes the run (length of the
 prefix shared with the key before, then the rest). Runs go to the task of their gram, where a loser
-tree merges them and compares two keys only beyond the prefix that they are known to share.
+tree merges them and compares two keys only beyond the prefix that they are known to share. In that
+order the longest string that a key shares with any other is the one it shares with a neighbour: it
+tells which windows of a key can repeat at all. Few keys of a gram are compared at once; from a gram
+with many contexts those windows travel on as digests, so that no task holds the gram.
 """
 
 import hashlib
@@ -25,7 +28,9 @@ BLOCK = 1 << 18
 #: Anchors or distinct keys that a task holds before it sends a sorted run.
 HELD_ANCHORS, HELD_KEYS = 1 << 20, 1 << 16
 #: Bytes of text whose anchors meet in one task.
-PART_BYTES = 8 << 20
+PART_BYTES = 16 << 20
+#: Distinct keys of one gram that are compared at once; spans and digests that a task holds before it sends them.
+HELD_GRAM, HELD_SPANS = 1 << 16, 1 << 14
 LAST_ID = (1 << 63) - 1
 
 _POSITION = np.uint64((1 << 24) - 1)
@@ -59,7 +64,8 @@ def anchors(data, ends, length, gram=GRAM):
         last = np.concatenate([first[1:], [len(good)]]) - 1
         rows = np.searchsorted(ends, good[first] + start, "right") - 1
         base = ends[rows] - start
-        for into, values in zip(found, (rows, at[first] - base, good[first] - base, good[last] - base, hashes[at[first]])):
+        # the smallest hashes are picked, so they are scrambled once more before they deal grams out to parts
+        for into, values in zip(found, (rows, at[first] - base, good[first] - base, good[last] - base, mix(hashes[at[first]]))):
             into.append(values)
     return [np.concatenate(x) for x in found]
 
@@ -210,8 +216,8 @@ def _send_runs(length, parts):
                 shared.append(common)
                 rest.append(key[common:])
                 before = key
-            places = [held[k] for k in keys]
-            yield row(part, shared, [len(x) for x in rest], b"".join(rest), [k[1] for k in keys], *zip(*places))
+            ids, ties, starts, _ = zip(*(held[k] for k in keys))  # a key's length tells where it ends
+            yield row(part, shared, [len(x) for x in rest], b"".join(rest), [k[1] for k in keys], ids, ties, starts, [])
         if spans:
             yield row(abs(hash(spans[0])) % parts, [], [], b"", [], *zip(*spans))
 
@@ -249,13 +255,28 @@ def _send_runs(length, parts):
     return run
 
 
-def _decoded(run):
-    """A front-coded run as (shared prefix, key, back length, place)."""
-    before, at = b"", 0
-    for shared, rest, back, place in zip(run["shared"], run["rest"], run["backs"], zip(run["ids"], run["ties"], run["starts"], run["ends"])):
-        before = before[:shared] + run["bytes"][at : at + rest]
-        at += rest
-        yield shared, before, back, place
+class Run:
+    """A front-coded run as arrays over what Arrow delivered; keys are decoded as the merge asks for them."""
+
+    FIELDS = ("shared", "rest", "backs", "ids", "ties", "starts", "ends")
+
+    def __init__(self, batch, row):
+        columns = {c: batch.column(c) for c in self.FIELDS}
+        self.arrays = [columns[c].values.to_numpy()[slice(*columns[c].offsets[row : row + 2].to_numpy())] for c in self.FIELDS]
+        self.bytes = memoryview(batch.column("bytes")[row].as_buffer())
+
+    def spans(self):
+        """(id, tie, start, end) of a row that carries spans instead of keys."""
+        return zip(*(a.tolist() for a in self.arrays[3:]))
+
+    def __iter__(self, some=256):
+        """(shared prefix, key, back length, place) in order."""
+        before, at = b"", 0
+        for i in range(0, len(self.arrays[0]), some):
+            for shared, rest, back, doc, tie, start in zip(*(a[i : i + some].tolist() for a in self.arrays[:6])):
+                before = before[:shared] + self.bytes[at : at + rest]
+                at += rest
+                yield shared, before, back, (doc, tie, start, start + len(before) - 9)
 
 
 def merged(runs):
@@ -299,27 +320,40 @@ def merged(runs):
         top = winner
 
 
+def _window(key, back, depth, length):
+    """The window that starts ``depth`` bytes before the anchor; the bytes before it stand reversed behind the separator."""
+    ahead = len(key) - 9 - back
+    return key[8 : 8 + length - depth] + key[8 + ahead : 9 + ahead + depth]
+
+
+def _depths(key, back, common, length):
+    """Depths of a key's windows that can repeat: their bytes from the anchor on are shared with a neighbour in order."""
+    return range(length - min(common, len(key) - 9 - back), back + 1)
+
+
 def _spans_of_gram(group, length):
     """Repeated spans among the distinct keys of one gram: windows whose content has an earlier place.
 
-    Windows of one depth (bytes before the anchor) are looked at together; of each key only one bit
-    per repeated window is kept, and runs of bits leave as one span.
+    ``group`` has (key, back, place, bytes from the anchor on that a neighbour shares). Windows of one depth (bytes
+    before the anchor) are looked at together; of each key only one bit per repeated window is kept,
+    and runs of bits leave as one span.
     """
-    again = [0] * len(group)
-    for depth in range(max(back for _, back, _ in group) + 1):
+    again, by_depth = [0] * len(group), {}
+    for i, (key, back, _, common) in enumerate(group):
+        for depth in _depths(key, back, common, length):
+            by_depth.setdefault(depth, []).append(i)
+    for depth, members in by_depth.items():
         first = {}
-        for i, (key, back, place) in enumerate(group):
-            ahead = len(key) - 9 - back
-            if depth <= back and ahead >= length - depth:
-                # the bytes before the anchor stand reversed behind the separator
-                window = key[8 : 8 + length - depth] + key[8 + ahead : 9 + ahead + depth]
-                at = (*place[:2], place[2] + back - depth, i)
-                old = first.setdefault(window, at)
-                if old is not at:
-                    if at < old:
-                        first[window], at = at, old
-                    again[at[3]] |= 1 << (at[2] - group[at[3]][2][2])
-    for bits, (_, _, place) in zip(again, group):
+        for i in members if len(members) > 1 else ():
+            key, back, place, _ = group[i]
+            at = (*place[:2], place[2] + back - depth, i)
+            window = _window(key, back, depth, length)
+            old = first.setdefault(window, at)
+            if old is not at:
+                if at < old:
+                    first[window], at = at, old
+                again[at[3]] |= 1 << (at[2] - group[at[3]][2][2])
+    for bits, (_, _, place, _) in zip(again, group):
         at = place[2]
         while bits:
             skip = (bits & -bits).bit_length() - 1
@@ -329,47 +363,114 @@ def _spans_of_gram(group, length):
             bits, at = bits >> run, at + run
 
 
-def _merge_part(length):
-    def spans(runs):
-        group, gram, last = [], None, None
-        for shared, key, back, place in merged(map(_decoded, runs)):
-            if last is not None and shared == len(key) == len(last[0]) and back == last[1]:
-                old = group[-1][2]
-                group[-1] = (key, back, min(old, place))
-                yield max(old, place)
-                continue
-            if key[: 8 + GRAM] != gram:
-                if len(group) > 1:
-                    yield from _spans_of_gram(group, length)
-                group, gram = [], key[: 8 + GRAM]
-            group.append((key, back, place))
-            last = (key, back)
-        if len(group) > 1:
-            yield from _spans_of_gram(group, length)
+def _keys_in_order(runs):
+    """Distinct keys as (key, back, place, common), and spans of equal keys as (None, span); ``common`` is the longest
+    prefix (of the bytes from the anchor on) shared with the distinct key before or behind."""
+    held = None
+    for shared, key, back, place in merged(runs):
+        if held is not None and shared == len(key) == len(held[0]) and back == held[1]:
+            old = held[2]
+            held[2] = min(old, place)
+            yield None, max(old, place)
+            continue
+        if held is not None:
+            yield held[0], (*held[1:3], max(held[3], shared) - 8)
+        held = [key, back, place, shared]
+    if held is not None:
+        yield held[0], (*held[1:3], held[3] - 8)
+
+
+_SPANS = "id long, tie long, starts array<int>, ends array<int>, windows array<binary>"
+
+
+class _Outbox:
+    """Spans, and windows of grams with many contexts, by document; sent on before they become many."""
 
+    def __init__(self):
+        self.spans, self.windows, self.count = {}, [], 0
+
+    def span(self, doc, tie, start, end):
+        self.spans.setdefault((doc, tie), []).append((start, end))
+        self.count += 1
+
+    def window(self, place, starts, ends, digests):
+        self.windows.append((*place[:2], starts, ends, digests))
+        self.count += len(starts)
+
+    def packed(self, least=HELD_SPANS):
+        if self.count < least:
+            return
+        joined = [(*doc, *map(list, zip(*union(spans))), None) for doc, spans in self.spans.items()]
+        joined += self.windows
+        self.__init__()
+        types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary())]
+        for i in range(0, len(joined), 1024):
+            columns = zip(*joined[i : i + 1024])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "tie", "starts", "ends", "windows"])
+
+
+def _digest(window):
+    return hashlib.blake2b(window, digest_size=16).digest()
+
+
+def _merge_part(length, most):
     def run(batches):
-        runs, out = [], {}
+        runs, out = [], _Outbox()
         for batch in batches:
-            runs += batch.to_pylist()
-        for r in runs:
-            if not r["shared"]:
-                for doc, tie, start, end in zip(r["ids"], r["ties"], r["starts"], r["ends"]):
-                    out.setdefault((doc, tie), []).append((start, end))
-        for doc, tie, start, end in spans([r for r in runs if r["shared"]]):
-            out.setdefault((doc, tie), []).append((start, end))
-        keys = list(out)
-        for i in range(0, len(keys), 1024):
-            some = keys[i : i + 1024]
-            joined = [union(out[k]) for k in some]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in some], pa.int64()), pa.array([k[1] for k in some], pa.int64()),
-                pa.array([[a for a, _ in j] for j in joined], pa.list_(pa.int32())),
-                pa.array([[b for _, b in j] for j in joined], pa.list_(pa.int32())),
-            ], ["id", "tie", "starts", "ends"])
+            for row in range(batch.num_rows):
+                found = Run(batch, row)
+                if len(found.arrays[0]):
+                    runs.append(found)
+                else:
+                    for span in found.spans():
+                        out.span(*span)
+                    yield from out.packed()
+        group, gram, many = [], None, False
+
+        def settle():
+            if len(group) > 1 and not many:
+                for span in _spans_of_gram(group, length):
+                    out.span(*span)
+
+        def digests(key, back, place, common):
+            depths = _depths(key, back, common, length)
+            if depths:
+                starts = [place[2] + back - d for d in depths]
+                out.window(place, starts, [p + length for p in starts], [_digest(_window(key, back, d, length)) for d in depths])
+
+        for key, found in _keys_in_order(runs):
+            if key is None:
+                out.span(*found)
+                continue
+            if key[: 8 + GRAM] != gram:
+                settle()
+                group, gram, many = [], key[: 8 + GRAM], False
+            if many:
+                digests(key, *found)
+            else:
+                group.append((key, *found))
+                if len(group) > most:
+                    for member in group:
+                        digests(*member)
+                    group, many = [], True
+            yield from out.packed()
+        settle()
+        yield from out.packed(least=1)
 
     return run
 
 
+def _again(found: DataFrame) -> DataFrame:
+    """Spans of the windows among ``found`` (rows with digests) whose content has an earlier place."""
+    zipped = F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"), F.col("windows").alias("window"))
+    # the outer form: a plain one would put a filter below the shuffle, which then is another one
+    each = found.select("id", "tie", F.inline_outer(zipped)).where(F.col("window").isNotNull())
+    place = F.struct("id", "tie", "start", "end")
+    firsts = each.groupBy("window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = each.join(firsts.select("window", "first"), "window").where(place != F.col("first"))
+    return later.select("id", "tie", F.array("start").alias("starts"), F.array("end").alias("ends"))
+
+
 def union(spans):
     """Maximal spans covered by (start, end) pairs."""
     out = []
@@ -381,14 +482,15 @@ def union(spans):
     return out
 
 
-def repeated_spans(docs: DataFrame, length=100) -> DataFrame:
+def repeated_spans(docs: DataFrame, length=100, at_once=HELD_GRAM) -> DataFrame:
     """Bytes covered by a string of ``length`` bytes that also starts earlier: ``document`` (all columns), ``starts``, ``ends``.
 
     Places are ordered by ``doc_id`` (null last), then by start; strings never cross documents and
     are judged on the input. ``starts`` and ``ends`` are byte spans of the UTF-8 text; they may touch
     or overlap, and are null where nothing repeats. A null text is empty. Rows that repeat an id are
     ordered by a hash of their texts; rows that repeat id and text are one document and get the same
-    spans. One row per input row; column names of the input cannot clash.
+    spans. One row per input row; column names of the input cannot clash. Of a gram with more than
+    ``at_once`` contexts no task holds more than that many.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -409,7 +511,12 @@ def repeated_spans(docs: DataFrame, length=100) -> DataFrame:
     document = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")
     chosen = chosen.select(document, F.col(tag + "id").alias("id"), F.col(tag + "tie").alias("tie"), "offsets")
     runs = chosen.mapInArrow(_send_runs(length, parts), _RUNS).repartition(parts, "part")
-    spans = runs.mapInArrow(_merge_part(length), "id long, tie long, starts array<int>, ends array<int>")
+    # spans and windows are read from one shuffle: neither side filters or drops columns before it; it has as
+    # many parts as the join with the texts, which so need no second one
+    known = F.col("id").isNotNull() & F.col("tie").isNotNull()  # what the join below asks of some of the sides
+    found = runs.mapInArrow(_merge_part(length, at_once), _SPANS).where(known).repartition("id", "tie")
+    alone = lambda c: F.when(F.col("windows").isNull(), F.col(c)).alias(c)
+    spans = found.select("id", "tie", alone("starts"), alone("ends")).unionAll(_again(found))
     spans = spans.groupBy("id", "tie").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     spans = spans.select(F.col("id").alias(tag + "sid"), F.col("tie").alias(tag + "stie"), F.col("starts").alias(tag + "starts"), F.col("ends").alias(tag + "ends"))
     found = keyed.join(spans, (F.col(tag + "id") == F.col(tag + "sid")) & (F.col(tag + "tie") == F.col(tag + "stie")), "left")
@@ -425,7 +532,7 @@ def _kept(text: bytes, spans):
     return b"".join(parts)
 
 
-def digests(docs: DataFrame, length=100) -> DataFrame:
+def digests(docs: DataFrame, length=100, at_once=HELD_GRAM) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` of every document without its repeated bytes."""
 
     def run(batches):
@@ -439,7 +546,7 @@ def digests(docs: DataFrame, length=100) -> DataFrame:
                 batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest),
             ], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = repeated_spans(docs.select("doc_id", "text"), length)
+    found = repeated_spans(docs.select("doc_id", "text"), length, at_once)
     text = F.coalesce(F.col("document.text"), F.lit("")).cast("binary").alias("text")
     flat = found.select(F.col("document.doc_id").cast("long").alias("doc_id"), text, "starts", "ends")
     return flat.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -56,6 +56,31 @@ def test_spans_match_all_windows(spark, seed):
     assert got == brute(data)
 
 
+@pytest.mark.parametrize("at_once", [1, 3])
+def test_windows_that_travel_as_digests_give_the_same(spark, at_once):
+    data = corpus(5)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    assert {r[0]: tuple(r[1:]) for r in suffixes.digests(docs, at_once=at_once).collect()} == brute(data)
+
+
+def test_one_line_in_many_contexts(spark):
+    rng = random.Random(6)
+    line, letters = "the very same line of forty bytes, always", "abcdefghijklmnopqrstuvwxyz "
+    random_text = lambda n: "".join(rng.choices(letters, k=n))
+    contexts = [[random_text(70), random_text(70)] for _ in range(200_000)]
+    shared = list(range(100, 200_000, 5000))
+    for i in shared:
+        left, right = rng.choice([(35, 40), (70, 10), (0, 70), (20, 30)])
+        earlier = contexts[i - 100]
+        contexts[i] = [contexts[i][0][: 70 - left] + earlier[0][70 - left :], earlier[1][:right] + contexts[i][1][right:]]
+    data = [(i, a + line + b) for i, (a, b) in enumerate(contexts)]
+    got = {r.doc_id: tuple(r)[1:] for r in suffixes.digests(spark.createDataFrame(data, "doc_id long, text string").repartition(8)).collect()}
+    near = brute([data[j] for i in shared for j in (i - 100, i)])
+    assert any(v[1] for v in near.values())
+    for i, text in data:
+        assert got[i] == near.get(i, (len(text), 0, 0, hashlib.sha256(text.encode()).hexdigest()))
+
+
 def test_small_runs_and_blocks_change_nothing(spark, monkeypatch):
     data = corpus(4)
     monkeypatch.setattr(suffixes, "BLOCK", 700)
