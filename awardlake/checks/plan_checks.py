@@ -186,16 +186,26 @@ FROM two)
 """
 
 
-@query("quote_requests", f"""
+QUOTED_SQL = f"""
 WITH {VERDICTS_CTE}
 SELECT q.request_id, q.route_key, q.currency, q.balance, q.card, coalesce(v.label, 'no_fare') AS label, best_program, best_label,
        best_cpp, portal_cpp, rationale, v.flags
 FROM @@requests q LEFT JOIN verdicts v ON v.request_id = q.request_id
-""")
+"""
+
+
+@query("quote_requests", QUOTED_SQL)
 def _quote_requests(d):
     return request_quotes(d).verdicts.withColumn("flags", joined(F.col("flags")))
 
 
+@query("quote_stored_market", QUOTED_SQL)
+def _quote_stored(d):
+    """The same requests against a market stored in buckets of its routes."""
+    got = quotes.quote_requests(d.view("requests"), quotes.stored_market(market(d)))
+    return got.verdicts.withColumn("flags", joined(F.col("flags")))
+
+
 @query("rank_options", f"WITH {OPTIONS_CTE} SELECT {', '.join(OPTION_COLUMNS)} FROM ranked")
 def _options(d):
     return shown(request_quotes(d).options)

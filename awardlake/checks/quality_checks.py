@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from awardlake import vocab
 from awardlake.checks.base import NOW, joined, query, r6, sql_values
 from awardlake.checks.label_checks import pick
-from awardlake.checks.plan_checks import VERDICTS_CTE, ratios, request_quotes
+from awardlake.checks.plan_checks import VERDICTS_CTE, market, ratios, request_quotes
 from awardlake.checks.resolve_checks import dims
 from awardlake.checks.source_checks import CREATORS, providers
-from awardlake.checks.verify_checks import HALF, STALE, VERIFIED_AWARDS_SQL, award_quotes, verified_awards, verified_fares
+from awardlake.checks.verify_checks import HALF, STALE, VERIFIED_AWARDS_SQL, award_quotes, verified_awards
 from awardlake.operators import quality, resolve, sites, verify
+from awardlake.plans import quotes
 from awardlake.sources import catalogue
 
 # Expected and produced rows of labelled documents, from part rows.
@@ -112,7 +113,8 @@ def _fixtures(d):
 
 def audit(d, bad=False):
     """The real tables, or the same with planted violations."""
-    got, awards, fares, asked = request_quotes(d), verified_awards(d), verified_fares(d), d.view("requests")
+    stored, asked = quotes.stored_market(market(d)), d.view("requests")
+    got, awards, fares = quotes.quote_requests(asked, stored), verified_awards(d), stored.fares
     cabin = d.view("award_quotes").select("route_key", "cabin").distinct()
     prov = verify.award_provenance(award_quotes(d), NOW, HALF, STALE)
     awards = awards.join(cabin, "route_key")

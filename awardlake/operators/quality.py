@@ -10,6 +10,7 @@ from awardlake.functions import points
 from awardlake.functions.rows import inline_rows
 from awardlake.functions.text import digit_runs
 from awardlake.operators import verify
+from awardlake.sources import sinks
 
 ROW_KEY = ["program", "region_a", "region_b", "cabin", "miles"]
 
@@ -116,8 +117,16 @@ def validate_fixtures(fixtures: DataFrame, id_col="doc_id") -> DataFrame:
 
 
 def audit_verdicts(verdicts: DataFrame, options: DataFrame, awards: DataFrame, provenance: DataFrame, ratios: DataFrame, requests: DataFrame, fares: DataFrame) -> DataFrame:
-    """Violations (rule, key, detail) of the honesty invariants; empty when all is well."""
+    """Violations (rule, key, detail) of the honesty invariants; empty when all is well.
+
+    Several rules read each table, so what they need of it is written once.
+    """
     group = ["route_key", "program"]
+    needed = {
+        "verdicts": (verdicts, ["request_id", "label", "flags"]), "options": (options, ["request_id", "kind", "label", "program", "confidence"]),
+        "awards": (awards, [*group, "cabin", "miles"]), "provenance": (provenance, [*group, "source_name"]),
+    }
+    verdicts, options, awards, provenance = (sinks.materialize(df.select(*columns), name) for name, (df, columns) in needed.items())
     none = lambda: F.lit(None).cast("string")
     row = lambda df, rule, key, detail: df.select(F.lit(rule).alias("rule"), key.alias("key"), detail.alias("detail"))
     award_key = F.concat_ws("/", *group)

@@ -9,6 +9,7 @@ from awardlake.functions import points
 from awardlake.functions.rows import explode_rows
 from awardlake.operators import verify
 from awardlake.plans import paths
+from awardlake.sources import sinks
 
 
 class Market(NamedTuple):
@@ -46,6 +47,13 @@ def build_market(
     )
 
 
+def stored_market(market: Market, buckets=None) -> Market:
+    """The market written once, both sides in buckets of their route: batches of requests are then dealt to it, it stays in place."""
+    return Market(
+        sinks.bucketed(market.awards, "route_key", "awards", buckets), sinks.bucketed(market.fares, "route_key", "fares", buckets),
+        sinks.materialize(market.paths, "paths"))
+
+
 def market_options(market: Market) -> DataFrame:
     """Per (route, currency) the priced transfer options, best first, as one array.
 
@@ -88,9 +96,11 @@ def _priced_requests(requests, market):
         "route_key", "cash_cents", F.col("confidence").alias("_fare_conf"),
         F.col("flags").alias("_fare_flags"),
     )
-    return requests.join(fares, "route_key", "left").join(
-        market_options(market), ["route_key", "currency"], "left"
-    )
+    # joined by the route alone, which is how a stored market lies: the currencies of a route are few
+    offers = F.map_from_entries(F.collect_list(F.struct("currency", "offers")))
+    by_route = market_options(market).where(F.col("currency").isNotNull()).groupBy("route_key").agg(offers.alias("_by_currency"))
+    priced = requests.join(fares, "route_key", "left").join(by_route, "route_key", "left")
+    return priced.withColumn("offers", F.try_element_at("_by_currency", F.col("currency"))).drop("_by_currency")
 
 
 def quote_requests(

@@ -44,6 +44,20 @@ def materialize(df: DataFrame, name="table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key, name="table", buckets=None) -> DataFrame:
+    """Write a table to the shared folder in sorted buckets of ``key``: joins and groups by the key then need no shuffle of it.
+
+    ``buckets`` are as many as the session has shuffle partitions, unless given.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"awardlake_{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", new_table_path(spark, name)).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def write_discovered(rows: DataFrame, stale_programs: DataFrame, path, updated_at) -> None:
     """Replace the discovery dataset: rows, stale programmes, time of the write.
 
