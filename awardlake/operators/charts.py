@@ -406,7 +406,7 @@ def matrix_block_rows(grids, program):
 def seasonal_rows(tables, program):
     """Low-season round-trip prices between two zones that a legend table names."""
     prog = F.lower(F.trim(program))
-    zone_shape = r"(?i)zone\s*(\d{1,2})"
+    zone_shape = vocab.ZONE_SHAPE
 
     def legend_of(t):
         h = _lower(t["header"])

@@ -17,14 +17,10 @@ from awardlake.functions.rows import inline_rows
 from awardlake.functions.text import collapse_space, digit_runs, number_is_grounded
 from awardlake.operators.documents import html_to_text
 from awardlake.schemas import PROPOSED_ROWS
+from awardlake.vocab import ANY_NUMBER, BEFORE, BONUS, CLAUSE, NEAR_KEYWORD, ROUND_TRIP, TAIL
 
-NUMBER = r"\d{1,3}(?:[,\s]\d{3})+|\d{4,6}"
-NEAR_KEYWORD = rf"(?i)({NUMBER})\s*(?:miles|points|pts)\b"
-ANY_NUMBER = rf"(?i)({NUMBER})(?:\s*(?:miles|points|pts|k\b))?"
-BEFORE, CLAUSE, TAIL = 220, 60, 80
+#: Least characters of a number that counts.
 SHORTEST = 4
-BONUS = r"(?i)earn|bonus|welcome offer|sign[\s-]?up|intro|after (?:you )?spend|statement credit|points back"
-ROUND_TRIP = r"(?i)round[\s-]?trip|return ticket"
 CLAIM_KEY = ["program", "region_a", "region_b", "cabin", "miles"]
 
 
