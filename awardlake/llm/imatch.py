@@ -1,7 +1,9 @@
 """I-Match fingerprints in DataFrame operations only.
 
-The lexicon holds the terms whose document frequency lies in a band. Randomised subsets of it are
-drawn by hashing; a subset's part of a fingerprint is the hash of a document's sorted distinct terms
+The lexicon holds the terms whose document frequency lies in a band. A text keeps its terms of the
+lexicon and a fixed share of its others, so that neither a group of near copies (whose terms are
+frequent) nor a text of rare terms is left with a chance few. Randomised subsets are drawn by hashing;
+a subset's part of a fingerprint is the hash of a document's sorted distinct terms
 in that subset. Sparse and dense subsets together make short and long texts comparable.
 """
 
@@ -13,6 +15,8 @@ from awardlake.llm.common import texts
 SLOTS = 1 << 20
 #: Document frequency band, as shares of all documents (and two documents at least).
 BAND = (0.001, 0.05)
+#: Of a text's terms outside the band the first one in so many by hash is kept, rounded up.
+OUTSIDE = 4
 #: Families of disjoint subsets: each subset is one of so many parts of the lexicon; so many parts are used.
 FAMILIES = ((16, 16), (128, 64), (1024, 128))
 TERM_BREAK = r"[^\p{L}\p{N}]+"
@@ -66,12 +70,17 @@ def _members_of_family(terms, parts, used, base):
 def fingerprint(text: Column, mask: Column) -> Column:
     """Array of long, one per subset with terms of the text: the subset above 32 bits of hash.
 
-    A text without lexicon terms is fingerprinted by all its terms; one without terms has an empty array.
+    Kept are the text's lexicon terms and the first quarter, by hash, of its other terms. A text without terms has
+    an empty array.
     """
 
+    def inside(h):
+        return F.getbit(F.get(mask, F.shiftright(_slot(h), 6)), _slot(h).bitwiseAND(63)) == 1
+
     def kept(hashes):
-        inside = F.filter(hashes, lambda h: F.getbit(F.get(mask, F.shiftright(_slot(h), 6)), _slot(h).bitwiseAND(63)) == 1)
-        return let(inside, lambda x: F.when(F.size(x) > 0, x).otherwise(hashes))
+        others = F.array_sort(F.filter(hashes, lambda h: ~inside(h)))
+        few = let(others, lambda x: F.slice(x, F.lit(1), F.ceil(F.size(x) / OUTSIDE).cast("int")))
+        return F.concat(F.filter(hashes, inside), few)
 
     def members(terms):
         found, base = [], 0
@@ -113,7 +122,8 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Ids are cut into ranges of about equal size, one per shuffle partition, so texts move once and no
     window spans the table. The last row of a range is fetched for the first one of the next range.
-    Null ids come last in descending order; rows that share an id are ordered by a hash of the text.
+    Null ids come last in descending order; rows that share an id are ordered by a hash of the text, by which rows
+    without an id are cut into ranges too.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -121,7 +131,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     bounds = plain.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)
     bounds = F.array(*(F.lit(int(b)) for b in sorted(set(bounds)))).cast("array<long>")
     bucket = F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))), F.lit(-1))
-    rows = plain.select("doc_id", "text", F.when(F.col("doc_id").isNull(), -1).otherwise(bucket).alias("bucket"), F.xxhash64("text").alias("tie"))
+    nulls = (F.floor((F.shiftright(F.xxhash64("text"), 32) + (1 << 31)) * parts / (1 << 32)) - parts).cast("int")  # from -parts to -1
+    rows = plain.select("doc_id", "text", F.when(F.col("doc_id").isNull(), nulls).otherwise(bucket).alias("bucket"), F.xxhash64("text").alias("tie"))
     lasts = rows.groupBy("bucket").agg(F.max(F.struct(F.col("doc_id"), F.col("tie"))).alias("last"))
     ring = Window.orderBy("bucket")
     above = F.coalesce(F.lag("last").over(ring), F.max_by("last", "bucket").over(Window.partitionBy()))

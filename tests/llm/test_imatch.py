@@ -31,7 +31,8 @@ def brute(texts):
     lexicon = {s for s, c in counts.items() if low <= c <= high}
 
     def fingerprint(text):
-        kept = [h for h in terms(text) if h % imatch.SLOTS in lexicon] or terms(text)
+        others = sorted(h for h in terms(text) if h % imatch.SLOTS not in lexicon)
+        kept = [h for h in terms(text) if h % imatch.SLOTS in lexicon] + others[: -(-len(others) // imatch.OUTSIDE)]
         subsets, base = {}, 0
         for parts, used in imatch.FAMILIES:
             for h in kept:
@@ -60,7 +61,8 @@ def as_text(parts):
 
 
 def check(spark, rows):
-    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    tie = lambda t: signed(xxhash.xxh64_intdigest((t or "").encode(), 42))
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -tie(r[1])))
     fingerprint = brute([t or "" for _, t in rows])
     want = {}
     for i, (doc, text) in enumerate(ordered):
@@ -68,10 +70,10 @@ def check(spark, rows):
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         own, changed = fingerprint(text), fingerprint(edited)
-        want[doc] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), as_text(own), as_text(changed), round(near(own, changed), 9), round(near(own, fingerprint(after)), 9))
+        want[doc, text] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), as_text(own), as_text(changed), round(near(own, changed), 9), round(near(own, fingerprint(after)), 9))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r[0]: (*r[1:5], round(r[5], 9), round(r[6], 9)) for r in imatch.fingerprints(docs).collect()}
-    assert got == want
+    found = imatch.fingerprints(docs).collect()
+    assert sorted((r[0] or 0, *r[1:5], round(r[5], 9), round(r[6], 9)) for r in found) == sorted((k[0] or 0, *v) for k, v in want.items())
 
 
 def test_matches_a_plain_computation(spark):
@@ -81,6 +83,29 @@ def test_matches_a_plain_computation(spark):
     check(spark, rows + [(None, "w1 the w2"), (5000, None)])
 
 
+def test_many_rows_without_an_id_or_with_one_id(spark):
+    rng = random.Random(10)
+    rows = [(rng.choice([None, None, 3, 4, 9]), " ".join(rng.choices([f"w{i}" for i in range(80)], k=rng.randint(1, 40))) + f" {i}") for i in range(150)]
+    check(spark, rows)
+    spread = imatch.with_next(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id is null").groupBy("bucket").count().collect()
+    assert len(spread) > 1
+
+
+def test_near_copies_of_a_large_group_stay_alike(spark):
+    rng = random.Random(11)
+    pool = [f"w{i}" for i in range(4000)]
+    base = rng.sample(pool, 200)
+    rows = []
+    for i in range(1000):
+        words = list(base) if i % 10 < 3 else rng.choices(pool, k=200)
+        words[rng.randrange(200)] = rng.choice(pool)
+        rows.append((i, " ".join(words)))
+    found = {r.doc_id: r.near_next for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    copies = [v for i, v in found.items() if i % 10 in (1, 2)]
+    others = [v for i, v in found.items() if i % 10 > 3]
+    assert min(copies) > 0.6 and max(others) < 0.2
+
+
 def test_one_document_equal_texts_and_empty_tables(spark):
     check(spark, [(7, "one two three four")])
     docs = spark.createDataFrame([(1, "a b c d", 1), (2, "a b c d", 2), (2, "a b c d", 3), (3, "", 4), (4, None, 5), (5, "z " * 100000, 6)], "doc_id long, text string, place int")
