@@ -62,6 +62,39 @@ def test_nulls_empty_sources_repeats_and_clashing_columns(spark):
     assert mixing.allotment(docs.limit(0)).collect() == [] and mixing.mixed(docs.limit(0)).collect() == []
 
 
+def test_documents_of_the_mix_follow_the_allotment(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice([i, i, i, 7, None]), " ".join(rng.choices(["w", "x!", "yy"], k=rng.choice([0, 1, 9, 40]))) + f" {i}" * (i % 3), rng.choice(["a", "b", None, "c"])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    size = lambda text: len(text.split())
+    total, got = {}, {}
+    for r in mixing.mixed(docs).collect():
+        total[r.source] = total.get(r.source, 0) + size(r.text)
+        got[r.doc_id, r.text, r.source] = got.get((r.doc_id, r.text, r.source), 0) + 1
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + size(text)
+    want = filled(sizes)
+    assert all(abs(total[s] - want[s]) <= 45 for s in sizes)
+    lone = [r for r in mixing.mix(mixing.sized(docs)).collect() if r.doc_id not in (7, None)]
+    for r in lone:
+        copies = got.get((r.doc_id, r.document.text, r.source), 0)
+        assert copies == (r.epochs + (2 * r.part >= r.size) if r.size else 0)
+    assert {k: v for k, v in got.items()} == {k: v for k, v in _counted(mixing.mixed(docs.repartition(2))).items()}
+
+
+def _counted(df):
+    out = {}
+    for r in df.collect():
+        out[r.doc_id, r.text, r.source] = out.get((r.doc_id, r.text, r.source), 0) + 1
+    return out
+
+
+def test_texts_of_the_mix_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "a b", "s"), (2, "c", "t")], "doc_id long, text string, source string")
+    assert "Exchange hashpartitioning" not in mixing.mixed(docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
     for df in (mixing.allotment(docs), mixing.mixed(docs)):
