@@ -1,11 +1,11 @@
 """Helpers shared by the operators of this subpackage."""
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from awardlake.sources.sinks import shared_dir
+
 #: UTF-8 bytes handled at once inside a task; bounds numpy's temporary arrays whatever the batch.
 CHUNK_BYTES = 1 << 20
 #: Rows of an Arrow batch.
@@ -24,13 +24,12 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a checkpoint in the folder that ``spark.checkpoint.dir`` names.
 
-    Only where that setting is absent (tests) a temporary folder is used. Spark removes the files
+    Only where that setting is absent in a local run (tests) a temporary folder is used. Spark removes the files
     when nothing refers to them if the cluster sets ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="awardlake-llm-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from awardlake.llm.common import LOWER, Rolling, bytes_of, chunks, held_out, labelled_sample, mix, small_batches, texts, words_of
+from awardlake.llm.common import LOWER, Rolling, bytes_of, chunks, cut, held_out, labelled_sample, mix, small_batches, texts, words_of
 
 #: Labelled documents per class that are learned from at most; features kept; grades above clean.
 SAMPLE, FEATURES, GRADES = 3000, 4096, 3
@@ -40,8 +40,8 @@ def features_of(data, ends):
     return np.concatenate(rows), np.concatenate(found)
 
 
-def _sampled_features(docs, labels, label, sample):
-    """Distinct features with their counts of each sampled document, as binary."""
+def _sampled_features(docs, labels, label, sample) -> DataFrame:
+    """``label``, distinct ``features`` with their ``counts`` of each sampled document; stays in the cluster, however long the texts."""
 
     def run(batches):
         for batch in chunks(batches):
@@ -51,35 +51,57 @@ def _sampled_features(docs, labels, label, sample):
             bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             sets = [np.unique(found[a:b], return_counts=True) for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([
-                batch.column("label"), pa.array([u.tobytes() for u, _ in sets], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in sets], pa.binary()),
+                batch.column("label"), pa.array([u.view(np.int64) for u, _ in sets], pa.list_(pa.int64())),
+                pa.array([c.astype(np.int32) for _, c in sets], pa.list_(pa.int32())),
             ], ["label", "features", "counts"])
 
     picked = labelled_sample(docs, labels, label, sample)
-    found = picked.mapInArrow(run, "label int, features binary, counts binary").toArrow()
-    order = np.argsort([hash(x) for x in found.column("features").to_pylist()], kind="stable") if found.num_rows else []
-    found = found.take(pa.array(order, pa.int64()))
-    features = [np.frombuffer(x, np.uint64) for x in found.column("features").to_pylist()]
-    counts = [np.frombuffer(x, np.uint32) for x in found.column("counts").to_pylist()]
-    return features, counts, found.column("label").to_numpy()
+    return cut(picked.mapInArrow(run, "label int, features array<long>, counts array<int>"))
 
 
-def select(features, labels, keep=FEATURES, least=3):
+def select(rows: DataFrame, totals, keep=FEATURES, least=3):
     """The features that tell the classes apart best (likelihood ratio) in ``least`` documents or more, their log-odds, and a scale.
 
-    The scale (root of the relative gain) keeps the many features that tell little from fitting chance.
+    Counted and ranked in the cluster; only ``keep`` features are fetched. The scale (root of the relative
+    gain) keeps the many features that tell little from fitting chance.
     """
-    known, index = np.unique(np.concatenate(features), return_inverse=True)
-    label = np.repeat(labels, [len(f) for f in features])
-    totals = np.array([(labels == c).sum() for c in (0, 1)], float)
-    seen = np.stack([np.bincount(index[label == c], minlength=len(known)) for c in (0, 1)]).astype(float)
-    share = (seen + 0.5) / (totals[:, None] + 1)
-    pooled = (seen.sum(0) + 0.5) / (totals.sum() + 1)
-    gain = sum(seen[c] * np.log(share[c] / pooled) + (totals[c] - seen[c]) * np.log((1 - share[c]) / (1 - pooled)) for c in (0, 1))
-    gain[seen.sum(0) < least] = -1
-    best = np.argsort(-gain, kind="stable")[:keep]
-    best = np.sort(best[gain[best] >= 0])
+    of = lambda c: F.count_if(F.col("label") == c).alias(f"n{c}")
+    counted = rows.select("label", F.explode("features").alias("feature")).groupBy("feature").agg(of(0), of(1))
+    pooled = (F.col("n0") + F.col("n1") + 0.5) / (sum(totals) + 1.0)
+    gain = F.lit(0.0)
+    for c, total in enumerate(totals):
+        share = (F.col(f"n{c}") + 0.5) / (total + 1.0)
+        gain = gain + F.col(f"n{c}") * F.log(share / pooled) + (float(total) - F.col(f"n{c}")) * F.log((1 - share) / (1 - pooled))
+    told = counted.where(F.col("n0") + F.col("n1") >= least).withColumn("gain", gain).where("gain >= 0")
+    best = told.orderBy(F.desc("gain"), "feature").limit(keep).toPandas()
+    known = best["feature"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    seen, gain = best[["n0", "n1"]].to_numpy(float).T[:, order], best["gain"].to_numpy(float)[order]
+    share = (seen + 0.5) / (np.array(totals, float)[:, None] + 1)
     odds = np.log(share[1] / (1 - share[1])) - np.log(share[0] / (1 - share[0]))
-    return known[best], odds[best], np.sqrt(gain[best] / max(gain.max(), 1e-9))
+    return known[order], odds, np.sqrt(gain / max(gain.max(initial=0.0), 1e-9))
+
+
+def _chosen_features(rows: DataFrame, chosen):
+    """(labels, places among ``chosen``, counts) of the sampled documents, in an order that their content alone decides."""
+    shared = rows.sparkSession.sparkContext.broadcast(chosen)
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            places, counts = [], []
+            for features, number in zip(batch.column("features"), batch.column("counts")):
+                features = features.values.to_numpy().view(np.uint64)
+                at = np.searchsorted(known, features).clip(max=max(len(known) - 1, 0))
+                hit = known[at] == features if len(known) else np.zeros(len(features), bool)
+                places.append(at[hit].astype(np.int32).tobytes())
+                counts.append(number.values.to_numpy()[hit].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], ["label", "places", "counts"])
+
+    found = rows.mapInArrow(run, "label int, places binary, counts binary").toArrow().to_pydict()
+    ordered = sorted(zip(found["label"], found["places"], found["counts"]))
+    labels = np.array([x for x, _, _ in ordered], int)
+    return labels, [np.frombuffer(p, np.int32) for _, p, _ in ordered], [np.frombuffer(c, np.int32) for _, _, c in ordered]
 
 
 def _sigmoid(x):
@@ -124,18 +146,18 @@ def train(index, values, starts, grades, size, levels, steps=STEPS):
 
 def fit(docs: DataFrame, labels: DataFrame, label="toxic", sample=SAMPLE, grades=GRADES):
     """(features, weights, thresholds) from at most ``sample`` documents of each class, or None without both classes."""
-    features, counts, known = _sampled_features(docs, labels, label, sample)
-    if len(set(known.tolist())) < 2:
+    rows = _sampled_features(docs, labels, label, sample)
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(sizes) < 2:
         return None
-    chosen, odds, scale = select(features, known)
+    chosen, odds, scale = select(rows, [sizes[0], sizes[1]])
+    known, places, counts = _chosen_features(rows, chosen)
     index, values, starts, telling = [], [], [0], []
-    for f, c in zip(features, counts):
-        at = np.searchsorted(chosen, f).clip(max=max(len(chosen) - 1, 0))
-        hit = chosen[at] == f if len(chosen) else np.zeros(len(f), bool)
-        index.append(at[hit])
-        values.append(np.log1p(c[hit]) * scale[at[hit]])
-        starts.append(starts[-1] + int(hit.sum()))
-        telling.append(float(c[hit][odds[at[hit]] > 2].sum()))
+    for at, c in zip(places, counts):
+        index.append(at)
+        values.append(np.log1p(c) * scale[at])
+        starts.append(starts[-1] + len(at))
+        telling.append(float(c[odds[at] > 2].sum()))
     telling = np.array(telling)
     cuts = np.quantile(telling[known == 1], [k / grades for k in range(1, grades)])
     grade = np.where(known == 1, 1 + np.searchsorted(cuts, telling, "left"), 0)

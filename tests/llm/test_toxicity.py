@@ -51,3 +51,57 @@ def test_nulls_no_labels_repeats_and_empty_tables(spark):
     found = toxicity.severity(docs, none).collect()
     assert len(found) == 5 and all(r.toxic < 0.01 and r.grade == 0 for r in found)
     assert toxicity.severity(docs.limit(0), none).collect() == []
+
+
+def plain_features(text):
+    """Words (runs of letters outside ASCII's other characters) and beginnings of longer ones, by their bytes."""
+    import re
+
+    out = []
+    for word in re.findall(rb"[a-z\x80-\xff]+", text.encode().lower()):
+        out.append((0, word))
+        out += [(n, word[:n]) for n in toxicity.BEGINNINGS if len(word) > n]
+    return out
+
+
+def test_scores_by_plain_counting():
+    import pyarrow as pa
+
+    from awardlake.llm.common import bytes_of
+
+    rng = random.Random(5)
+    words = ["bad", "badly", "badness", "BADNESSES", "good", "élan", "élans", "x1y", "don't"]
+    texts = ["", "bad " * 50, *(" ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(40))]
+    column = pa.array(texts)
+    rows, hashes = toxicity.features_of(*bytes_of(column))
+    by_hash, by_name = {}, {}
+    for i, text in enumerate(texts):
+        names = plain_features(text)
+        mine = hashes[rows == i].tolist()
+        assert sorted(mine.count(h) for h in set(mine)) == sorted(names.count(n) for n in set(names))
+        by_hash[i], by_name[i] = mine, names
+    lone = {w: toxicity.features_of(*bytes_of(pa.array([w])))[1][0] for w in ("bad", "badly", "good", "élan")}
+    weights = dict(zip(lone, (1.5, -0.7, 0.2, 3.0)))
+    chosen = np.array(sorted(lone.values()), np.uint64)
+    model = chosen, np.array([weights[next(w for w in lone if lone[w] == c)] for c in chosen]), np.array([0.5, 1.0, 4.0])
+    above = toxicity._cumulative(model)(pa.RecordBatch.from_arrays([column], ["text"]))
+    for i in range(len(texts)):
+        score = sum(weights[w] * np.log1p(by_name[i].count((0, w.encode()))) for w in lone)
+        assert np.allclose(above[i], 1 / (1 + np.exp(-(score - model[2]))))
+
+
+def test_chosen_features_and_reruns(spark):
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choices([f"w{k}" for k in "abcdefgh"], k=20) + (["vile"] if i % 2 else []))) for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    first, second = (toxicity.fit(frame.repartition(n), labels) for n in (3, 7))
+    assert all((a == b).all() for a, b in zip(first, second))
+    rows = toxicity._sampled_features(frame, labels, "toxic", 400)
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    known, odds, scale = toxicity.select(rows, [sizes[0], sizes[1]], keep=1)
+    import pyarrow as pa
+
+    from awardlake.llm.common import bytes_of
+
+    assert known.tolist() == [toxicity.features_of(*bytes_of(pa.array(["vile"])))[1][0]] and odds[0] > 2 and scale.tolist() == [1.0]
