@@ -16,7 +16,8 @@ HEADLINE = (
     "parse_chart_wide parse_chart_long parse_zone_matrix extract_price_claims find_price_mentions "
     "digit_runs html_pages_to_text extract_links canonicalize_region score_extraction target_health "
     "classify_fetch_blocks federate_fallback adaptive_delay classify_cache_hits "
-    "enumerate_paths build_edges place_search audit_verdicts_planted follow_mail"
+    "enumerate_paths build_edges place_search audit_verdicts_planted follow_mail "
+    "quote_stored_market dedupe_items_ttl parse_chart_documents"
 ).split()
 
 
