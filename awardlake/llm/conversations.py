@@ -237,7 +237,8 @@ def edits(rows: DataFrame) -> DataFrame:
     """Cheapest edits of every conversation of ``plain`` or ``damaged`` rows.
 
     Lines of ``place`` 0 sum a conversation up (``gaps``, ``blank``, ``duplicate``, ``truncated``, ``illegal``, ``cost``, ``audit``); of 1
-    say how a row stays (``turn``, ``role``, ``digest``; ``edits`` is K or R behind the insertions before it); of 2 hold insertions at the end.
+    say how a row stays (``turn``, ``role``, ``digest``; ``edits`` is K or R behind the insertions before it, and D for each row that
+    goes after it); of 2 hold insertions at the end.
     Rows of one turn are ordered by role and digest of the text. A role without a first letter can't be kept as it is.
     """
     kind = rows.schema["conv_id"].dataType.simpleString()
@@ -280,7 +281,8 @@ def _applied(batches):
             for _ in range(todo.count("I")):
                 state = ASSISTANT if state == USER else USER
                 yield conv, None, ("I", None, ROLES[state], "")
-            wanted = (turn, role, digest, todo[-1]) if place == ROWS else None
+            # deletions of later rows may stand behind the edit of this one
+            wanted = (turn, role, digest, todo.rstrip("D")[-1]) if place == ROWS else None
         elif wanted is not None and wanted[:3] == (turn, role, digest):
             edit, wanted = wanted[3], None
             if edit == "K":

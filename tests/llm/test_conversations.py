@@ -178,3 +178,12 @@ def test_repeats_ties_long_texts_clashing_columns_and_empty_tables(spark):
     assert found[2].audit == plain_strings(in_order([r for r in rows if r[0] == 2]))[1] and found[2].gaps == 0
     assert found[3].gaps == (1 << 63) - 1
     assert c.audits(c.damaged(frame.limit(0))).collect() == [] and c.repaired(c.plain(frame.limit(0))).collect() == []
+
+
+def test_a_kept_row_before_a_deleted_one_keeps_its_role(spark):
+    rows = [(1, 0, "unicorn", "What?"), (1, 1, "a", "Hi."), (1, 2, "user", " "), (2, 0, "system", "S."), (2, 1, "system", "S."), (2, 2, "user", "U."), (2, 3, "assistant", "A.")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    found = {r.conv_id: r for r in c.audits(c.plain(frame)).collect()}
+    assert found[1].audit == "KKD" and found[1].repaired_sha256 == digest([("unicorn", "What?"), ("a", "Hi.")])
+    assert found[2].audit == "KDKK" and found[2].repaired_sha256 == digest([("system", "S."), ("user", "U."), ("assistant", "A.")])
+    assert [r.edit for r in c.repaired(c.plain(frame)).orderBy("conv_id", "seq").collect()] == list("KKKKK")
