@@ -116,3 +116,24 @@ def test_nulls_long_texts_repeats_no_labels_and_empty_tables(spark):
     assert by_id[2].kept and by_id[2].n_words == 300_000 and by_id[3].base_failed and by_id[3].n_repeat_words == 120
     assert by_id[4].kept and not by_id[4].base_failed
     assert rules.judge(docs.limit(0), none).collect() == [] and len(rules.judge(docs, none.limit(0)).collect()) == 6
+
+
+def test_all_labelled_documents_are_learned_from(spark):
+    """More documents a class than the sample of old: every one is counted in every tree and in the thresholds."""
+    n = 9000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 60 + cast(id % 7 AS int)), x -> concat('w', (x * 31 + id) % 97))) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality")
+    rows = rules.labelled(rules.measured(docs), labels, "quality").cache()
+    from awardlake.llm.common import held_out
+
+    assert rows.count() == labels.where(~held_out()).count() > 7000
+    root = rules._spans_of(rows)([(np.array([-1]), np.zeros(1), np.zeros(1, int), np.zeros(1, int), np.zeros(1), np.array([True]))])
+    assert root.shape == (1, 3 + 2 * len(rules.FEATURES)) and root[0, 2] == rows.count()
+    x = rows.select(*rules.FEATURES).toPandas().to_numpy()
+    here, there = rules.forest(x, trees=3), rules.grow(rules._spans_of(rows), len(rules.FEATURES), trees=3)
+    assert here[1] == there[1] and all((a == b).all() for t, u in zip(here[0], there[0]) for a, b in zip(t, u))
+
+
+def test_calibration_on_counted_steps():
+    scores, labels, counts = np.array([0.25, 0.5, 0.5, 0.75]), np.array([1, 1, 0, 0]), np.array([990, 10, 3, 40])
+    assert rules.calibrate(scores, labels, lost=0.005, counts=counts) == 0.75 and rules.calibrate(scores, labels, lost=0.02, counts=counts) == 0.5
