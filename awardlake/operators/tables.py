@@ -3,11 +3,12 @@
 import re
 import sys
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from awardlake.functions import markup
+from awardlake.functions.batches import by_value
 from awardlake.functions.rows import inline_rows
 from awardlake.operators import charts
 
@@ -15,6 +16,10 @@ TABLE_TYPE = (
     "struct<table_ord:int,header:array<string>,rows:array<array<string>>,"
     "preceding_text:string,preceding_heading:string>"
 )
+TABLES_ARROW = pa.list_(pa.struct([
+    ("table_ord", pa.int32()), ("header", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string()))),
+    ("preceding_text", pa.string()), ("preceding_heading", pa.string()),
+]))
 # Executors need no installed copy of this module.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -79,12 +84,8 @@ def _tables_of(html):
     return found
 
 
-def _tables_batch(html: pd.Series) -> pd.Series:
-    return html.map(_tables_of)
-
-
 def _tables_udf(html):
-    return F.pandas_udf(_tables_batch, f"array<{TABLE_TYPE}>")(html)
+    return by_value(_tables_of, TABLES_ARROW, f"array<{TABLE_TYPE}>")(html)
 
 
 def with_tables(pages: DataFrame, html_col="html") -> DataFrame:
