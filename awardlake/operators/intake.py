@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from awardlake.functions.batches import spread
 from awardlake.operators import charts, documents
 from awardlake.operators.tables import with_tables
 from awardlake.sources.sinks import materialize
@@ -75,7 +76,7 @@ def follow_mail(mails: DataFrame, posts: DataFrame, captions: DataFrame, limit=N
         F.col(id_col).cast("string").alias(id_col), documents.html_to_text(F.col("body")).alias("text"), F.col("subject").alias("title"),
         F.lit("email").alias("intake"), F.col("source_name").alias("origin"), F.lit(None).cast("string").alias("url"), F.col("received_at").alias("published"),
     )
-    shown = posts.select("url", documents.html_to_text(F.col("text")).alias("text"), "title", F.col("published").cast("string").alias("published"))
+    shown = spread(posts).select("url", documents.html_to_text(F.col("text")).alias("text"), "title", F.col("published").cast("string").alias("published"))
     blog = links.where("kind = 'article'").join(shown, "url").select(name, "text", "title", F.lit("email_link:blog").alias("intake"), "origin", "url", "published")
     spoken = captions.select("video_id", documents.captions_to_text(F.col("text")).alias("text"), "title", F.col("published").cast("string").alias("published"))
     video = links.where("kind = 'video'").join(spoken, "video_id").select(name, "text", "title", F.lit("email_link:yt").alias("intake"), "origin", "url", "published")
