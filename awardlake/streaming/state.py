@@ -25,6 +25,8 @@ START_DELAY, MIN_DELAY, MAX_DELAY = 1.0, 0.25, 30.0
 BACKOFF, RECOVER = 2.0, 0.9
 RATE, CAPACITY = 5.0, 10.0
 CACHE_TTL_DAYS = 2
+#: Groups of keys of a stream that keep their states together; part of what a checkpoint holds.
+SLOTS = 1 << 12
 DAY_US = 86_400_000_000
 
 
@@ -218,28 +220,56 @@ def token_bucket(requests: DataFrame, key, ts, order, rate=RATE, capacity=CAPACI
 
 
 def _stateful(stream, key, ts, order, extra, result, state_type, start, advance):
-    """Run ``advance(sorted micro-batch rows, state) -> (columns, state)`` per key of a stream."""
-    kind = dict(stream.dtypes)
-    timed = stream.select(key, order, *extra, _us(ts).alias("_us"))
-
-    def run(name, batches, state):
-        rows = pd.concat(list(batches)).sort_values(["_us", order], kind="stable")
-        columns, left = advance(rows, state.get if state.exists else start(rows))
-        state.update(left)
-        yield rows[[key, order]].assign(**columns)
+    """Run ``advance(columns of a key's sorted rows as lists, state) -> (columns, state)`` per key of a stream.
 
-    return timed.groupBy(key).applyInPandasWithState(
-        run, f"`{key}` {kind[key]}, `{order}` {kind[order]}, {result}", state_type, "append", GroupStateTimeout.NoTimeout
+    A call of Python costs much more than the rows of most keys, so keys are dealt to ``SLOTS`` groups by their
+    hash, and a group keeps the states of its keys as arrays. Keys without a name are a group of their own, and
+    missing integers of ``order`` travel as a mark: neither turns the numbers of other keys into floats.
+    """
+    kind = dict(stream.dtypes)
+    whole = kind[order] in ("bigint", "int", "smallint", "tinyint")
+    timed = stream.select(
+        key, (F.coalesce(F.col(order), F.lit(0).cast(kind[order])) if whole else F.col(order)).alias(order),
+        F.col(order).isNull().alias("_none"), *extra, _us(ts).alias("_us"),
+        F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(SLOTS))).alias("_slot"),
+    )
+    made = [field.split()[0] for field in result.split(", ")]
+
+    def run(slot, batches, state):
+        rows = pd.concat(list(batches), ignore_index=True)
+        nameless = slot[0] == -1
+        rows = rows.sort_values([*([] if nameless else [key]), "_us", "_none", order], kind="stable")
+        names = [None] * len(rows) if nameless else rows[key].tolist()
+        lists = {c: rows[c].tolist() for c in ("_us", *extra)}
+        known, *fields = state.get if state.exists else ([], *[[]] * state_type.count(" "))
+        states, columns = dict(zip(known, zip(*fields))), {c: [] for c in made}
+        first = 0
+        for last in range(1, len(names) + 1):
+            if last == len(names) or names[last] != names[first]:
+                part = {c: x[first:last] for c, x in lists.items()}
+                new, states[names[first]] = advance(part, states.get(names[first]) or start(part))
+                for c in made:
+                    columns[c] += new[c]
+                first = last
+        state.update((list(states), *map(list, zip(*states.values()))))
+        out = rows[[key, order]].assign(**columns)
+        if whole and rows["_none"].any():
+            out[order] = out[order].astype("object").where(~rows["_none"], None)
+        yield out
+
+    held = ", ".join("{} array<{}>".format(*field.split()) for field in state_type.split(", "))
+    return timed.groupBy("_slot").applyInPandasWithState(
+        run, f"`{key}` {kind[key]}, `{order}` {kind[order]}, {result}", f"names array<{kind[key]}>, {held}", "append", GroupStateTimeout.NoTimeout
     )
 
 
 def cache_hits_stream(stream: DataFrame, key, ts, order, ttl_days=CACHE_TTL_DAYS) -> DataFrame:
-    """Streaming form of :func:`classify_cache_hits`; the state is the entry's expiry."""
+    """Streaming form of :func:`classify_cache_hits`; the state of a key is the entry's expiry."""
     ttl = int(ttl_days * DAY_US)
 
     def advance(rows, state):
         free, hits = state[0], []
-        for t in rows["_us"].tolist():
+        for t in rows["_us"]:
             hits.append(t < free)
             free = free if t < free else t + ttl
         return {"is_hit": hits}, (free,)
@@ -251,12 +281,12 @@ def token_bucket_stream(stream: DataFrame, key, ts, order, rate=RATE, capacity=C
     """Streaming form of :func:`token_bucket`; the state is (tokens, last time)."""
 
     def advance(rows, state):
-        flags, tokens, last = _take_tokens(rows["_us"].tolist(), state[0], state[1], rate, capacity)
+        flags, tokens, last = _take_tokens(rows["_us"], state[0], state[1], rate, capacity)
         return {"allowed": flags}, (float(tokens), int(last))
 
     return _stateful(
         stream, key, ts, order, [], "allowed boolean", "tokens double, last long",
-        lambda rows: (capacity, int(rows["_us"].iloc[0])), advance,
+        lambda rows: (capacity, int(rows["_us"][0])), advance,
     )
 
 
@@ -266,7 +296,7 @@ def adaptive_delay_stream(stream: DataFrame, domain, ts, order, status="status")
     def advance(rows, state):
         delay, streak = state
         delays, streaks = [], []
-        for code in rows[status].tolist():
+        for code in rows[status]:
             bad = code in (429, 0)
             delay = min(MAX_DELAY, delay * BACKOFF) if bad else max(MIN_DELAY, delay * RECOVER)
             streak = streak + 1 if bad else 0
