@@ -1,8 +1,9 @@
 """Verification of quotes: bounds, freshness, live precedence, trust-weighted cross-check.
 
-Groups may be arbitrarily hot, so every reduction is first done per (group, miles) with map-side
-partial aggregation; miles lie in fixed plausible bounds, which limits what one group can hold
-before the ordered part of the median runs. Trust weights are summed as whole millionths: the
+Groups may be arbitrarily hot, so every reduction is first done per (group, miles, flags) with map-side
+partial aggregation; miles lie in fixed plausible bounds and flag arrays are few, which limits what one
+group can hold before the ordered part of the median runs. Flags are a key and not a collected set, so
+that this wide step needs no object aggregate. Trust weights are summed as whole millionths: the
 sum is exact and does not depend on the order in which partitions arrive.
 """
 
@@ -110,7 +111,7 @@ def verify_awards(
     """
     usable = usable_quotes(quotes, now, half_life_days, stale_after_days)
     keys = [*GROUP, "_live"]
-    per_value = usable.groupBy(*keys, "miles").agg(
+    per_value = usable.groupBy(*keys, "miles", "flags").agg(
         F.sum(_units(F.col("trust"))).alias("_w"),
         F.count(F.lit(1)).alias("_n"),
         F.min("source_name").alias("_src_lo"),
@@ -119,7 +120,6 @@ def verify_awards(
         F.min(F.struct(-F.col("_fresh.confidence"), F.col("ord"), F.col("miles"))).alias("_best"),
         F.max("seats").alias("_seats"),
         F.max("_fresh.stale").alias("_stale"),
-        F.collect_set("flags").alias("_flags"),
     )
     by_group = per_value.repartition(*GROUP)
     merged = _median_columns(by_group, keys, "miles").groupBy(*keys).agg(
@@ -131,7 +131,7 @@ def verify_awards(
         F.min("_best").alias("_best"),
         F.max("_seats").alias("seats"),
         F.max("_stale").alias("_stale"),
-        F.array_distinct(F.flatten(F.flatten(F.collect_set("_flags")))).alias("_flags"),
+        F.array_distinct(F.flatten(F.collect_set("flags"))).alias("_flags"),
     )
     winner = merged.groupBy(*GROUP).agg(
         F.max_by(F.struct(*[c for c in merged.columns if c not in GROUP]), "_live").alias("g")

@@ -119,3 +119,11 @@ def test_freshest_row_keeps_first_on_ties(spark):
         "source_name string, program string, origin string, dest string, cabin string, miles long, updated_at string, ord long",
     )
     assert ranking.dedupe_freshest(df).first()["miles"] == 1
+
+
+def test_flags_are_no_collected_set_of_the_wide_step(spark):
+    rows = [("a", 40000 + 1000 * (i % 3), f"s{i % 2}", 0.5, 0.8, "2024-06-01", [f"f{i % 4}", "no_live_space"], None) for i in range(12)]
+    df = verify.verify_awards(quote(spark, rows), NOW)
+    assert df.first()["flags"] == ["f0", "f1", "f2", "f3", "no_live_space"]
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "collect_set(" in text and not [x for x in text.split("\n") if "collect_set(" in x and "miles" in x.split("functions=")[0]]
