@@ -150,12 +150,12 @@ OPTION_COLUMNS = [
 ]
 
 
-def market(d):
-    return quotes.build_market(award_quotes(d), fare_quotes(d), ratios(d), NOW, HALF, STALE, requests=d.view("requests"))
+def market(d, verified=None):
+    return quotes.build_market(award_quotes(d), fare_quotes(d), ratios(d), NOW, HALF, STALE, requests=d.view("requests"), verified=verified)
 
 
-def request_quotes(d):
-    return quotes.quote_requests(d.view("requests"), market(d))
+def request_quotes(d, verified=None):
+    return quotes.quote_requests(d.view("requests"), market(d, verified))
 
 
 def shown(options):

@@ -221,8 +221,8 @@ UNION ALL SELECT 'run', route_key || '/' || q.request_id, coalesce(v.label, 'no_
 """)
 def _history(d):
     path = sinks.new_table_path(d.spark, "history")
-    verdicts = sinks.materialize(request_quotes(d).verdicts, "verdicts")
     awards = sinks.materialize(verified_awards(d), "awards")
+    verdicts = sinks.materialize(request_quotes(d, awards).verdicts, "verdicts")
     for day in ("1999-12-30", "1999-12-31"):
         sinks.append_history(verdicts, awards, path, f"{day} 10:00:00")
     runs, edges = d.spark.read.parquet(f"{path}/runs"), d.spark.read.parquet(f"{path}/edges")

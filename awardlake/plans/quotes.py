@@ -28,20 +28,23 @@ class Quotes(NamedTuple):
 def build_market(
     quotes, fares, ratios, now, half_life_days=vocab.HALF_LIFE_DAYS,
     stale_after_days=vocab.STALE_AFTER_DAYS, include_program_edges=False,
-    max_transfer_hops=vocab.MAX_TRANSFER_HOPS, requests: DataFrame = None,
+    max_transfer_hops=vocab.MAX_TRANSFER_HOPS, requests: DataFrame = None, verified: DataFrame = None,
 ) -> Market:
     """Verify both sides of the market once, whatever the number of requests.
 
     Only programmes some currency reaches are verified and, where ``requests`` is given, only routes
-    that are asked for; both limits are semi-joins in front of every shuffle of the quotes.
+    that are asked for; both limits are semi-joins in front of every shuffle of the quotes. A caller that
+    needs all verified awards anyway passes them, written once, as ``verified`` (of the same quotes and
+    settings): they are narrowed by the same limits, and no quote is verified twice.
     """
     reach = paths.transfer_paths(ratios, max_transfer_hops, include_program_edges)
-    quotes = quotes.join(reach.select("program").distinct(), "program", "left_semi")
+    awards = quotes if verified is None else verified
+    awards = awards.join(reach.select("program").distinct(), "program", "left_semi")
     if requests is not None:
         asked = requests.select("route_key").distinct()
-        quotes, fares = quotes.join(asked, "route_key", "left_semi"), fares.join(asked, "route_key", "left_semi")
+        awards, fares = awards.join(asked, "route_key", "left_semi"), fares.join(asked, "route_key", "left_semi")
     return Market(
-        verify.verify_awards(quotes, now, half_life_days, stale_after_days),
+        verify.verify_awards(awards, now, half_life_days, stale_after_days) if verified is None else awards.select(verified.columns),
         verify.verify_fares(fares, now, half_life_days, stale_after_days),
         reach,
     )

@@ -34,3 +34,47 @@ def test_requests_are_dealt_to_a_market_that_stays_in_place(spark):
 def test_audits_read_few_tables(spark):
     text = plan(QUERIES["audit_verdicts_planted"](spark, SF))
     assert len(re.findall("FileScan", text.split("== Initial Plan ==")[-1])) <= 15
+
+
+def small_tables(spark, path):
+    """Rows of its own: 12 parts, three quotes each, orders and customers."""
+    at = "timestamp '1999-01-01 00:00:00'"
+    for name, sql in {
+        "region": "SELECT id AS r_regionkey, element_at(array('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'), cast(id + 1 AS int)) AS r_name FROM range(5)",
+        "nation": "SELECT cast(id AS int) AS n_nationkey, cast(id % 5 AS int) AS n_regionkey FROM range(25)",
+        "part": "SELECT id AS p_partkey FROM range(12)",
+        "customer": "SELECT id AS c_custkey, 9000.0D AS c_acctbal, element_at(array('AUTOMOBILE', 'BUILDING', 'FURNITURE'), cast(id % 3 + 1 AS int)) AS c_mktsegment FROM range(9)",
+        "orders": f"SELECT id AS o_orderkey, id AS o_custkey, 4000.0D + id AS o_totalprice, {at} AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(11)",
+        "lineitem": f"SELECT id AS l_orderkey, id % 12 AS l_partkey, id % 7 AS l_suppkey, cast(id % 3 AS int) AS l_linenumber, 2.0D AS l_quantity, 20000.0D + 700 * (id % 5) AS l_extendedprice, 0.05D AS l_discount, element_at(array('O', 'F'), cast(id % 2 + 1 AS int)) AS l_linestatus, {at} AS l_shipdate FROM range(36)",
+    }.items():
+        spark.sql(sql).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def scans(df, text):
+    return plan(df).split("== Initial Plan ==")[-1].count(text)
+
+
+def test_awards_verified_once_make_the_same_market(spark, tmp_path):
+    from awardlake.checks.verify_checks import verified_awards
+
+    d = Data(spark, small_tables(spark, tmp_path))
+    again, once = market(d), market(d, verified_awards(d))
+    for a, b in zip(again, once):
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect())) != []
+
+
+def test_golden_cases_verify_no_quote_twice(spark, tmp_path):
+    # the verified awards are written once; verdicts and cases read that table
+    path = small_tables(spark, tmp_path)
+    assert scans(QUERIES["golden_cases"](spark, path), "l_extendedprice") == 0
+
+
+def test_a_stream_of_requests_leaves_the_market_in_its_buckets(spark, tmp_path, monkeypatch):
+    from awardlake.checks import stream_checks
+
+    kept, real = [], stream_checks.jobs.requote_stream
+    monkeypatch.setattr(stream_checks.jobs, "requote_stream", lambda s, m, *rest: kept.append(m) or real(s, m, *rest))
+    path = small_tables(spark, tmp_path)
+    assert QUERIES["requote_stream"](spark, path).count() == 9
+    assert "awardlake_awards" in plan(kept[0].awards) and "awardlake_fares" in plan(kept[0].fares)
