@@ -33,13 +33,14 @@ def build_market(
     """Verify both sides of the market once, whatever the number of requests.
 
     Only programmes some currency reaches are verified and, where ``requests`` is given, only routes
-    that are asked for; both limits are semi-joins in front of every shuffle of the quotes. A caller that
-    needs all verified awards anyway passes them, written once, as ``verified`` (of the same quotes and
-    settings): they are narrowed by the same limits, and no quote is verified twice.
+    that are asked for. Programmes are few, so a join by them would move all quotes to a few tasks: the reached
+    ones, bounded by the catalogue, are one array that every row is held against where it is read. Routes
+    are a semi-join. A caller that needs all verified awards anyway passes them, written once, as ``verified``
+    (of the same quotes and settings): they are narrowed by the same limits, and no quote is verified twice.
     """
     reach = paths.transfer_paths(ratios, max_transfer_hops, include_program_edges)
     awards = quotes if verified is None else verified
-    awards = awards.join(reach.select("program").distinct(), "program", "left_semi")
+    awards = awards.where(F.array_contains(reach.agg(F.collect_set("program")).scalar(), F.col("program")))
     if requests is not None:
         asked = requests.select("route_key").distinct()
         awards, fares = awards.join(asked, "route_key", "left_semi"), fares.join(asked, "route_key", "left_semi")

@@ -78,3 +78,33 @@ def test_a_stream_of_requests_leaves_the_market_in_its_buckets(spark, tmp_path,
     path = small_tables(spark, tmp_path)
     assert QUERIES["requote_stream"](spark, path).count() == 9
     assert "awardlake_awards" in plan(kept[0].awards) and "awardlake_fares" in plan(kept[0].fares)
+
+
+def test_no_side_of_a_market_is_dealt_by_its_few_programmes(spark, tmp_path):
+    # where the catalogue can't be broadcast, a join by programme would read all quotes in one task a programme
+    from awardlake.checks.verify_checks import verified_awards
+
+    d = Data(spark, small_tables(spark, tmp_path))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for built in (market(d), market(d, verified_awards(d))):
+            for line, below in re.findall(r"Exchange hashpartitioning\(program#\d+, \d+\)(.*)\n(.*(?:\n.*){0,12})", plan(built.awards)):
+                assert "l_extendedprice" not in below and "route_key" not in below, below
+            programs = {r["program"] for r in built.awards.select("program").collect()}
+            assert programs == {r["program"] for r in built.paths.select("program").collect()} != set()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_programmes_out_of_reach_or_null_have_no_market(spark):
+    schema = "route_key string, program string, cabin string, miles bigint, seats bigint, source_name string, trust double, confidence double, " \
+        "source_updated_at timestamp, fetched_at timestamp, flags array<string>, ord bigint"
+    row = lambda program, i: ("r", program, "economy", 20000, None, "s", 1.0, 1.0, None, None, [], i)
+    awards = spark.createDataFrame([row("p0", 1), row("p9", 2), row(None, 3)], schema)
+    fares = spark.createDataFrame([], "route_key string, cash_cents bigint, source_name string, confidence double, source_updated_at timestamp, "
+                                      "fetched_at timestamp, flags array<string>, ord bigint")
+    ratios = "from_currency string, to_program string, ratio double, bonus_multiplier double, effective_ratio double, bonus_label string, " \
+        "confidence double, ord bigint, is_bonus boolean"
+    for some, reached in (([("AFRICA", "p0", 1.0, 1.0, 1.0, None, 0.9, 0, False)], ["p0"]), ([], [])):
+        built = quotes.build_market(awards, fares, spark.createDataFrame(some, ratios), "2000-01-01T00:00:00Z")
+        assert [r["program"] for r in built.awards.collect()] == reached
