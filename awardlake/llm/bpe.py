@@ -156,14 +156,7 @@ def _slices(batches):
             yield batch.slice(start, ROWS)
 
 
-def encode(docs: DataFrame, ranks_path, pattern) -> DataFrame:
-    """Encode whole texts: ``doc_id``, ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit).
-
-    Each match of ``pattern`` is encoded by itself; no special tokens. A null or empty text has no
-    ids. One row per input row, repeated rows included; other columns are ignored.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-
+def _encoding(shared, pattern):
     def run(batches):
         import regex
 
@@ -173,22 +166,46 @@ def encode(docs: DataFrame, ranks_path, pattern) -> DataFrame:
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return run
 
 
-def decode(encoded: DataFrame, ranks_path, keep=("doc_id",)) -> DataFrame:
-    """Decode ``ids``: the kept columns, ``ids`` and ``decoded`` (binary). Null ids decode to no bytes."""
-    shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    picked = encoded.select(*keep, "ids")
-
+def _decoding(shared):
     def run(batches):
         merges = _merges(shared.value)
         for batch in _slices(batches):
             out = [merges.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
+    return run
+
+
+def encode(docs: DataFrame, ranks_path, pattern) -> DataFrame:
+    """Encode whole texts: ``doc_id``, ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit).
+
+    Each match of ``pattern`` is encoded by itself; no special tokens. A null or empty text has no
+    ids. One row per input row, repeated rows included; other columns are ignored.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    return texts(docs).mapInArrow(_encoding(shared, pattern), "doc_id long, n_tokens long, ids binary")
+
+
+def decode(encoded: DataFrame, ranks_path, keep=("doc_id",)) -> DataFrame:
+    """Decode ``ids``: the kept columns, ``ids`` and ``decoded`` (binary). Null ids decode to no bytes."""
+    shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    picked = encoded.select(*keep, "ids")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields)
-    return picked.mapInArrow(run, f"{schema}, decoded binary")
+    return picked.mapInArrow(_decoding(shared), f"{schema}, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks_path, pattern) -> DataFrame:
+    """What :func:`decode` makes of :func:`encode`: ``doc_id``, ``n_tokens``, ``ids``, ``decoded``.
+
+    Both steps run in one Python process of a task. Two chained ones would each keep one, and executors
+    hold on to idle processes, with all that they have grown to, through the stages that follow.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    encoding, decoding = _encoding(shared, pattern), _decoding(shared)
+    return texts(docs).mapInArrow(lambda batches: decoding(encoding(batches)), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, ranks_path, pattern) -> DataFrame:

@@ -20,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from awardlake.llm.common import Rolling, bytes_of, chunks, mix, small_batches
+from awardlake.functions.batches import small_batches
+from awardlake.llm.common import Rolling, bytes_of, chunks, mix
 
 GRAM = 32
 #: Windows looked at in one pass of numpy.

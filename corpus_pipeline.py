@@ -48,7 +48,7 @@ def encode(spark, docs, sf_dir):
     from awardlake.llm import bpe
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks, keep=("doc_id", "n_tokens"))
+    decoded = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

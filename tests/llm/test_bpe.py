@@ -60,3 +60,10 @@ def test_rows_nulls_repeats_and_clashing_columns(spark, library):
         assert (r.n_tokens, bytes(r.decoded)) == (len(want), text.encode())
     empty = bpe.digests(docs.limit(0), RANKS, public_tokenizers.PATTERN)
     assert empty.collect() == [] and empty.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_a_round_trip_is_encoding_and_then_decoding(spark):
+    docs = spark.createDataFrame([*enumerate([*random_texts()][::9]), (None, "no id"), (7, None), (7, "")], "doc_id long, text string")
+    two = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, keep=("doc_id", "n_tokens"))
+    once = bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN)
+    assert once.columns == two.columns and sorted(map(str, once.collect())) == sorted(map(str, two.collect()))

@@ -65,3 +65,14 @@ def test_empty_documents(spark, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_no_stage_chains_python_processes(spark, tmp_path):
+    # each would stay with its executor, beside the memory of the stages that follow
+    import re
+
+    docs, labels, _ = planted()
+    spark.createDataFrame(docs[:50], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    encoded = corpus_pipeline.encode(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert len(re.findall("MapInArrow", encoded._jdf.queryExecution().executedPlan().toString())) == 1
+    assert encoded.where("n_tokens > 0").count() == 50
