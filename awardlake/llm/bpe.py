@@ -20,45 +20,58 @@ from awardlake.llm.common import texts
 
 #: Pieces up to this many bytes are leaves of the tree.
 LEAF = 6
-#: Entries of the cache from piece to ids (a full one starts anew), and of those of leaves and stable pairs.
-CACHE, SHORT = 1 << 17, 1 << 16
+#: Entries of the cache from piece to ids (there are two: a full one and the one being filled), and of those of leaves and seams.
+CACHE, SHORT = 1 << 16, 1 << 16
 #: Documents handed back to Spark at once.
 ROWS = 256
 
 
+#: Stands for a pair that is no token.
+NONE = 1 << 62
+
+
 def read_ranks(path) -> bytes:
     """The raw rank file; a vocabulary has a fixed size, so it may be broadcast."""
     with open(path, "rb") as f:
         return f.read()
 
 
+@functools.lru_cache(256)
+def _packer(n):
+    return struct.Struct(f"<{n}I").pack
+
+
 class Merges:
-    """Encoder of single pieces for one table of ranks (every single byte must have a rank)."""
+    """Encoder of single pieces for one table of ranks (every single byte must have a rank). Encodings are tuples of ids."""
 
     def __init__(self, raw: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.short = functools.lru_cache(SHORT)(self._merge_short)
-        self.stable = functools.lru_cache(SHORT)(lambda left, right: self.merge(left + right) == [left, right])
+        self.seam = functools.lru_cache(SHORT)(self._seam)
 
-    def merge(self, piece: bytes) -> list[bytes]:
+    def merge(self, piece: bytes) -> tuple[int, ...]:
         """Merge neighbours by lowest rank, leftmost first, until none is in the table."""
         return self.short(piece) if len(piece) <= 16 else self._merge_long(piece)
 
-    def _merge_short(self, piece: bytes) -> list[bytes]:
-        ranks, parts = self.ranks, [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+    def _merge_short(self, piece: bytes) -> tuple[int, ...]:
+        ranks, n = self.ranks, len(piece)
+        get, parts = ranks.get, [piece[i : i + 1] for i in range(n)]
+        pairs = [get(piece[i : i + 2], NONE) for i in range(n - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == NONE:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _merge_long(self, piece: bytes) -> list[bytes]:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], NONE)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], NONE)
+        return tuple([ranks[part] for part in parts])
+
+    def _merge_long(self, piece: bytes) -> tuple[int, ...]:
         """The same with a heap over linked parts: n log n for long windows."""
         ranks, n = self.ranks, len(piece)
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -85,37 +98,43 @@ class Merges:
                 offer(before[i])
         out, i = [], 0
         while i < n:
-            out.append(piece[i : end[i]])
+            out.append(ranks[piece[i : end[i]]])
             i = end[i]
-        return out
+        return tuple(out)
 
-    def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
+    def _seam(self, left: int, right: int) -> tuple[int, ...] | None:
+        """The encoding of the joint bytes of two tokens; None if it is these two, that is, if they are stable."""
+        found = self.merge(self.tokens[left] + self.tokens[right])
+        return None if found == (left, right) else found
+
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the joint bytes of two encodings."""
-        if not left or not right or self.stable(left[-1], right[0]):
+        if not left or not right:
+            return left + right
+        seam, window = self.seam, self.seam(left[-1], right[0])
+        if window is None:
             return left + right
         i = j = 1
         while True:
-            window = self.merge(b"".join(left[-i:] + right[:j]))
-            left_ok = i == len(left) or self.stable(left[-i - 1], window[0])
-            right_ok = j == len(right) or self.stable(window[-1], right[j])
+            left_ok = i == len(left) or seam(left[-i - 1], window[0]) is None
+            right_ok = j == len(right) or seam(window[-1], right[j]) is None
             if left_ok and right_ok:
                 return left[:-i] + window + right[j:]
             i = i if left_ok else min(len(left), 2 * i)
             j = j if right_ok else min(len(right), 2 * j)
+            window = self.merge(b"".join(map(self.tokens.__getitem__, left[-i:] + right[:j])))
 
-    def tree(self, piece: bytes) -> list[bytes]:
+    def tree(self, piece: bytes) -> tuple[int, ...]:
         if len(piece) <= LEAF:
-            return self.merge(piece)
+            return self.short(piece)
         middle = len(piece) // 2
         return self.join(self.tree(piece[:middle]), self.tree(piece[middle:]))
 
     def ids(self, piece: bytes) -> bytes:
         """Ids of one piece as little-endian unsigned 32-bit integers; a piece that is a token stays whole."""
         whole = self.ranks.get(piece)
-        if whole is not None:
-            return struct.pack("<I", whole)
-        found = [self.ranks[t] for t in self.tree(piece)]
-        return struct.pack(f"<{len(found)}I", *found)
+        found = self.tree(piece) if whole is None else (whole,)
+        return _packer(len(found))(*found)
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= 1 << 12:
@@ -125,17 +144,20 @@ class Merges:
 
 
 class Pieces(dict):
-    """Cache from piece to its ids."""
+    """Cache from piece to its ids; a full one is kept as the older one until the next is full, so that frequent pieces stay."""
 
     def __init__(self, merges):
         super().__init__()
-        self.merges = merges
+        self.merges, self.older = merges, {}
 
     def __missing__(self, piece):
-        if len(self) >= CACHE:
-            self.clear()
-        found = self.merges.ids(piece.encode())
+        found = self.older.get(piece)
+        if found is None:
+            found = self.merges.ids(piece.encode())
         if len(piece) <= 64:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
             self[piece] = found
         return found
 

@@ -67,3 +67,16 @@ def test_a_round_trip_is_encoding_and_then_decoding(spark):
     two = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, keep=("doc_id", "n_tokens"))
     once = bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN)
     assert once.columns == two.columns and sorted(map(str, once.collect())) == sorted(map(str, two.collect()))
+
+
+def test_a_frequent_piece_is_encoded_once_among_many_rare_ones(monkeypatch, library):
+    # a full cache used to start anew: frequent pieces were merged again each time it was full
+    monkeypatch.setattr(bpe, "CACHE", 8)
+    merges = bpe.Merges(bpe.read_ranks(RANKS))
+    seen, ids = [], merges.ids
+    monkeypatch.setattr(merges, "ids", lambda piece: seen.append(piece) or ids(piece))
+    pieces = bpe.Pieces(merges)
+    for i in range(200):
+        for piece in (" frequently", f"rare{i}", "y" * 70):
+            assert pieces[piece] == b"".join(x.to_bytes(4, "little") for x in library.encode_ordinary(piece)) or piece.startswith("rare")
+    assert seen.count(b" frequently") == 1 and len(pieces) <= 8 and len(pieces.older) <= 8
