@@ -63,7 +63,7 @@ def market_options(market: Market) -> DataFrame:
 
     An option's price does not depend on who asks, so it is computed once per route and currency.
     The array is as long as the currency's transfer paths: the ratio catalogue bounds it, not
-    the number of requests or quotes.
+    the number of requests or quotes. It also bounds the map of a programme's paths that awards are looked up in.
     """
     fares = market.fares.select(
         "route_key", "cash_cents", F.col("confidence").alias("_fare_conf"),
@@ -74,7 +74,14 @@ def market_options(market: Market) -> DataFrame:
         F.col("flags").alias("_flags"),
     )
     need = points.source_points_for_award(F.col("miles"), F.col("ratio"))
-    rows = awards.join(fares, "route_key").join(market.paths, "program").withColumn("source_points", need)
+    # programmes are few: a join by them would give all awards to one task a programme
+    way = F.struct("program", F.struct("start", "hops", "transfers", "ratio", "confidence", "flags", "path_ord").alias("way"))
+    listed = market.paths.where(F.col("program").isNotNull()).agg(F.collect_list(way).alias("all"), F.collect_set("program").alias("programs"))
+    ways = F.transform("programs", lambda p: F.transform(F.filter("all", lambda w: w["program"] == p), lambda w: w["way"]))
+    by_program = listed.select(F.map_from_arrays("programs", ways)).scalar()
+    priced = awards.join(fares, "route_key")
+    rows = explode_rows(priced, priced.columns, F.try_element_at(by_program, F.col("program")), "_pos", "_way")
+    rows = rows.select(*priced.columns, "_way.*").withColumn("source_points", need)
     cpp = points.half_even(
         F.coalesce(points.cents_per_point(F.col("cash_cents"), F.col("source_points")), F.lit(0.0)), 4
     )

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from awardlake.checks import load
 from awardlake.checks.base import Data
 from awardlake.checks.plan_checks import market
@@ -108,3 +110,33 @@ def test_programmes_out_of_reach_or_null_have_no_market(spark):
     for some, reached in (([("AFRICA", "p0", 1.0, 1.0, 1.0, None, 0.9, 0, False)], ["p0"]), ([], [])):
         built = quotes.build_market(awards, fares, spark.createDataFrame(some, ratios), "2000-01-01T00:00:00Z")
         assert [r["program"] for r in built.awards.collect()] == reached
+
+
+def test_options_deal_no_awards_by_their_few_programmes(spark, tmp_path):
+    d = Data(spark, small_tables(spark, tmp_path))
+    built = market(d)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        offers = quotes.market_options(built)
+        # a join of awards with paths by programme would be a shuffle of both sides by it
+        main = plan(offers).split("Subqueries")[0]
+        assert "l_extendedprice" in main and "hashpartitioning(route_key" in main
+        assert not re.findall(r"Join \[program#\d+\], \[program#\d+\]", main), main
+        # the same rows as that join gives
+        pairs = built.awards.join(built.fares.select("route_key"), "route_key").join(built.paths, "program")
+        want = pairs.groupBy("route_key", F.col("start").alias("currency")).agg(F.sort_array(F.collect_list("path_ord")).alias("paths"))
+        got = offers.select("route_key", "currency", F.sort_array(F.transform("offers", lambda o: o["path_ord"])).alias("paths"))
+        assert got.count() > 0 and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_paths_without_programme_or_with_none_at_all_give_no_options(spark):
+    awards = spark.createDataFrame([("r", "p0", 20000, 0.5, None, ["x"]), ("r", None, 20000, 0.5, None, [])],
+                                   "route_key string, program string, miles long, confidence double, seats long, flags array<string>")
+    fares = spark.createDataFrame([("r", 40000, 0.5, [])], "route_key string, cash_cents long, confidence double, flags array<string>")
+    schema = "start string, program string, ratio double, confidence double, flags array<string>, hops string, path_ord array<long>, transfers int"
+    way = lambda program, i: ("AFRICA", program, 1.0, 0.5, [], "hop", [i], 1)
+    for ways, offered in (([way("p0", 1), way("p0", 1), way(None, 2), way("p9", 3)], [2]), ([way(None, 2)], []), ([], [])):
+        built = quotes.Market(awards, fares, spark.createDataFrame(ways, schema))
+        assert [len(r["offers"]) for r in quotes.market_options(built).collect()] == offered
